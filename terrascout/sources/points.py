@@ -80,7 +80,8 @@ def read_select(spark: SparkSession, path: str, rename: dict[str, str],
         for old, new in rename.items()])
 
 
-def read_commented(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with ``#`` comment lines before the header."""
-    reader = spark.read.option("header", True).option("comment", "#")
+def read_commented(spark: SparkSession, path: str, schema: str | None = None,
+                   header: bool = True) -> DataFrame:
+    """CSV with ``#`` comment lines."""
+    reader = spark.read.option("header", header).option("comment", "#")
     return (reader.schema(schema) if schema else reader).csv(path)
