@@ -39,3 +39,8 @@ def normals(u1: Column, u2: Column) -> tuple[Column, Column]:
 
 def fraction(col: Column) -> Column:
     return col - F.floor(col)
+
+
+def fixed(col: str, digits: int) -> Column:
+    """Fixed notation from the exact binary value, as C's printf rounds it."""
+    return F.expr(f"format_number(`{col}`, '0.{'0' * digits}')")

@@ -70,8 +70,8 @@ def _tile_graph(points: DataFrame, eps: float, cap: int):
 
     cells = cut(own(spots, side, "cx", "cy").groupBy("cx", "cy")
                 .agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("_n")))
-    half = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"))
-                     for i in range(-2, 3) for j in range(0, 3) if j > 0 or i > 0])
+    half = F.expr("array(" + ",".join(f"named_struct('i',{i}L,'j',{j}L)" for j in range(3)
+                                      for i in range(-2, 3) if j > 0 or i > 0) + ")")
     other = cells.select(F.col("cx").alias("dx"), F.col("cy").alias("dy"), F.col("node").alias("b"))
     pairs = (cells.withColumn("_o", F.explode(half))
              .select(F.col("node").alias("a"), "cx", "cy",
@@ -83,8 +83,7 @@ def _tile_graph(points: DataFrame, eps: float, cap: int):
                               F.col("dx").alias("bx"), F.col("dy").alias("by"))
     edges, size, depth = None, side, 0
     level = cells.select("cx", "cy", "_n")
-    quarter = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"))
-                        for i in (0, 1) for j in (0, 1)])
+    quarter = tiles.offsets(range(2), range(2))
     while int(level.agg(F.max("_n")).first()[0] or 0) > cap and depth < tiles.MAX_DEPTH:
         size, depth = size / 2, depth + 1
         level = own(spots, size, "cx", "cy").groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascout.functions import geo
+from terrascout.functions.portable import fixed
 from terrascout.operators import cluster, rank, tiles
 
 
@@ -129,7 +130,7 @@ def permit_label(permit: str, well: str, operator: str, county: str, dist: str):
     """``permit well (operator) county @ 1.2km``."""
     number = F.coalesce(F.col(permit).cast("string"), F.lit("permit?"))
     return F.concat(number, F.lit(" "), F.col(well).cast("string"), F.lit(" ("), F.col(operator).cast("string"),
-                    F.lit(") "), F.col(county).cast("string"), F.lit(" @ "), F.format_string("%.1f", F.col(dist)),
+                    F.lit(") "), F.col(county).cast("string"), F.lit(" @ "), fixed(dist, 1),
                     F.lit("km"))
 
 
@@ -148,7 +149,7 @@ def field_check(sites: DataFrame, permits: DataFrame, radius: float = 25.0, afte
     if cols:
         text = permit_label(*cols, "dist_km")
     else:
-        text = F.concat(F.col(permit_id).cast("string"), F.lit(" @ "), F.format_string("%.1f", "dist_km"), F.lit("km"))
+        text = F.concat(F.col(permit_id).cast("string"), F.lit(" @ "), fixed("dist_km", 1), F.lit("km"))
     near = F.when(F.col("dist_km") <= radius, F.struct("rank", text.alias("text")))
     out = five.groupBy(site_id).agg(
         F.min("dist_km").alias("nearest_permit_km"), F.count(near).alias("_top"),

@@ -68,6 +68,7 @@ def line_features(cells: DataFrame, samples: DataFrame | None, tips: DataFrame |
     """
     out = cells.select(id_col)
     if samples is not None:
+        samples = tiles.cut(samples)
         near = tiles.nearest(cells, samples.withColumn("_sid", F.xxhash64("lon", "lat")),
                              q_id=id_col, t_id="_sid", lat0=lat0)
         around = tiles.radius_aggregate(cells, samples, 25.0, {"_n": ("count", None), "max_slip": ("max", "slip")},

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrascout.functions.portable import fixed
 from terrascout.operators.rank import cumulate
 
 CHUNK_ROWS = 10_000
@@ -17,7 +18,7 @@ def row_text(df: DataFrame, cols: Sequence[str], digits: int = 6) -> Column:
     parts = []
     for name in cols:
         kind = df.schema[name].dataType.typeName()
-        col = F.format_string(f"%.{digits}f", name) if kind in ("double", "float") else F.col(name).cast("string")
+        col = fixed(name, digits) if kind in ("double", "float") else F.col(name).cast("string")
         parts.append(F.coalesce(F.when(F.col(name).isNotNull(), col), F.lit("")))
     return F.concat_ws(",", *parts)
 

@@ -43,16 +43,15 @@ def _tile(value: str, size: float) -> Column:
     return F.floor(F.col(value) / F.lit(float(size))).cast("bigint")
 
 
-def _near(reach: int) -> Column:
-    return F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"))
-        for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)
-    ])
+def offsets(x: range, y: range) -> Column:
+    """Constant array of (i, j) pairs, written as SQL text to keep plans cheap to build."""
+    pairs = ",".join(f"named_struct('i',{i}L,'j',{j}L)" for i in x for j in y)
+    return F.expr(f"array({pairs})")
 
 
 def _spread(df: DataFrame, x: str, y: str, size: float, reach: int) -> DataFrame:
     """One row per tile of the (2*reach+1)^2 block around the row's own tile."""
-    return (df.withColumn("_o", F.explode(_near(reach)))
+    return (df.withColumn("_o", F.explode(offsets(range(-reach, reach + 1), range(-reach, reach + 1))))
             .withColumns({"_bx": _tile(x, size) + F.col("_o.i"),
                           "_by": _tile(y, size) + F.col("_o.j")})
             .drop("_o"))
@@ -68,26 +67,22 @@ def _square(a: Column) -> Column:
 
 def _gap2(size: float) -> Column:
     """Squared distance from (_qx,_qy) to the nearest edge of tile (_bx,_by)."""
-    s = F.lit(float(size))
-    dx = F.greatest(F.col("_bx") * s - F.col("_qx"), F.lit(0.0),
-                    F.col("_qx") - (F.col("_bx") + 1) * s)
-    dy = F.greatest(F.col("_by") * s - F.col("_qy"), F.lit(0.0),
-                    F.col("_qy") - (F.col("_by") + 1) * s)
-    return _square(dx) + _square(dy)
+    def gap(p: str, b: str) -> str:
+        return f"greatest({b} * {size!r}D - {p}, 0D, {p} - ({b} + 1) * {size!r}D)"
+
+    return F.expr(f"pow({gap('_qx', '_bx')}, 2D) + pow({gap('_qy', '_by')}, 2D)")
 
 
 def _far(size: float) -> Column:
     """Distance from (_qx,_qy) to the farthest corner of tile (_bx,_by)."""
-    s = F.lit(float(size))
-    dx = F.greatest(F.abs(F.col("_qx") - F.col("_bx") * s),
-                    F.abs(F.col("_qx") - (F.col("_bx") + 1) * s))
-    dy = F.greatest(F.abs(F.col("_qy") - F.col("_by") * s),
-                    F.abs(F.col("_qy") - (F.col("_by") + 1) * s))
-    return F.sqrt(_square(dx) + _square(dy))
+    def far(p: str, b: str) -> str:
+        return f"greatest(abs({p} - {b} * {size!r}D), abs({p} - ({b} + 1) * {size!r}D))"
+
+    return F.expr(f"sqrt(pow({far('_qx', '_bx')}, 2D) + pow({far('_qy', '_by')}, 2D))")
 
 
 def _raw2() -> Column:
-    return (_square(F.col("_qx") - F.col("_tx")) + _square(F.col("_qy") - F.col("_ty")))
+    return F.expr("(_qx - _tx) * (_qx - _tx) + (_qy - _ty) * (_qy - _ty)")
 
 
 def _distance() -> Column:
@@ -95,10 +90,7 @@ def _distance() -> Column:
 
 
 def _children(df: DataFrame) -> DataFrame:
-    quarter = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"),
-                                 F.lit(j).cast("bigint").alias("j"))
-                        for i in (0, 1) for j in (0, 1)])
-    return (df.withColumn("_o", F.explode(quarter))
+    return (df.withColumn("_o", F.explode(offsets(range(2), range(2))))
             .withColumns({"_bx": F.col("_bx") * 2 + F.col("_o.i"),
                           "_by": F.col("_by") * 2 + F.col("_o.j")})
             .drop("_o"))
@@ -209,7 +201,7 @@ def radius_aggregate(queries: DataFrame, targets: DataFrame, radius: float,
     cols = [c for _, c in aggs.values() if c]
     q = _plane(queries, lat0, "_qx", "_qy", [q_id])
     t = _plane(targets, lat0, "_tx", "_ty", list(dict.fromkeys(cols)))
-    places = t.groupBy("_tx", "_ty").agg(*_named(first))
+    places = cut(t.groupBy("_tx", "_ty").agg(*_named(first)))
 
     def tiles(size: float) -> DataFrame:
         return (_own(places, "_tx", "_ty", size).groupBy("_bx", "_by")
@@ -227,7 +219,6 @@ def radius_aggregate(queries: DataFrame, targets: DataFrame, radius: float,
                 .agg(F.count(F.lit(1)).alias("_n"))) <= cap:
         hits = rim(frontier, size)
     else:
-        places = cut(places)
         pieces = []
         for depth in range(MAX_DEPTH + 1):
             level = tiles(size)
@@ -273,7 +264,7 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, *, q_id: str, t_id: str,
     t = _plane(targets, lat0, "_tx", "_ty", [t_id, *t_cols])
     # Copies of one location: only the first few ids can ever be neighbours.
     spot = Window.partitionBy("_tx", "_ty").orderBy(t_id)
-    t = t.withColumn("_c", F.row_number().over(spot)).filter(F.col("_c") <= want).drop("_c")
+    t = cut(t.withColumn("_c", F.row_number().over(spot)).filter(F.col("_c") <= want).drop("_c"))
 
     box = t.agg(F.count(F.lit(1)), F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).first()
     total = int(box[0])
@@ -288,7 +279,7 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, *, q_id: str, t_id: str,
     reach = max(max(box[2], qbox[1]) - min(box[1], qbox[0]),
                 max(box[4], qbox[3]) - min(box[3], qbox[2]), 1e-3) + 2 * SLACK
     area = max(box[2] - box[1], 1e-3) * max(box[4] - box[3], 1e-3)
-    base = math.sqrt(area * want / (3.0 * total))
+    base = math.sqrt(area * want / total)
     if limit_km is not None:
         base = min(base, limit_km)
     need = min(want, total)
@@ -305,6 +296,10 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, *, q_id: str, t_id: str,
 
     ground = cut(counts(0))
 
+    # Nearest of the block's (at most nine) tiles that together hold enough targets.
+    enough = (f"aggregate(_l, named_struct('c', 0L, 'u', 0D), (a, e) -> "
+              f"if(a.c >= {need}L, a, named_struct('c', a.c + e._n, 'u', e._f)), a -> a.u)")
+
     # Step 1: the tile size of every query.
     started: dict[int, DataFrame] = {}
     open_q, level = q, 0
@@ -315,7 +310,8 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, *, q_id: str, t_id: str,
         seen = (_spread(open_q, "_qx", "_qy", size, 1).join(level_counts, ["_bx", "_by"])
                 .withColumn("_f", _far(size))
                 .groupBy(q_id, "_qx", "_qy")
-                .agg(F.sum("_n").alias("_sum"), F.max("_f").alias("_u")))
+                .agg(F.sum("_n").alias("_sum"), F.array_sort(F.collect_list(F.struct("_f", "_n"))).alias("_l"))
+                .withColumn("_u", F.expr(enough)).drop("_l"))
         if limit_km is not None:
             seen = seen.withColumn("_u", F.least(F.col("_u"), F.lit(float(limit_km))))
         if last:
@@ -346,7 +342,9 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, *, q_id: str, t_id: str,
             frontier = fresh if frontier is None else frontier.unionByName(fresh)
         if frontier is None:
             continue
-        if level > floor_level and crowded.get(level, True):
+        if level not in crowded:
+            crowded[level] = _largest(counts(level)) > cap
+        if level > floor_level and crowded[level]:
             sure = F.min(F.when(F.col("_n") >= want, F.col("_f"))).over(Window.partitionBy(q_id))
             state = cut(frontier.join(ground if level == 0 else counts(level), ["_bx", "_by"])
                         .withColumn("_f", _far(size))
