@@ -23,21 +23,21 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
     Every round each vertex hooks to its smallest neighbour, chains are
     shortened twice, and the graph is contracted to the vertices that remain.
     """
-    assign = nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("component")).distinct()
     e = cut(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
             .filter(F.col("a") != F.col("b")).distinct())
+
+    def follow(step: DataFrame, via: DataFrame) -> DataFrame:
+        nxt = via.select(F.col("v").alias("p"), F.col("p").alias("_g"))
+        return step.join(nxt, "p", "left").select("v", F.coalesce("_g", "p").alias("p"))
+
+    moves = []
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
         hook = (both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
                 .select("v", F.least("v", "m").alias("p")))
-        hook = cut(hook)
-
-        def follow(step: DataFrame, via: DataFrame) -> DataFrame:
-            nxt = via.select(F.col("v").alias("p"), F.col("p").alias("_g"))
-            return step.join(nxt, "p", "left").select("v", F.coalesce("_g", "p").alias("p"))
-
         jump = follow(hook, hook)
         jump = cut(follow(jump, jump))
+        moves.append(jump)
         to_a = jump.select(F.col("v").alias("a"), F.col("p").alias("_pa"))
         to_b = jump.select(F.col("v").alias("b"), F.col("p").alias("_pb"))
         moved = e.join(to_a, "a").join(to_b, "b").select(F.col("_pa").alias("a"), F.col("_pb").alias("b"))
@@ -46,10 +46,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
             F.col("_q").alias("a"), F.col("p").alias("b"))
         e = cut(moved.union(chain).filter(F.col("a") != F.col("b"))
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    assign = nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("component")).distinct()
+    for jump in moves:
         moved_to = jump.select(F.col("v").alias("component"), F.col("p").alias("_p"))
-        assign = cut(assign.join(moved_to, "component", "left")
-                     .select("id", F.coalesce("_p", "component").alias("component")))
+        assign = (assign.join(moved_to, "component", "left")
+                  .select("id", F.coalesce("_p", "component").alias("component")))
     # Vertices were merged towards smaller ids, but the root need not be the smallest.
+    assign = cut(assign)
     low = assign.groupBy("component").agg(F.min("id").alias("_low"))
     return assign.join(low, "component").select(
         F.col("id").alias(id_col), F.col("_low").alias("component"))

@@ -307,17 +307,23 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
 
 
 def _quantile_values(table: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """Quantiles of the scores in a score table, one row each."""
-    names = [f"p{i}" for i in range(len(probs))]
-    at = [(p, F.lit(float(p)) * (F.col("n") - 1)) for p in probs]
-    aggs = []
-    for name, (_, pos) in zip(names, at):
-        low, high = F.floor(pos), F.ceil(pos)
-        first, last = F.col("below"), F.col("below") + F.col("cnt") - 1
-        lo = F.max(F.when(low.between(first, last), F.col("score")))
-        hi = F.max(F.when(high.between(first, last), F.col("score")))
-        aggs.append((lo + (hi - lo) * F.max(pos - low)).alias(name))
-    return table.agg(*aggs).select(F.explode(F.array(*names)).alias("t"))
+    """Quantiles of the scores in a score table, one row ``t`` each.
+
+    Every score picks the probabilities whose position it covers.
+    """
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    first, last = F.col("below"), F.col("below") + F.col("cnt") - 1
+
+    def at(p: Column) -> Column:
+        return p * (F.col("n") - 1)
+
+    hits = F.filter(wanted, lambda p: F.floor(at(p)).between(first, last) | F.ceil(at(p)).between(first, last))
+    rows = table.withColumn("_q", F.explode(hits))
+    low, high = F.floor(at(F.col("_q"))), F.ceil(at(F.col("_q")))
+    ends = rows.groupBy("_q").agg(F.max(F.when(low.between(first, last), F.col("score"))).alias("_l"),
+                                  F.max(F.when(high.between(first, last), F.col("score"))).alias("_h"),
+                                  F.max(at(F.col("_q")) - low).alias("_w"))
+    return ends.select((F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_w")).alias("t"))
 
 
 # ------------------------------------------------------------------ other ranks

@@ -1 +1,119 @@
-"""Queries."""
+"""Queries over fitted models (ML, T4, ST1)."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from terrascout.functions.portable import uniform
+from terrascout.operators import labels, models, rank
+from terrascout.plans.fixtures import TABLES, query, r6, rounded, sql
+from terrascout.session import scratch_path
+from terrascout.streaming import jobs
+
+COLS = ["f_score", "f_other", "f_std", "f_lat", "f_lon"]
+
+
+def learning_cells(fx):
+    """Scored cells whose label follows two of the features with some noise."""
+    noise = uniform(F.col("cell_id"), 7) * 0.3
+    return fx.scores.select(
+        "cell_id", F.col("p_a").alias("f_score"), F.col("p_b").alias("f_other"), F.col("p_std").alias("f_std"),
+        F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"),
+        (F.col("p_a") + 0.5 * F.col("p_b") + noise > 0.75).cast("int").alias("label"))
+
+
+def _metrics(fx, fit):
+    """Fit on the training rows of a stratified split, score all, report the test rows."""
+    cells = labels.random_split(learning_cells(fx), id_col="cell_id", by=["label"])
+    model = fit(cells.filter("split = 'train'"), COLS)
+    scored = model.score(cells)
+    return rank.metric_bundle(scored.filter("split = 'test'"), "score", "label", "cell_id")
+
+
+@query("ML1_rule_score", sql("scores", f"select cell_id, {r6('p_a')} as score from fx_scores"))
+def ml1(fx):
+    return rounded(models.rule_score(fx.scores, "p_a").select("cell_id", "score"), "score")
+
+
+@query("ML2_logreg")
+def ml2(fx):
+    return _metrics(fx, models.fit_logreg)
+
+
+@query("ML3_forest")
+def ml3(fx):
+    return _metrics(fx, partial(models.fit_forest, trees=20, depth=8))
+
+
+@query("ML4_boosted")
+def ml4(fx):
+    return _metrics(fx, partial(models.fit_boosted, trees=10, depth=4))
+
+
+@query("ML5_flat_mlp")
+def ml5(fx):
+    return _metrics(fx, partial(models.fit_mlp, hidden=(16, 16, 8), iterations=40))
+
+
+@query("ML6_ensemble_score")
+def ml6(fx):
+    """Mean and spread of five bootstrap members for every cell."""
+    cells = learning_cells(fx)
+    members = models.fit_ensemble(cells, COLS, members=5)
+    return models.score_with_uncertainty(cells, members).select("cell_id", "p_mean", "p_std")
+
+
+@query("ML7_score_all")
+def ml7(fx):
+    cells = learning_cells(fx)
+    return models.fit_logreg(cells, COLS).score(cells).select("cell_id", "score")
+
+
+@query("ML8_leave_one_site_out")
+def ml8(fx):
+    """Polygon centres as positives against all cells."""
+    centres = fx.rings.groupBy("poly_id").agg(F.avg("lat").alias("f_lat"), F.avg("lon").alias("f_lon"))
+    cells = fx.cells.select((F.col("cell_id") + 1000).alias("poly_id"), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"))
+    return models.leave_one_site_out(centres, cells, ["f_lat", "f_lon"], id_col="poly_id",
+                                     fit=partial(models.fit_logreg, iterations=10))
+
+
+@query("ML9_sweep")
+def ml9(fx):
+    """Negative ratios, and one feature group left out, one metrics row each."""
+    cells = labels.random_split(learning_cells(fx), id_col="cell_id", by=["label"]).withColumn("province", F.floor("f_lat").cast("string")).persist()
+    train, test = cells.filter("split = 'train'"), cells.filter("split = 'test'")
+    n_pos = train.filter("label = 1").count()
+
+    def run(df, ratio=None, cols=COLS):
+        if ratio:
+            negatives = labels.stratified_negatives(df.filter("label = 0"), n_pos, ratio)
+            df = df.filter("label = 1").unionByName(negatives.select(*df.columns))
+        model = models.fit_logreg(df, cols)
+        return rank.metric_bundle(model.score(test), "score", "label", "cell_id")
+
+    return models.sweep(train, {"ratio_1": {"ratio": 1}, "ratio_5": {"ratio": 5}, "no_place": {"cols": COLS[:3]}, "no_score": {"cols": COLS[1:]}}, run)
+
+
+@query("T4_permutation_importance")
+def t4(fx):
+    cells = learning_cells(fx)
+    model = models.fit_logreg(cells, COLS)
+    groups = {"scores": ["f_score", "f_other"], "spread": ["f_std"], "place": ["f_lat", "f_lon"]}
+    return models.permutation_importance(model, cells, groups, id_col="cell_id", repeats=2)
+
+
+@query("ST1_score_in_batches")
+def st1(fx):
+    """The event table scored as a stream by a model fitted on the table."""
+    model = models.fit_logreg(learning_cells(fx), COLS)
+    reader = fx.spark.readStream.schema(fx.table("events").schema).parquet(f"{fx.folder}/events*.parquet")
+    rows = reader.selectExpr(*[f"{e} as {c}" for c, e in TABLES["scores"][1].items()]).select(
+        "cell_id", F.col("p_a").alias("f_score"), F.col("p_b").alias("f_other"), F.col("p_std").alias("f_std"),
+        F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"))
+    scored = jobs.score_stream(rows, model).select("cell_id", "score")
+    out = scratch_path(fx.spark, "st1")
+    jobs.run_to_table(scored, out, scratch_path(fx.spark, "st1-state"))
+    return fx.spark.read.schema(scored.schema).parquet(out)

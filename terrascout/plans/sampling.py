@@ -1 +1,175 @@
-"""Queries."""
+"""Queries over samples, splits and folds (D)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terrascout.functions import geo
+from terrascout.functions.portable import uniform_sql
+from terrascout.operators import labels, stats, tiles
+from terrascout.plans.fixtures import DIST, LAT0, query, r6, rounded, sql
+from terrascout.plans.scalars import SITE_KM, covered_cells
+from terrascout.plans.sources import PROVINCE_SQL
+
+U42 = uniform_sql("cell_id", 42)
+
+
+def _negatives_sql(pool: str) -> str:
+    return f"""pool as ({pool}),
+tgt as (select least((select sum(label) from fx_scores) * 2, count(*)) as target, count(*) as size from pool),
+prov as (select province, count(*) as m, least(count(*), greatest(1, floor(max(target)::double * count(*) / max(size)))) as take from pool cross join tgt group by 1),
+plan as (select *, coalesce(sum(take) over (order by province rows between unbounded preceding and 1 preceding), 0) as before from prov),
+drawn as (select cell_id, province, row_number() over (partition by province order by {U42}, cell_id) as rn from pool)"""
+
+
+@query("D1_stratified_negatives", sql("scores sites", """
+select cell_id, province from drawn join plan using (province) cross join tgt where rn <= take and before + rn <= target""", SITE_KM,
+                                      _negatives_sql(f"select *, {PROVINCE_SQL} as province from cov where site_km >= 50 and not covered")))
+def d1(fx):
+    """Uncovered cells at least 50 km from every site, two per positive, by province."""
+    cells = covered_cells(fx).withColumn("province", geo.province(F.col("lat"), F.col("lon")))
+    n_pos = int(fx.scores.agg(F.sum("label")).first()[0])
+    pool = labels.negative_candidates(cells, "coverage", 50.0)
+    return labels.stratified_negatives(pool, n_pos, 2).select("cell_id", "province")
+
+
+@query("D1_documented_negatives", sql("scores sites", """
+select cell_id, province from drawn join plan using (province) cross join tgt where rn <= take and before + rn <= target""", SITE_KM,
+                                      _negatives_sql(f"select *, {PROVINCE_SQL} as province from cov where site_km >= 50 and p_b * 100 > 25 and p_a * 200 < 60")))
+def d1b(fx):
+    """The described rule: far from sites and springs, low heat flow."""
+    cells = covered_cells(fx).withColumns({
+        "province": geo.province(F.col("lat"), F.col("lon")), "spring_km": F.col("p_b") * 100, "heat_flow": F.col("p_a") * 200})
+    n_pos = int(fx.scores.agg(F.sum("label")).first()[0])
+    return labels.stratified_negatives(labels.negative_candidates(cells, "documented"), n_pos, 2).select("cell_id", "province")
+
+
+def _split_sql(part: str) -> str:
+    return f"""select cell_id, case when rn <= floor(0.7::double * n) then 'train' when rn <= floor(0.7::double * n) + floor(0.15::double * n) then 'val' else 'test' end as split
+from (select cell_id, row_number() over ({part} order by {U42}, cell_id) as rn, count(*) over ({part}) as n from fx_scores)"""
+
+
+@query("D2_random_split", sql("scores", _split_sql("")))
+def d2(fx):
+    return labels.random_split(fx.scores.select("cell_id"), id_col="cell_id")
+
+
+@query("D2_holdout_split", sql("scores", f"""
+select cell_id, case when rn <= greatest(50, n // 5) then 'val' else 'train' end as split from (
+ select cell_id, row_number() over (order by {U42}, cell_id) as rn, count(*) over () as n from fx_scores)"""))
+def d2b(fx):
+    return labels.holdout_split(fx.scores.select("cell_id"), id_col="cell_id")
+
+
+@query("D3_stratified_split", sql("scores", _split_sql("partition by label")))
+def d3(fx):
+    return labels.random_split(fx.scores.select("cell_id", "label"), id_col="cell_id", by=["label"]).select("cell_id", "split")
+
+
+@query("D4_group_folds", sql("scores", f"""
+select fold_id, cell_id, 1 as label from pos union all
+select f.fold_id, n.cell_id, 0 from (select distinct fold_id from pos) f cross join (select least(count(*) // 5, 500) as take, count(*) as m from neg) c
+ join neg n on (n.pos - cast(floor({uniform_sql('f.fold_id', 42)} * m) as bigint) + m) % m < take""",
+                             "pos as (select cell_id % 10 as fold_id, cell_id from fx_scores where label = 1)",
+                             f"neg as (select cell_id, row_number() over (order by {U42}, cell_id) - 1 as pos from fx_scores where label = 0)"))
+def d4(fx):
+    labelled = fx.scores.select("cell_id", "label", (F.col("cell_id") % 10).alias("cluster"))
+    return labels.group_folds(labelled)
+
+
+@query("D5_province_transfer", sql("scores", f"""
+select cell_id, case when p in ('Rocky_Mountain', 'Other') then 'train' else 'test' end as split from (select cell_id, {PROVINCE_SQL} as p from fx_scores)
+where p in ('Rocky_Mountain', 'Other', 'Basin_and_Range', 'Cascades')"""))
+def d5(fx):
+    cells = fx.scores.select("cell_id", geo.province(F.col("lat"), F.col("lon")).alias("province"))
+    return labels.transfer_split(cells, ["Rocky_Mountain", "Other"], ["Basin_and_Range", "Cascades"], min_train=10, min_test=5).select("cell_id", "split")
+
+
+@query("D6_cohort_sample", sql("scores sites", f"""
+select cell_id, cohort from (select *, row_number() over (partition by cohort order by {U42}, cell_id) as rn from coh) where rn <= 100""", SITE_KM))
+def d6(fx):
+    return labels.cohort_sample(labels.cohorts(covered_cells(fx)), 100).select("cell_id", "cohort")
+
+
+@query("D7_oversample_weights", sql("scores", """
+select cell_id, cast(copy as integer) as copy, case when label = 1 then 4.0::double else 1.0::double end as weight
+from fx_scores cross join range(4) r(copy) where label = 1 or copy = 0"""))
+def d7(fx):
+    return labels.oversample(labels.class_weights(fx.scores, 4.0), 4).select("cell_id", "copy", "weight")
+
+
+@query("D8_bootstrap_ci")
+def d8(fx):
+    """AUROC with an interval over 50 resamples of all scores."""
+    return stats.bootstrap_auroc(fx.scores, "p_b", "label", "cell_id", rounds=50)
+
+
+@query("D9_far_low_negatives")
+def d9(fx):
+    """As many random places as there are sites, far from them and cool."""
+    n = fx.sites.count()
+    return labels.far_low_negatives(fx.spark, fx.sites, fx.stations, n, box=(31.0, 49.0, -125.0, -103.0), lat0=LAT0, min_km=50.0, max_heat_flow=55.0)
+
+
+# -------------------------------------------------------------------- tests
+
+def _cdf_sql(z: str) -> str:
+    coefficients = (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223)
+    t = f"(1.0::double / (1.0 + 0.5 * abs({z}) / sqrt(2.0)))"
+    poly = "0.17087277::double"
+    for c in coefficients:
+        poly = f"({poly} * {t} + {c}::double)"
+    tail = f"(0.5 * {t} * exp(-({z}) * ({z}) / 2.0 + {poly}))"
+    return f"case when {z} <= 0 then {tail} else 1.0 - {tail} end"
+
+
+def _mw_sql(source: str) -> str:
+    return f"""rk as (select *, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as r, count(*) over (partition by v) as t from ({source})),
+mw as (select sum(r) filter (g = 1) - count(*) filter (g = 1) * (count(*) filter (g = 1) + 1) / 2.0 as u, (count(*) filter (g = 1))::double as n1,
+ (count(*) filter (g = 0))::double as n2, sum((t::double * t * t - t) / t) as ties, median(v) filter (g = 1) as m1, median(v) filter (g = 0) as m0 from rk),
+mz as (select *, (u - n1 * n2 / 2 + 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) as z from mw)"""
+
+
+@query("T1_mann_whitney", sql("scores", f"""
+select u, n1::bigint as n_first, n2::bigint as n_other, {r6(_cdf_sql('z'))} as p, {r6('m1')} as median_first, {r6('m0')} as median_other from mz""",
+                              _mw_sql("select p_a as v, label as g from fx_scores")))
+def t1(fx):
+    return rounded(stats.mann_whitney(fx.scores, "p_a", "label", 1), "p", "median_first", "median_other", "u")
+
+
+@query("T2_background_test", sql("sites faults cells scores", f"""
+select u, n1::bigint as n_first, n2::bigint as n_other, {r6(_cdf_sql('z'))} as p, {r6('m1')} as median_first, {r6('m0')} as median_other,
+ {', '.join(f"{r6(f'(select 100.0 * avg(cast(v <= {b} as double)) from both_ where g = {g})')} as within_{b}_km_{n}" for b in (5, 10, 25, 50) for g, n in ((1, 'place'), (0, 'background')))}
+from mz""", """ln as (select * from (select *, count(*) over (partition by fault_id, part) as n from fx_faults) where n >= 2),
+centres as (select fault_id, avg(x) as x, avg(y) as y from ln group by 1)""",
+                                 f"""far as (select cell_id, x, y from fx_cells join (select cell_id, min({DIST}) as d from fx_cells a cross join fx_sites b group by 1) using (cell_id) where d > 50),
+bg as (select * from far order by {U42}, cell_id limit 1000),
+both_ as (select 1 as g, min({DIST}) as v from fx_sites a cross join centres b group by a.site_id union all select 0, min({DIST}) from bg a cross join centres b group by a.cell_id)""",
+                                 _mw_sql("select * from both_")))
+def t2(fx):
+    """Sites against far background cells by distance to the nearest line."""
+    from terrascout.plans.joins import fault_centres
+
+    out = stats.proximity_test(fx.sites, tiles.cut(fault_centres(fx).select("fault_id", "lat", "lon")), fx.sites, fx.cells,
+                               place_id="site_id", line_id="fault_id", cell_id="cell_id", lat0=LAT0)
+    return rounded(out, *[c for c in out.columns if not c.startswith("n_")])
+
+
+def _paired_rows(fx):
+    return fx.scores.withColumn("province", geo.province(F.col("lat"), F.col("lon")))
+
+
+@query("T3_paired_t", sql("scores", f"""
+select province, count(*) as n, {r6('avg(d)')} as delta_mean, {r6('avg(d) / (stddev_samp(d) / sqrt(count(*)))')} as t_stat from (
+ select {PROVINCE_SQL} as province, p_a - p_b as d from fx_scores) group by 1 having count(*) >= 5"""))
+def t3(fx):
+    return rounded(stats.paired_t(_paired_rows(fx), "p_a", "p_b", by=["province"]), "delta_mean", "t_stat")
+
+
+@query("T3_sign_flip", sql("scores", f"""
+select province, {r6("(count(*) filter (t >= t0 - 1e-9) + 1) / (count(*) + 1)::double")} as p_value from (
+ select province, r, abs(sum(d * case when {uniform_sql('cell_id', 'r + 42')} < 0.5 then 1.0 else -1.0 end)) as t, abs(sum(d)) as t0
+ from (select cell_id, {PROVINCE_SQL} as province, p_a / 4 - p_std as d from fx_scores) cross join range(1, 100) r(r) group by 1, 2) group by 1"""))
+def t3f(fx):
+    rows = _paired_rows(fx).withColumn("quarter", F.col("p_a") / 4)
+    return rounded(stats.sign_flip_p(rows, "quarter", "p_std", "cell_id", by=["province"], rounds=99), "p_value")

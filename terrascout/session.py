@@ -1,4 +1,4 @@
-"""Session settings and the two ways this library cuts lineage."""
+"""Session settings, the shared folder, and how this library cuts lineage."""
 
 from __future__ import annotations
 
@@ -57,11 +57,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint: the result survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write a stage to the shared folder and read it back.
+
+    The lineage ends at the files, which outlive any executor, and the planner
+    sees their true size.  (A checkpointed plan keeps its estimated size, which
+    multiplies from join to join in an iterative job.)
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mean_of(df: DataFrame, column: str) -> float:
