@@ -95,15 +95,16 @@ def fold_audit(sites: DataFrame, tests: DataFrame, cells: DataFrame, radius: flo
     when all the site's near cells are its test cells, so the long training
     table is never built.
     """
-    near = tiles.within(sites, cells, radius, q_id=site_id, t_id=cell_id, lat0=lat0).select(site_id, cell_id)
-    held = (near.join(tests.select("fold_id", cell_id).distinct(), cell_id)
-            .groupBy(site_id, "fold_id").agg(F.count(F.lit(1)).alias("_held")))
+    # Counts per site and fold come from tiles; no (site, cell) pairs are built.
+    placed = tests.select("fold_id", cell_id).distinct().join(cells.select(cell_id, "lat", "lon"), cell_id)
+    held = tiles.radius_aggregate(sites, placed, radius, {"_held": ("count", None)}, q_id=site_id, lat0=lat0,
+                                  t_by=["fold_id"])
     folds = tests.select("fold_id").distinct()
     if role == "test":
         touched = held.select(site_id, "fold_id")
         n = touched.groupBy(site_id).agg(F.count(F.lit(1)).alias("n_folds"))
     else:
-        around = near.groupBy(site_id).agg(F.count(F.lit(1)).alias("_near"))
+        around = tiles.radius_aggregate(sites, cells, radius, {"_near": ("count", None)}, q_id=site_id, lat0=lat0)
         missing = held.join(around, site_id).filter(F.col("_held") == F.col("_near")).select(site_id, "fold_id")
         n_folds = folds.count()
         lost = missing.groupBy(site_id).agg(F.count(F.lit(1)).alias("_lost"))

@@ -9,6 +9,7 @@ own that is cut again by id.  All metrics below build on it.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -16,16 +17,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE_ROWS = 50_000  # rows one window task should sort
-MAX_PIECES = 1_000   # bound on cut points, and so on every offset table per group
+PIECE_ROWS = 500_000  # rows one window task should sort
+MAX_PIECES = 20_000   # bound on cut points; every offset table has at most a few times as many rows per group
 
 
-def _cut_points(df: DataFrame, col: str, pieces: int) -> tuple[list[float], list[float]]:
-    """Approximate quantiles, and the values that recur among them."""
+def _cut_points(df: DataFrame, col: str, pieces: int) -> tuple[list[float], dict[float, int]]:
+    """Approximate quantiles, and how often a heavy value recurs among them."""
     probs = [i / pieces for i in range(1, pieces)]
     marks = df.approxQuantile(col, probs, 1.0 / (4 * pieces)) if probs else []
-    heavy = sorted({a for a, b in zip(marks, marks[1:]) if a == b})
-    points = set(marks)
+    seen = Counter(marks)
+    heavy = {value: times for value, times in seen.items() if times > 1}
+    points = set(seen)
     for value in heavy:
         points.update((value, math.nextafter(value, math.inf)))
     return sorted(points), heavy
@@ -53,12 +55,18 @@ def cumulate(df: DataFrame, key: str, id_col: str, sums: dict[str, Column] | Non
     df = df.withColumns({f"_s_{n}": c for n, c in sums.items()})
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     pieces = min(MAX_PIECES, math.ceil(df.count() / piece_rows))
-    points, heavy = _cut_points(df, "_k", pieces) if pieces > 1 else ([], [])
+    points, heavy = _cut_points(df, "_k", pieces) if pieces > 1 else ([], {})
     df = _bucket(df, "_k", "_b", points)
     if heavy:
-        ids, _ = _cut_points(df.withColumn("_i", F.col(id_col).cast("double")), "_i", pieces)
-        df = _bucket(df.withColumn("_i", F.col(id_col).cast("double")), "_i", "_ib", ids).drop("_i")
-        df = df.withColumn("_ib", F.when(F.col("_k").isin(heavy), F.col("_ib")).otherwise(0))
+        # A value met m times among the cut points gets m + 1 id pieces, so all
+        # heavy values together have at most twice as many pieces as there are cuts.
+        df = df.withColumn("_i", F.col(id_col).cast("double"))
+        ids, _ = _cut_points(df, "_i", pieces)
+        df = _bucket(df, "_i", "_ib", ids).drop("_i")
+        table = df.sparkSession.createDataFrame([(v, m + 1) for v, m in heavy.items()], "_k double, _m int")
+        df = (df.join(F.broadcast(table), "_k", "left")  # at most MAX_PIECES rows
+              .withColumn("_ib", F.coalesce(F.floor(F.col("_ib") * F.col("_m") / F.lit(len(ids) + 1)), F.lit(0)).cast("int"))
+              .drop("_m"))
     else:
         df = df.withColumn("_ib", F.lit(0))
 

@@ -186,11 +186,12 @@ def _named(exprs: dict[str, Column]) -> list[Column]:
 
 def radius_aggregate(queries: DataFrame, targets: DataFrame, radius: float,
                      aggs: dict[str, tuple[str, str | None]], *, q_id: str,
-                     lat0: float | None = None, cap: int = 256) -> DataFrame:
+                     lat0: float | None = None, t_by: Sequence[str] = (), cap: int = 256) -> DataFrame:
     """Aggregate the targets within ``radius`` (inclusive) of every query.
 
     ``aggs`` maps an output name to ``(kind, column)`` with kind one of count,
     sum, avg, min, max; NULLs are skipped.  Queries without a hit are absent.
+    ``t_by`` groups the result by target columns as well.
 
     Targets are first merged per location.  Where a tile still holds more than
     ``cap`` locations it is quartered: quarters inside the circle add their
@@ -198,47 +199,47 @@ def radius_aggregate(queries: DataFrame, targets: DataFrame, radius: float,
     A hot spot therefore costs a few tiles per query and never all its rows.
     """
     first, merge, final = _partials(aggs)
+    by = list(t_by)
     cols = [c for _, c in aggs.values() if c]
     q = _plane(queries, lat0, "_qx", "_qy", [q_id])
-    t = _plane(targets, lat0, "_tx", "_ty", list(dict.fromkeys(cols)))
-    places = cut(t.groupBy("_tx", "_ty").agg(*_named(first)))
+    t = _plane(targets, lat0, "_tx", "_ty", list(dict.fromkeys([*by, *cols])))
+    places = cut(t.groupBy("_tx", "_ty", *by).agg(*_named(first)))
 
-    def tiles(size: float) -> DataFrame:
+    def crowd(size: float) -> DataFrame:
         return (_own(places, "_tx", "_ty", size).groupBy("_bx", "_by")
-                .agg(F.count(F.lit(1)).alias("_n"), *_named(merge)))
+                .agg(F.count(F.lit(1)).alias("_n")))
+
+    def merged(size: float) -> DataFrame:
+        return _own(places, "_tx", "_ty", size).groupBy("_bx", "_by", *by).agg(*_named(merge))
 
     def rim(frontier: DataFrame, size: float) -> DataFrame:
         return (frontier.join(_own(places, "_tx", "_ty", size), ["_bx", "_by"])
                 .filter(_raw2() <= F.lit((radius + SLACK) ** 2))
                 .filter(_distance() <= F.lit(float(radius)))
-                .select(q_id, *first))
+                .select(q_id, *by, *first))
 
     size = float(radius)
     frontier = _spread(q, "_qx", "_qy", size, 1).filter(_gap2(size) <= F.lit((radius + SLACK) ** 2))
-    if _largest(_own(places, "_tx", "_ty", size).groupBy("_bx", "_by")
-                .agg(F.count(F.lit(1)).alias("_n"))) <= cap:
-        hits = rim(frontier, size)
-    else:
-        pieces = []
-        for depth in range(MAX_DEPTH + 1):
-            level = tiles(size)
-            if depth == MAX_DEPTH or _largest(level) <= cap:
-                pieces.append(rim(frontier, size))
-                break
-            state = cut(frontier.join(level, ["_bx", "_by"])
-                        .withColumn("_in", _far(size) <= F.lit(radius - SLACK)))
-            pieces.append(state.filter("_in").select(q_id, *first))
-            pieces.append(rim(state.filter(~F.col("_in") & (F.col("_n") <= cap))
-                              .select(q_id, "_qx", "_qy", "_bx", "_by"), size))
-            size /= 2
-            frontier = (_children(state.filter(~F.col("_in") & (F.col("_n") > cap))
-                                  .select(q_id, "_qx", "_qy", "_bx", "_by"))
-                        .filter(_gap2(size) <= F.lit((radius + SLACK) ** 2)))
-        hits = pieces[0]
-        for piece in pieces[1:]:
-            hits = hits.unionByName(piece)
-    return (hits.groupBy(q_id).agg(*_named(merge))
-            .select(q_id, *[c.alias(n) for n, c in final.items()]))
+    pieces = []
+    for depth in range(MAX_DEPTH + 1):
+        level = crowd(size)
+        if depth == MAX_DEPTH or _largest(level) <= cap:
+            pieces.append(rim(frontier, size))
+            break
+        state = cut(frontier.join(level, ["_bx", "_by"])
+                    .withColumn("_in", _far(size) <= F.lit(radius - SLACK)))
+        pieces.append(state.filter("_in").join(merged(size), ["_bx", "_by"]).select(q_id, *by, *first))
+        pieces.append(rim(state.filter(~F.col("_in") & (F.col("_n") <= cap))
+                          .select(q_id, "_qx", "_qy", "_bx", "_by"), size))
+        size /= 2
+        frontier = (_children(state.filter(~F.col("_in") & (F.col("_n") > cap))
+                              .select(q_id, "_qx", "_qy", "_bx", "_by"))
+                    .filter(_gap2(size) <= F.lit((radius + SLACK) ** 2)))
+    hits = pieces[0]
+    for piece in pieces[1:]:
+        hits = hits.unionByName(piece)
+    return (hits.groupBy(q_id, *by).agg(*_named(merge))
+            .select(q_id, *by, *[c.alias(n) for n, c in final.items()]))
 
 
 # ------------------------------------------------------------------ neighbours

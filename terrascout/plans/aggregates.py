@@ -80,13 +80,13 @@ def a3(fx):
 
 
 @query("A4_cluster_summary", sql("scores", f"""
-select cast(floor(lat) * 100 + floor(lon) + 200 as bigint) as discovery_id, {r6('avg(lat)')} as lat, {r6('avg(lon)')} as lon, count(*) * 16.0::double as area_km2,
- {r6('avg(p_a)')} as p_mean, {r6('avg(p_std)')} as p_std, count(*) as n_cells, {r6('max(p_a)')} as p_max from fx_scores group by 1"""))
+select cast(floor(lat) * 100 + floor(lon) + 200 as bigint) as discovery_id, {r6('avg(lat)', 9)} as lat, {r6('avg(lon)', 9)} as lon, count(*) * 16.0::double as area_km2,
+ {r6('avg(p_a)')} as p_mean, {r6('avg(p_std)', 9)} as p_std, count(*) as n_cells, {r6('max(p_a)')} as p_max from fx_scores group by 1"""))
 def a4(fx):
     """Clusters given by degree squares."""
     square = (F.floor("lat") * 100 + F.floor("lon") + 200).cast("bigint")
     out = discovery.summarise_clusters(fx.scores.withColumnRenamed("p_a", "p_mean").withColumn("cluster", square))
-    return rounded(out, "lat", "lon", "p_mean", "p_std", "p_max", "area_km2")
+    return rounded(rounded(out, "p_mean", "p_max", "area_km2"), "lat", "lon", "p_std", digits=9)
 
 
 @query("A5_province_counts", sql("cells sites", f"""

@@ -30,7 +30,7 @@ def discoveries(fx):
 
 
 @query("G3_discovery_chain", sql("scores sites faults", f"""
-select discovery_id, {r6('lat')} as lat, {r6('lon')} as lon, area_km2, {r6('p_mean')} as p_mean, {r6('p_std')} as p_std, n_cells, {r6('p_max')} as p_max, province,
+select discovery_id, {r6('lat', 9)} as lat, {r6('lon', 9)} as lon, area_km2, {r6('p_mean')} as p_mean, {r6('p_std', 9)} as p_std, n_cells, {r6('p_max')} as p_max, province,
  case when province in ('Basin_and_Range', 'Cascades', 'Snake_River_Plain', 'Salton_Trough') or fd < 50 or vd < 100 then 'plausible' else 'implausible' end as plausibility
 from (select *, {PROVINCE_SQL} as province from sxy)
 left join (select discovery_id, min({DIST}) as fd from sxy a cross join centres b group by 1) using (discovery_id)
@@ -38,7 +38,7 @@ left join (select discovery_id, min({DIST}) as vd from sxy a cross join volc b g
 def chain(fx):
     """Filter, exclude, cluster, summarise and judge the whole scored table."""
     out = discoveries(fx)
-    return rounded(out, "lat", "lon", "p_mean", "p_std", "p_max", "area_km2")
+    return rounded(rounded(out, "p_mean", "p_max", "area_km2"), "lat", "lon", "p_std", digits=9)
 
 
 _FROZEN = """fz as (select discovery_id, lat, lon, area_km2, t_res as t_res_central, area_km2 / 10 as mwe_p10, area_km2 / 4 as mwe_p50, area_km2 / 2 as mwe_p90, PROV as province,

@@ -288,8 +288,10 @@ def i1(fx):
     return rounded(stats.idw(fx.cells, fx.stations, 5, 20.0, q_id="cell_id", t_id="station_id", lat0=LAT0), "value", "nearest_km")
 
 
-# Stations meet stations of the 3 x 3 tiles around them: 100 km tiles hold the five nearest of a station everywhere.
-LOO_SQL = f"""st as (select *, cast(floor(x / 100) as bigint) as bx, cast(floor(y / 100) as bigint) as by_ from fx_stations),
+# Stations meet stations of the 3 x 3 tiles around them; a tile holds 27 stations on average,
+# so the five nearest of a station lie closer than one tile.
+LOO_SQL = f"""st as (select *, cast(floor(x / tile) as bigint) as bx, cast(floor(y / tile) as bigint) as by_ from fx_stations
+ cross join (select sqrt(1.01e8 / count(*)) as tile from fx_stations)),
 st9 as (select st.*, bx + i as jx, by_ + j as jy from st cross join range(-1, 2) a(i) cross join range(-1, 2) b(j)),
 nn as (select * from (select a.station_id, a.hf as observed, b.hf as other, {DIST} as d, row_number() over (partition by a.station_id order by {DIST}, b.station_id) as rk
  from st9 a join st b on b.bx = a.jx and b.by_ = a.jy and b.station_id <> a.station_id) where rk <= 5),

@@ -130,11 +130,15 @@ def w10(fx):
     return rank.first_match(rows, "fault_id", "seq", ["status"])
 
 
-_MIRROR = """dims as (select max(prow) + 1 as nr, max(pcol) + 1 as nc from fx_pixels),
-rr as (select prow as r, i from (select distinct prow from fx_pixels) cross join range(-4, 4) o(i)),
+def _folded(at: str, n: str) -> str:
+    """Index of the pixel that a position mirrors to."""
+    m = f"(abs({at}) % greatest(1, 2 * ({n} - 1)))"
+    return f"(case when {m} >= {n} then 2 * ({n} - 1) - {m} else {m} end)"
+
+
+_MIRROR = f"""dims as (select max(prow) + 1 as nr, max(pcol) + 1 as nc from fx_pixels),
 win as (select a.prow as r0, a.pcol as c0, p.value as v from fx_pixels a cross join dims cross join range(-4, 4) i(i) cross join range(-4, 4) j(j)
- join fx_pixels p on p.prow = (case when a.prow + i < 0 then -(a.prow + i) when a.prow + i >= nr then 2 * (nr - 1) - (a.prow + i) else a.prow + i end)
- and p.pcol = (case when a.pcol + j < 0 then -(a.pcol + j) when a.pcol + j >= nc then 2 * (nc - 1) - (a.pcol + j) else a.pcol + j end))"""
+ join fx_pixels p on p.prow = {_folded('a.prow + i', 'nr')} and p.pcol = {_folded('a.pcol + j', 'nc')})"""
 
 
 def pixel_cells(fx):

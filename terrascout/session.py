@@ -20,6 +20,9 @@ RECOMMENDED = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}  # local sessions without the setting
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings above to an existing session."""
     for key, value in RECOMMENDED.items():
@@ -46,9 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="terrascout-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    key = spark.sparkContext.applicationId
+    if key not in _LOCAL_DIRS:
+        _LOCAL_DIRS[key] = tempfile.mkdtemp(prefix="terrascout-")
+    return _LOCAL_DIRS[key]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

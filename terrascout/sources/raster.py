@@ -132,16 +132,15 @@ def focal_mean(points: DataFrame, px: DataFrame, bounds: Bounds, half_km: float,
 def mirrored(cells: DataFrame, n_rows: int, n_cols: int, before: int, after: int) -> DataFrame:
     """Cells plus their mirror images beyond the edge; the edge itself is not repeated.
 
-    The border must be narrower than the grid: before < n, after < n.
+    Positions repeat with period 2 (n - 1), so a border wider than the grid
+    mirrors again and again.
     """
-    if max(before, after) >= min(n_rows, n_cols):
-        raise ValueError("the patch reaches past a full mirror image of the grid")
-
     def images(axis: str, n: int) -> Column:
-        at = F.col(axis)
-        return F.array_compact(F.array(
-            at, F.when((at > 0) & (at <= before), -at),
-            F.when((at < n - 1) & (at >= n - 1 - after), 2 * (n - 1) - at)))
+        period = max(1, 2 * (n - 1))
+        turns = (n + before + after) // period + 1
+        shifts = F.expr(f"sequence({-turns * period}, {turns * period}, {period})")
+        both = F.concat(F.transform(shifts, lambda k: k + F.col(axis)), F.transform(shifts, lambda k: k - F.col(axis)))
+        return F.array_distinct(F.filter(both, lambda p: p.between(-before, n - 1 + after)))
 
     return (cells.withColumn("_r", F.explode(images("row", n_rows)))
             .withColumn("_c", F.explode(images("col", n_cols))))
