@@ -151,6 +151,13 @@ def sources_per_cell(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     return df.groupBy(count.alias("n_sources")).agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+def class_ratio(df: DataFrame, label: str = "label") -> DataFrame:
+    """Positives, negatives and negatives per positive."""
+    pos = F.count_if(F.col(label) == 1)
+    neg = F.count_if(F.col(label) == 0)
+    return df.agg(pos.alias("n_pos"), neg.alias("n_neg"), (neg / F.nullif(pos, F.lit(0))).alias("ratio"))
+
+
 def tabular_features(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
     """Assemble the model's feature vector (P13); NULL counts as 0."""
     from pyspark.ml.feature import VectorAssembler

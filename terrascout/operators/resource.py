@@ -50,11 +50,12 @@ def monte_carlo(sites: DataFrame, n: int = 2000, seed: int = 42, *, id_col: str
     """P10/P50/P90, mean and mean inputs per site (MC1).  A group is ``n`` draws."""
     drawn = draws(sites.select(id_col, *keys, area, temperature), n, seed, id_col=id_col, area=area,
                   temperature=temperature)
-    return drawn.groupBy(id_col, *keys).agg(
-        *[F.percentile("mwe", F.lit(p)).alias(name) for p, name in
-          ((0.1, "mwe_p10"), (0.5, "mwe_p50"), (0.9, "mwe_p90"))],
+    out = drawn.groupBy(id_col, *keys).agg(
+        F.percentile("mwe", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q"),
         F.avg("mwe").alias("mwe_mean"), F.max(temperature).alias("t_res_central"), F.avg("t").alias("t_res_mean_draws"),
         F.avg("h").alias("thickness_mean_m"), F.avg("rf").alias("rf_mean"), F.avg("eta").alias("eta_mean"))
+    named = [F.col("_q")[i].alias(f"mwe_{q}") for i, q in enumerate(("p10", "p50", "p90"))]
+    return out.select(id_col, *keys, *named, *[c for c in out.columns if c not in (id_col, *keys, "_q")])
 
 
 def shift_name(delta: int) -> str:

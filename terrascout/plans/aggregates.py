@@ -121,6 +121,12 @@ def a6b(fx):
     return features.sources_per_cell(flags, ["a", "b", "c"])
 
 
+@query("A6_class_ratio", sql("scores", f"""
+select count(*) filter (label = 1) as n_pos, count(*) filter (label = 0) as n_neg, {r6('count(*) filter (label = 0) / count(*) filter (label = 1)')} as ratio from fx_scores"""))
+def a6c(fx):
+    return rounded(features.class_ratio(fx.scores), "ratio")
+
+
 @query("A7_norm_stats", sql("chem", " union all ".join(
     f"select 'chem' as modality, '{c}' as feature, {r6(f'avg({c})')} as mean, {r6(f'coalesce(nullif(stddev_pop({c}), 0), 1)')} as std from fx_chem"
     for c in ("sio2", "na", "k", "li", "cl", "zero")).replace("fx_chem", "(select *, 0.0::double as zero from fx_chem)")))
