@@ -226,6 +226,7 @@ def summarise_runs(df: DataFrame, metrics: Sequence[str], by: str = "model", sam
 
 def cohort_table(df: DataFrame, score: str = "score", pct: str = "pct", by: str = "cohort") -> DataFrame:
     """Per cohort: n, mean/median score and percentile, share > 50 and > 90."""
+    df = df.select(by, score, pct).persist(StorageLevel.MEMORY_AND_DISK)
     head = df.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_p"), F.avg(pct).alias("mean_percentile"),
         F.avg((F.col(pct) > 50).cast("double")).alias("frac_above_50pct"),
@@ -236,7 +237,10 @@ def cohort_table(df: DataFrame, score: str = "score", pct: str = "pct", by: str
 
 
 def hard_negative_table(df: DataFrame, available: DataFrame, score: str = "score", pct: str = "pct") -> DataFrame:
-    """Per cohort: pool size, sample size, shares below 10/5 and at least 50/90, means."""
+    """Per cohort: pool size, sample size, shares below 10/5 and at least 50/90, means.
+
+    ``available`` holds all members of the cohorts, ``df`` the sampled ones.
+    """
     got = df.groupBy("cohort").agg(
         F.count(F.lit(1)).alias("n_sample"), F.avg(score).alias("mean_p"), F.avg(pct).alias("mean_pct"),
         F.avg((F.col(pct) < 10).cast("double")).alias("frac_below_10pct"),

@@ -154,7 +154,7 @@ select cohort, n_available, count(*) as n_sample, {r6('avg(p_a)')} as mean_p, {r
                                 "ord as (select cell_id, 100.0::double * (row_number() over (order by p_a, cell_id) - 1) / (count(*) over () - 1) as o from fx_scores)"))
 def a8h(fx):
     """A hundred cells per cohort against ordinal percentiles."""
-    cohorts = labels.cohorts(rank.pct_ordinal(covered_cells(fx), "p_a", "cell_id"))
+    cohorts = labels.cohorts(rank.pct_ordinal(covered_cells(fx), "p_a", "cell_id")).persist()
     out = stats.hard_negative_table(labels.cohort_sample(cohorts, 100), cohorts, "p_a", "pct")
     return rounded(out, *[c for c in out.columns if c.startswith(("mean", "frac"))])
 
