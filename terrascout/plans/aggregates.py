@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from terrascout.functions import geo
 from terrascout.functions.portable import uniform_sql
-from terrascout.operators import cluster, discovery, features, labels, rank, resource, stats, tiles
+from terrascout.operators import cluster, discovery, features, labels, rank, stats, tiles
 from terrascout.plans.fixtures import DIST, LAT0, X_SQL, Y_SQL, query, r6, rounded, sql
 from terrascout.plans.joins import (CENTRES_SQL, FOLD_SCORES, LINES_SQL, LOO_SQL, TIPS_SQL, auc_sql, fault_centres,
-                                    fold_scores, knn_sql)
+                                    fold_scores)
 from terrascout.plans.scalars import CHALC_SQL, NAK_SQL, SITE_KM, SLIP_SQL, covered_cells
 from terrascout.plans.sources import PROVINCE_SQL, volcano_values
 from terrascout.sources import shapes, tables

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrascout.functions import geo
-from terrascout.operators import discovery, features, manifest, rank, resource, stats, tiles
+from terrascout.operators import discovery, manifest, rank
 from terrascout.plans.clusters import dbscan_ctes
 from terrascout.plans.fixtures import DIST, FROZEN, LAT0, query, r6, rounded, sql
 from terrascout.plans.joins import CENTRES_SQL, LINES_SQL, fault_centres, knn_sql

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from terrascout.operators import cluster, discovery, tiles
+from terrascout.operators import cluster, tiles
 from terrascout.plans.fixtures import DIST, LAT0, query, r6, rounded, sql
 from terrascout.plans.joins import knn_sql
 

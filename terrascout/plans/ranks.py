@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrascout.functions import geo
-from terrascout.operators import discovery, labels, rank, stats, tiles
-from terrascout.plans.fixtures import DIST, LAT0, query, r6, rounded, sql
+from terrascout.operators import labels, rank, stats
+from terrascout.plans.fixtures import query, r6, rounded, sql
 from terrascout.plans.joins import FOLD_SCORES, auc_sql, fold_scores, raster_bounds
 from terrascout.plans.sources import PROVINCE_SQL
 from terrascout.sources import raster

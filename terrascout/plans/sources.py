@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from terrascout.functions import geo
-from terrascout.operators import discovery, labels, tiles
+from terrascout.operators import discovery, tiles
 from terrascout.plans.fixtures import DIST, LAT0, X_SQL, Y_SQL, query, r6, rounded, sql
 from terrascout.session import scratch_path
 from terrascout.sources import grid, points, raster, shapes, tables
