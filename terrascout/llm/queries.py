@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascout.llm import balance, bpe_counts, ogg, topk
-from terrascout.llm.common import WORD, table
+from terrascout.llm.common import table
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +34,11 @@ QUERIES = {"op2_token_counts": op2_token_counts, "op5_media": op5_media, "op8_mi
 
 ORACLES = {
     "op9_top_k": """
-        with v as (select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as c
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as c
                    from embeddings where vec_id is not null and embedding is not null
-                     and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (select q.vec_id as query_id, t.vec_id as vec_id,
-                     cast(list_sum(list_transform(list_zip(q.c, t.c), p -> p[1] * p[2])) as bigint) as score
+                     cast(list_sum(list_transform(list_zip(q.c, t.c), lambda p: p[1] * p[2])) as bigint) as score
               from v q join v t on t.vec_id <> q.vec_id and len(t.c) = len(q.c) where q.vec_id % 20 = 0),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 20""",
