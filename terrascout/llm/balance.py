@@ -50,8 +50,9 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
     # The level if exactly the sources before this one are capped; the first row whose
     # own cap is not below it gives the level.
     level = (total - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))) / F.sum("_w").over(after)
-    found = ranked.withColumn("_level", level).withColumn(
-        "_level", F.min(F.when(F.col("_limit") / F.col("_w") >= F.col("_level") * (1 - 1e-12), F.col("_level"))).over(line))
+    reached = F.struct((F.col("_limit") / F.col("_w")).alias("r"), "_i", F.col("_level").alias("level"))
+    holds = F.col("_limit") / F.col("_w") >= F.col("_level") * (1 - 1e-12)
+    found = ranked.withColumn("_level", level).withColumn("_level", F.min(F.when(holds, reached)).over(line)["level"])
     return found.withColumn("target", F.when(F.col("_level").isNull(), F.col("_limit"))
                             .otherwise(F.least(F.col("_limit"), F.col("_w") * F.col("_level")))) \
         .drop("_i", "_w", "_limit", "_level")
