@@ -94,9 +94,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *, share: float =
     ``size`` counts words, ``copies`` is a whole number of whole documents and
     ``taken = copies * size``.  Every document gets floor(rate) copies; of the rest of
     the rate, documents in the order of a hash get one more until the source's words
-    are used up, and then up to ``FILL_ROUNDS`` single documents that fit close the gap.
-    Within a source the words taken stay below the target by less than the smallest
-    document that the gap could not hold.
+    are used up, and then up to ``FILL_ROUNDS`` single documents close the gap: each time
+    the one whose size is nearest to it, if that brings the source nearer to its target.
 
     NULL texts have size 0 and are taken once at rates of 1 and more (0 words), NULL sources
     are one source, sorted last; a source without words has target 0.  Repeated rows
@@ -134,8 +133,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *, share: float =
         gap = state.groupBy("source").agg((F.max("_extra") - F.sum(F.col("_more") * F.col("size"))).alias("_gap"))
         open_rows = state.filter((F.col("_more") == 0) & (F.col("size") > 0) & (F.col("_whole") + 1 <= cap))
         fits = open_rows.join(gap, open_rows["source"].eqNullSafe(gap["source"])).drop(gap["source"]) \
-            .filter(F.col("size") <= F.col("_gap"))
-        best = cut(fits.groupBy("source").agg(F.max(F.struct("size", "_u", "doc_id")).alias("_b"))
+            .filter(F.col("size") < 2 * F.col("_gap"))
+        nearest = F.struct(F.abs(F.col("_gap") - F.col("size")).alias("off"), F.struct("size", "_u", "doc_id").alias("b"))
+        best = cut(fits.groupBy("source").agg(F.min(nearest)["b"].alias("_b"))
                    .select(F.col("source").alias("_bs"), "_b"))
         if best.isEmpty():
             break
