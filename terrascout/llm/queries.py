@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascout.llm import balance, bpe_counts, ogg, topk
-from terrascout.llm.common import table
+from terrascout.llm import balance, bpe_counts, html_text, ogg, sp_dropout, topk, toxicity
+from terrascout.llm.common import table, text_key
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of documents, learned from labelled rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +23,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048)
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents encoded with merge-dropout and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", text_key().alias("text_sha256"))
+    made = sp_dropout.encode(docs, keep=["text_sha256"]).withColumn("n_ids", F.size("ids"))
+    back = sp_dropout.decode(made, keep=["text_sha256", "n_ids"])
+    decoded = F.sha2("text", 256)
+    return back.select("doc_id", "n_ids", decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("lossless"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents stored as Ogg and read back."""
     return ogg.inspect(ogg.media(table(spark, sf_dir, "documents"))).drop("error")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1 and 150 % of all words."""
     mixed = balance.mix(table(spark, sf_dir, "documents"), (5, 2, 1), share=1.5, cap=2.0)
@@ -30,7 +53,8 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0, 20, scale=64.0)
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op5_media": op5_media, "op8_mix": op8_mix, "op9_top_k": op9_top_k}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_counts": op2_token_counts, "op4_merge_dropout": op4_merge_dropout,
+           "op5_media": op5_media, "op7_html_text": op7_html_text, "op8_mix": op8_mix, "op9_top_k": op9_top_k}
 
 ORACLES = {
     "op9_top_k": """
