@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from terrascout.llm.common import WORD
 from terrascout.session import cut
 
-PIECE_ROWS = 100_000  # rows of one window task
+PIECE_ROWS = 4096     # rows of one window task; pieces of one source are few enough for one task at 10^10 rows
 TOLERANCE = 1e-9      # relative error of a word constraint at which Newton's method ends
 MAX_STEPS = 60
 FILL_ROUNDS = 4       # single documents that close the gap left by rounding

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascout.llm import balance, bpe_counts, html_text, ogg, sp_dropout, topk, toxicity
+from terrascout.llm import balance, bpe_counts, html_text, ogg, phrases, sp_dropout, suffix_dedup, topk, toxicity
 from terrascout.llm.common import table, text_key
 
 
@@ -23,6 +23,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.token_counts(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2048)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without what a smaller document's 50-byte strings cover."""
+    cleaned = suffix_dedup.remove(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                          F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents encoded with merge-dropout and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", text_key().alias("text_sha256"))
@@ -37,6 +44,12 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.inspect(ogg.media(table(spark, sf_dir, "documents"))).drop("error")
 
 
+def op6_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without words of 20-word windows that occurred before."""
+    cleaned = phrases.remove(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -53,8 +66,8 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0, 20, scale=64.0)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_counts": op2_token_counts, "op4_merge_dropout": op4_merge_dropout,
-           "op5_media": op5_media, "op7_html_text": op7_html_text, "op8_mix": op8_mix, "op9_top_k": op9_top_k}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_counts": op2_token_counts, "op3_suffix_dedup": op3_suffix_dedup,
+           "op4_merge_dropout": op4_merge_dropout, "op5_media": op5_media, "op6_phrases": op6_phrases, "op7_html_text": op7_html_text, "op8_mix": op8_mix, "op9_top_k": op9_top_k}
 
 ORACLES = {
     "op9_top_k": """
