@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascout.llm import balance, bpe_counts, html_text, ogg, phrases, sp_dropout, suffix_dedup, topk, toxicity
+from terrascout.llm import balance, bpe_counts, html_text, jaccard, ogg, phrases, sp_dropout, suffix_dedup, topk, toxicity
 from terrascout.llm.common import table, text_key
 
 
@@ -66,8 +66,14 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0, 20, scale=64.0)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose five-word shingles are linked at 75 %."""
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_counts": op2_token_counts, "op3_suffix_dedup": op3_suffix_dedup,
-           "op4_merge_dropout": op4_merge_dropout, "op5_media": op5_media, "op6_phrases": op6_phrases, "op7_html_text": op7_html_text, "op8_mix": op8_mix, "op9_top_k": op9_top_k}
+           "op4_merge_dropout": op4_merge_dropout, "op5_media": op5_media, "op6_phrases": op6_phrases, "op7_html_text": op7_html_text, "op8_mix": op8_mix, "op9_top_k": op9_top_k,
+           "op10_jaccard": op10_jaccard}
 
 ORACLES = {
     "op9_top_k": """

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -332,26 +333,32 @@ class Tagger:
         return scores.tolist(), spans
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, spans) for every row; spans are character offsets of toxic passages with their highest marginal.
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text",
+          keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, score, spans, and the columns of ``keep``) for every row; spans are character offsets of toxic passages with their highest marginal.
 
     A NULL or empty text, or one without letters, scores lowest (the model's value for no
     evidence) and has no spans.  Repeated rows score alike; other columns are not read.
     The model travels with the task: at most ``max_features`` weights.
     """
     holder: list[Tagger] = []
+    kept = [c for c in keep if c != text_col]
+    with_text = [1] if text_col in keep else []
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not holder:
             holder.append(Tagger(model))
         scores, spans = holder[0].score([t or "" for t in batch.column(1).to_pylist()])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)],
-                                          names=["doc_id", "score", "spans"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, each, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,p:double>>")
+        extra = [batch.column(i) for i in [*with_text, *range(2, batch.num_columns)]]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind), *extra],
+                                          names=["doc_id", "score", "spans", *[text_col] * len(with_text), *kept])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    more = [f"`{text_col}` string"] * len(with_text) + [f"`{c}` {kinds[c]}" for c in kept]
+    return map_batches(rows, each, ", ".join([f"doc_id {kinds['doc_id']}", "score double",
+                                              "spans array<struct<start:int,end:int,p:double>>", *more]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
