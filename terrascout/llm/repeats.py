@@ -119,13 +119,13 @@ def shared_hashes(batches: DataFrame, hashes: Callable[[Batch], tuple[np.ndarray
 
     ``hashes`` gives the distinct sorted hashes of a batch and how often each occurs.
     """
-    edge = np.uint64((1 << 64) // buckets + 1)
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, row in frame.iterrows():
                 found, times = hashes(Batch.of(row))
-                cuts = np.searchsorted(found, np.arange(1, buckets, dtype=np.uint64) * edge)
+                cuts = np.searchsorted(found, edges)
                 parts = [(b, f, t) for b, (f, t) in enumerate(zip(np.split(found, cuts), np.split(times, cuts))) if len(f)]
                 yield pd.DataFrame({
                     "bucket": np.array([p[0] for p in parts], np.int32), "batch": np.full(len(parts), row["batch"], np.int64),
