@@ -1,7 +1,7 @@
 """Deterministic uniform and normal numbers that every SQL engine can repeat.
 
-Spark's ``rand`` depends on the partitioning.  Sampling here orders rows by a
-hash of (id, seed) instead; ids are non-negative.
+Spark's ``rand`` depends on the partitioning.  Sampling here orders rows by the
+leading 52 bits of a mixed hash of (id, seed) instead; ids may be numbers or text.
 """
 
 from __future__ import annotations
@@ -9,25 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PRIME = 2147483647  # 2^31 - 1
-
-
-def _big(value: int) -> Column:
-    return F.lit(value).cast("bigint")
+_DIGITS = 13  # hexadecimal digits: 52 bits, whole in a double
 
 
 def uniform(id_col: Column, seed: int | Column = 0) -> Column:
     """A number in [0, 1) from an id and a seed."""
-    seed = _big(seed) if isinstance(seed, int) else seed.cast("bigint")
-    h = ((id_col.cast("bigint") % _big(2147483648)) * _big(2654435761)
-         + (seed % _big(2147483648)) * _big(40503) + _big(12345)) % _big(_PRIME)
-    return (((h * h) % _big(_PRIME) * _big(48271) + h) % _big(_PRIME)).cast("double") / F.lit(float(_PRIME))
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    text = F.concat(id_col.cast("string"), F.lit(":"), seed.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16 ** _DIGITS))
 
 
 def uniform_sql(id_expr: str, seed: int | str = 0) -> str:
     """The same number as SQL text."""
-    h = f"(((({id_expr}) % 2147483648) * 2654435761 + (({seed}) % 2147483648) * 40503 + 12345) % {_PRIME})"
-    return f"(cast(((({h} * {h}) % {_PRIME}) * 48271 + {h}) % {_PRIME} as double) / cast({_PRIME} as double))"
+    return (f"(cast(cast('0x' || substr(md5(cast({id_expr} as varchar) || ':' || cast({seed} as varchar)), 1, {_DIGITS}) as bigint) as double)"
+            f" / {16 ** _DIGITS}.0::double)")
 
 
 def normals(u1: Column, u2: Column) -> tuple[Column, Column]:

@@ -88,7 +88,7 @@ def novel(df: DataFrame, known: DataFrame, km: float = 5.0, *, id_col: str, know
 
 def fold_audit(sites: DataFrame, tests: DataFrame, cells: DataFrame, radius: float = 25.0, role: str = "train", *,
                site_id: str, cell_id: str = "cell_id", lat0: float) -> DataFrame:
-    """Folds with a cell of the given role near each site, and the first ten.
+    """Folds with a cell of the given role near each site: their number and their list.
 
     ``tests`` holds the test rows per fold; every other labelled cell of
     ``cells`` trains the fold.  A fold has no training cell near a site exactly
@@ -110,18 +110,12 @@ def fold_audit(sites: DataFrame, tests: DataFrame, cells: DataFrame, radius: flo
         lost = missing.groupBy(site_id).agg(F.count(F.lit(1)).alias("_lost"))
         n = around.join(lost, site_id, "left").select(
             site_id, (F.lit(n_folds) - F.coalesce("_lost", F.lit(0))).alias("n_folds"))
-        # The first ten touched folds lie among the first 10 + lost ones.
+        # All folds but the missing ones: as many rows as the result lists.
         ordered = rank.cumulate(folds, "fold_id", "fold_id").select("fold_id", "rn")
-        span = n.join(lost, site_id, "left").select(
-            site_id, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(
-                F.lit(n_folds).cast("bigint"), 10 + F.coalesce("_lost", F.lit(0)).cast("bigint")))).alias("rn"))
+        span = n.select(site_id, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_folds).cast("bigint"))).alias("rn"))
         touched = (span.join(ordered, "rn").select(site_id, "fold_id")
                    .join(missing, [site_id, "fold_id"], "left_anti"))
-    from pyspark.sql import Window
-
-    first = Window.partitionBy(site_id).orderBy("fold_id")
-    head = (touched.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= 10)
-            .groupBy(site_id).agg(F.array_sort(F.collect_list("fold_id")).alias("_f")))
+    head = touched.groupBy(site_id).agg(F.array_sort(F.collect_list("fold_id")).alias("_f"))
     return (sites.select(site_id).join(n, site_id, "left").join(head, site_id, "left")
             .select(site_id, F.coalesce("n_folds", F.lit(0)).cast("bigint").alias("n_folds"),
                     F.coalesce(F.array_join(F.col("_f").cast("array<string>"), ","), F.lit("")).alias("fold_indices")))
@@ -136,12 +130,11 @@ def permit_label(permit: str, well: str, operator: str, county: str, dist: str):
 
 
 def field_check(sites: DataFrame, permits: DataFrame, radius: float = 25.0, after_date: str | None = None,
-                cap: int | None = None, *, site_id: str, permit_id: str, lat0: float, date_col: str = "filed",
+                *, site_id: str, permit_id: str, lat0: float, date_col: str = "filed",
                 label_cols: Sequence[str] | None = None, listed: int = 5) -> DataFrame:
     """Permits near each site: count, nearest distance, and the nearest ones as text.
 
-    ``cap`` limits the count to that many nearest permits as a compatibility
-    mode; the default counts all.  The text names at most ``listed`` permits.
+    All permits count; the text is a label that names the ``listed`` nearest.
     """
     if after_date is not None:
         permits = permits.filter(F.col(date_col) > F.lit(after_date).cast("date"))
@@ -153,18 +146,15 @@ def field_check(sites: DataFrame, permits: DataFrame, radius: float = 25.0, afte
         text = F.concat(F.col(permit_id).cast("string"), F.lit(" @ "), fixed("dist_km", 1), F.lit("km"))
     near = F.when(F.col("dist_km") <= radius, F.struct("rank", text.alias("text")))
     out = five.groupBy(site_id).agg(
-        F.min("dist_km").alias("nearest_permit_km"), F.count(near).alias("_top"),
+        F.min("dist_km").alias("nearest_permit_km"),
         F.array_join(F.transform(F.array_sort(F.collect_list(near)), lambda s: s["text"]), "; ").alias("_t"))
-    if cap is None:
-        count = tiles.radius_aggregate(sites, permits, radius, {"_all": ("count", None)}, q_id=site_id, lat0=lat0)
-        out = out.join(count, site_id, "left").withColumn("n_permits", F.coalesce("_all", F.lit(0)))
-    else:
-        out = out.withColumn("n_permits", F.least(F.col("_top"), F.lit(cap)))
+    count = tiles.radius_aggregate(sites, permits, radius, {"_all": ("count", None)}, q_id=site_id, lat0=lat0)
+    out = out.join(count, site_id, "left").withColumn("n_permits", F.coalesce("_all", F.lit(0)))
     return (sites.join(out, site_id, "left")
             .withColumns({"n_permits": F.coalesce("n_permits", F.lit(0)).cast("bigint"),
                           "nearest_permits": F.when(F.col("_t") == "", "—").otherwise(
                               F.coalesce("_t", F.lit("—")))})
-            .drop("_t", "_top", "_all"))
+            .drop("_t", "_all"))
 
 
 def site_lookup(sites: DataFrame, cells: DataFrame, known: DataFrame | None, *, site_id: str, cell_id: str = "cell_id",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terrascout.functions.portable import uniform
 from terrascout.operators import tiles
+from terrascout.operators import rank
 from terrascout.operators.rank import cumulate
 
 BOX = (31.0, 49.0, -125.0, -103.0)
@@ -91,14 +92,14 @@ def holdout_split(df: DataFrame, *, id_col: str, seed: int = 42) -> DataFrame:
     return ranked.withColumn("split", F.when(F.col("rn") <= n_val, "val").otherwise("train")).drop("_u", "rn", "n")
 
 
-def group_folds(labelled: DataFrame, *, cell_id: str = "cell_id", label: str = "label",
-                cluster: str = "cluster", max_neg: int = 500, seed: int = 42) -> DataFrame:
+def group_folds(labelled: DataFrame, *, max_neg: int, cell_id: str = "cell_id", label: str = "label",
+                cluster: str = "cluster", seed: int = 42) -> DataFrame:
     """Test rows of leave-one-cluster-out folds: (fold_id, cell_id, label).
 
     A fold tests its cluster's positives and min(n_neg // 5, max_neg) negatives;
     every other labelled row trains it, so training rows need not be stored.
-    Each fold takes its negatives from a stretch of one seeded permutation that
-    starts at a place hashed from the fold, which costs folds x max_neg rows.
+    Each fold draws places of a seeded permutation of the negatives by hashes of its
+    own until it has enough different ones: folds x (4 max_neg + 20) rows.
     """
     positives = labelled.filter((F.col(label) == 1) & F.col(cluster).isNotNull())
     negatives = cumulate(labelled.filter(F.col(label) == 0).select(cell_id)
@@ -109,10 +110,13 @@ def group_folds(labelled: DataFrame, *, cell_id: str = "cell_id", label: str = "
     tests = positives.select(F.col(cluster).alias("fold_id"), cell_id, F.lit(1).alias("label"))
     if take == 0:
         return tests
+    # Of 4 take + 20 draws from at least 5 take places, fewer than take differ with a chance below 1e-15.
+    draw = uniform(F.concat(F.col("fold_id").cast("string"), F.lit("/"), F.col("_i").cast("string")), seed)
     slots = (positives.select(F.col(cluster).alias("fold_id")).distinct()
-             .withColumn("_start", F.floor(uniform(F.col("fold_id"), seed) * n_neg).cast("bigint"))
-             .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(take - 1))))
-             .select("fold_id", ((F.col("_start") + F.col("_i")) % n_neg).alias("_pos")))
+             .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(4 * take + 19))))
+             .groupBy("fold_id", F.floor(draw * n_neg).cast("bigint").alias("_pos")).agg(F.min("_i").alias("_i")))
+    order = Window.partitionBy("fold_id").orderBy("_i")
+    slots = slots.withColumn("_rk", F.row_number().over(order)).filter(F.col("_rk") <= take).select("fold_id", "_pos")
     return tests.unionByName(slots.join(negatives, "_pos")
                              .select("fold_id", cell_id, F.lit(0).alias("label")))
 
@@ -146,6 +150,7 @@ EASTERN_BASIN = (38, 42, -116, -113)
 PLATFORM = (44, 48, -110, -103)
 
 
+# The limits of the rules below are fixed values too.
 def cohorts(cells: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """One row per cell and cohort it belongs to (P4), in one pass.
 
@@ -170,7 +175,7 @@ def cohorts(cells: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     return cells.withColumn("cohort", F.explode(hits))
 
 
-def cohort_sample(df: DataFrame, n: int = 100, *, by: str = "cohort", id_col: str = "cell_id",
+def cohort_sample(df: DataFrame, n: int, *, by: str = "cohort", id_col: str = "cell_id",
                   seed: int = 42) -> DataFrame:
     """At most ``n`` rows per cohort in a seeded order.
 
@@ -204,6 +209,8 @@ def far_low_negatives(spark: SparkSession, positives: DataFrame, stations: DataF
 
     batch, start = max(2 * n, 200), 0
     kept = None
+    # A place beyond all stations takes the stations' median, as a typical value.
+    median = rank.quantiles(stations, "hf", [0.5]).first()
     while True:
         ids = spark.range(start, start + batch)
         lat_min, lat_max, lon_min, lon_max = box
@@ -213,12 +220,13 @@ def far_low_negatives(spark: SparkSession, positives: DataFrame, stations: DataF
             (F.lit(lon_min) + uniform(F.col("id"), seed + 1) * F.lit(lon_max - lon_min)).alias("lon"))
         far = tiles.exclude_within(points, positives, min_km, q_id="point_id", lat0=lat0)
         heat = idw(far, stations, q_id="point_id", t_id=station_id, lat0=lat0)
-        # A place beyond all stations takes the batch median, as a typical value.
-        median = heat.agg(F.percentile_approx("value", 0.5, 100_000)).first()[0]
-        heat = heat.withColumn("heat_flow", F.coalesce("value", F.lit(median).cast("double")))
+        heat = heat.withColumn("heat_flow", F.coalesce("value", F.lit(median[0] if median else None).cast("double")))
         good = far.join(heat.filter(F.col("heat_flow") < max_heat_flow).select("point_id", "heat_flow"), "point_id")
         kept = good if kept is None else kept.unionByName(good)
         kept = tiles.cut(kept)
-        if kept.count() >= n or start + batch > 1000 * max(n, 200):
+        found = kept.count()
+        if found >= n:
             return kept.orderBy("point_id").limit(n)
+        if start + batch > 1000 * max(n, 200):
+            raise ValueError(f"only {found} of {n} places pass among {start + batch}; loosen the limits")
         start, batch = start + batch, batch * 2

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from terrascout.functions.portable import uniform
 from terrascout.operators import rank
 from terrascout.operators.features import tabular_features
+from terrascout.session import cut
 
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
@@ -163,10 +164,10 @@ def permutation_importance(model: CellModel, df: DataFrame, groups: dict[str, Se
     def auroc_of(frame: DataFrame) -> float:
         return float(rank.auroc(model.score(frame), "score", label).first()["auroc"])
 
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = cut(df)
     base = auroc_of(df)
     own = rank.cumulate(df.withColumn("_u", uniform(F.col(id_col), seed)), "_u", id_col).drop("_u", "n")
-    own = own.persist(StorageLevel.MEMORY_AND_DISK)
+    own = cut(own)
     rows = []
     for g, (name, cols) in enumerate(groups.items()):
         for r in range(repeats):

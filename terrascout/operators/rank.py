@@ -1,44 +1,34 @@
 """Global ranks, running sums, quantiles and ranking metrics.
 
-A window without PARTITION BY sends every row to one task.  ``cumulate`` cuts
-the key's range at approximate quantiles instead, sums the pieces, and runs the
-window inside the pieces; a key that holds many equal rows gets a piece of its
-own that is cut again by id.  All metrics below build on it.
+A window without PARTITION BY sends every row to one task.  ``cumulate`` deals the
+rows out by ranges of (key, id) instead, sums the pieces, and runs the window inside
+the pieces; equal keys are cut by their ids.  All metrics below build on it.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE_ROWS = 500_000  # rows one window task should sort
-MAX_PIECES = 20_000   # bound on cut points; every offset table has at most a few times as many rows per group
+from terrascout.session import cut
 
+PIECE_ROWS = 500_000  # rows one window task should sort
+MAX_PIECES = 20_000   # bound on ranges; every offset table has at most a few times as many rows per group
 
-def _cut_points(df: DataFrame, col: str, pieces: int) -> tuple[list[float], dict[float, int]]:
-    """Approximate quantiles, and how often a heavy value recurs among them."""
-    probs = [i / pieces for i in range(1, pieces)]
-    marks = df.approxQuantile(col, probs, 1.0 / (4 * pieces)) if probs else []
-    seen = Counter(marks)
-    heavy = {value: times for value, times in seen.items() if times > 1}
-    points = set(seen)
-    for value in heavy:
-        points.update((value, math.nextafter(value, math.inf)))
-    return sorted(points), heavy
 
+def _pieces(df: DataFrame, order: Sequence[str], piece_rows: int) -> DataFrame:
+    """Rows with ``_b``, the number of their range of ``order``; written, so that the ranges hold for all readers.
 
-def _bucket(df: DataFrame, col: str, out: str, points: Sequence[float]) -> DataFrame:
-    if not points:
-        return df.withColumn(out, F.lit(0))
-    splits = [-math.inf, *points, math.inf]
-    return (Bucketizer(splits=splits, inputCol=col, outputCol="_bd").transform(df)
-            .withColumn(out, F.col("_bd").cast("int")).drop("_bd"))
+    Columns are compared in their own types; NULL has its place first and NaN last.
+    """
+    staged = cut(df)
+    pieces = min(MAX_PIECES, math.ceil(staged.count() / piece_rows))
+    if pieces <= 1:
+        return staged.withColumn("_b", F.lit(0))
+    return cut(staged.repartitionByRange(pieces, *order).withColumn("_b", F.spark_partition_id()))
 
 
 def cumulate(df: DataFrame, key: str, id_col: str, sums: dict[str, Column] | None = None, *,
@@ -47,36 +37,22 @@ def cumulate(df: DataFrame, key: str, id_col: str, sums: dict[str, Column] | Non
     """Rows with ``rn`` (1-based rank by key, then id) and inclusive running sums.
 
     Adds ``rn``, ``n`` (rows of the group), ``cum_<name>`` and ``tot_<name>`` for
-    every entry of ``sums``.  ``by`` restarts the order per group.  The numeric
-    ``key`` must not be NULL; ``id_col`` breaks ties and is ascending always.
+    every entry of ``sums``.  ``by`` restarts the order per group.  ``key`` counts as
+    double; NULL keys come first and NaN last in either direction.  ``id_col`` breaks
+    ties in its own type and is ascending always.
     """
     sums = sums or {}
-    df = df.withColumn("_k", (-F.col(key) if desc else F.col(key)).cast("double"))
-    df = df.withColumns({f"_s_{n}": c for n, c in sums.items()})
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    pieces = min(MAX_PIECES, math.ceil(df.count() / piece_rows))
-    points, heavy = _cut_points(df, "_k", pieces) if pieces > 1 else ([], {})
-    df = _bucket(df, "_k", "_b", points)
-    if heavy:
-        # A value met m times among the cut points gets m + 1 id pieces, so all
-        # heavy values together have at most twice as many pieces as there are cuts.
-        df = df.withColumn("_i", F.col(id_col).cast("double"))
-        ids, _ = _cut_points(df, "_i", pieces)
-        df = _bucket(df, "_i", "_ib", ids).drop("_i")
-        table = df.sparkSession.createDataFrame([(v, m + 1) for v, m in heavy.items()], "_k double, _m int")
-        df = (df.join(F.broadcast(table), "_k", "left")  # at most MAX_PIECES rows
-              .withColumn("_ib", F.coalesce(F.floor(F.col("_ib") * F.col("_m") / F.lit(len(ids) + 1)), F.lit(0)).cast("int"))
-              .drop("_m"))
-    else:
-        df = df.withColumn("_ib", F.lit(0))
+    value = F.col(key).cast("double")
+    df = df.withColumn("_k", F.when(F.isnan(value), value).otherwise(-value) if desc else value)
+    df = _pieces(df.withColumns({f"_s_{n}": c for n, c in sums.items()}), [*by, "_k", id_col], piece_rows)
 
     names = list(sums)
-    groups = [*by, "_b", "_ib"]
+    groups = [*by, "_b"]
     part = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_pn"),
                                    *[F.sum(f"_s_{n}").alias(f"_p_{n}") for n in names])
-    # Offsets: at most MAX_PIECES cut points (and id cuts for heavy keys) per group.
+    # Offsets: at most MAX_PIECES rows per group.
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = whole.orderBy("_b", "_ib").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumns({
         "_on": F.coalesce(F.sum("_pn").over(before), F.lit(0)),
         "_tn": F.sum("_pn").over(whole),
@@ -99,7 +75,7 @@ def cumulate(df: DataFrame, key: str, id_col: str, sums: dict[str, Column] | Non
         **{f"cum_{n}": F.col(f"_o_{n}") + F.sum(f"_s_{n}").over(run) for n in names},
         **{f"tot_{n}": F.col(f"_t_{n}") for n in names},
     })
-    return ranked.drop("_k", "_b", "_ib", "_on", "_tn", *[f"_s_{n}" for n in names],
+    return ranked.drop("_k", "_b", "_on", "_tn", *[f"_s_{n}" for n in names],
                        *[f"_o_{n}" for n in names], *[f"_t_{n}" for n in names])
 
 
@@ -127,11 +103,26 @@ def score_table(df: DataFrame, score: str, label: str | None = None,
         F.col("tot_cnt").alias("n"), F.col("tot_pos").alias("n_pos"))
 
 
-def pct_strict(df: DataFrame, score: str, out: str = "pct") -> DataFrame:
-    """100 * share of all scores strictly below the row's score."""
-    table = score_table(df, score).select(
-        F.col("score").alias("_s"), (100.0 * F.col("below") / F.col("n")).alias(out))
-    return df.join(table, F.col(score).cast("double") == F.col("_s"), "left").drop("_s")
+def pct_strict(df: DataFrame, score: str, out: str = "pct", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """100 * share of all scores strictly below the row's score; NULL for NULL scores.
+
+    The rank within a range is enough but for scores that began in an earlier one;
+    those take the place where the first range that ends with them reached them.
+    """
+    keyed = df.withColumns({"_k": F.col(score).cast("double"), "_t": F.monotonically_increasing_id()})
+    some = _pieces(keyed.filter(F.col("_k").isNotNull()), ["_k", "_t"], piece_rows)
+    ranked = cut(some.withColumn("_r", F.rank().over(Window.partitionBy("_b").orderBy("_k")) - 1))
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    part = ranked.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"),
+                                    F.max("_r").alias("_top")).withColumn("_on", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    part = cut(part.withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(0)))))
+    reached = part.groupBy(F.col("_hi").alias("_lo")).agg(F.min(F.col("_on") + F.col("_top")).alias("_at"))
+    starts = part.join(reached, "_lo", "left").select(
+        "_b", F.col("_lo").alias("_first"), "_on", "_all", F.least(F.coalesce("_at", "_on"), "_on").alias("_begin"))
+    below = F.when(F.col("_k") == F.col("_first"), F.col("_begin")).otherwise(F.col("_on") + F.col("_r"))
+    known = ranked.join(starts, "_b").withColumn(out, 100.0 * below / F.col("_all")).select(*df.columns, out)
+    rest = df.filter(F.col(score).cast("double").isNull()).withColumn(out, F.lit(None).cast("double"))
+    return known.unionByName(rest)
 
 
 def pct_ordinal(df: DataFrame, score: str, id_col: str, out: str = "pct") -> DataFrame:
@@ -187,45 +178,30 @@ def best_f1_from(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             .select(*by, F.col("_m.f").alias("f1"), (-F.col("_m.s")).alias("best_threshold")))
 
 
-def best_f1(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
-            mode: str = "all") -> DataFrame:
-    """``mode="all"`` tries every score; ``"quantiles"`` tries at most 200 cut points.
+def best_f1(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Best F1 over every distinct score as the threshold."""
+    return best_f1_from(score_table(df, score, label, by), by)
+
+
+def best_f1_at(df: DataFrame, score: str, label: str, thresholds: int = 200) -> DataFrame:
+    """Best F1 over evenly spaced quantiles between 1 % and 99 %, whatever the number of scores.
 
-    With ``"quantiles"`` (ungrouped) and more than 200 distinct scores the
-    thresholds are the 200 evenly spaced quantiles between 1 % and 99 %, and the
-    first best one wins; 0 and 0.5 are reported when no threshold beats 0.
+    The first best threshold wins; 0 and 0.5 are reported when none beats 0.
     """
-    if mode == "all":
-        return best_f1_from(score_table(df, score, label, by), by)
-    if by:
-        raise ValueError("mode='quantiles' works on one group")
-    table = score_table(df, score, label).persist(StorageLevel.MEMORY_AND_DISK)
-    if table.count() <= 200:
-        marks = table.select(F.col("score").alias("t"))
-    else:
-        marks = _quantile_values(table, [0.01 + 0.98 * i / 199 for i in range(200)])
-    # The tallest score strictly below each threshold tells how many are called.
-    steps = table.select(F.col("score").alias("t"), F.lit(0).alias("_m"),
-                         (F.col("below") + F.col("cnt")).alias("_b"),
-                         (F.col("pos_below") + F.col("pos")).alias("_pb"), "n", "n_pos")
-    totals = table.agg(F.max("n").alias("n"), F.max("n_pos").alias("n_pos")).first()
-    n, n_pos = int(totals[0] or 0), int(totals[1] or 0)
-    bounds = sorted(r[0] for r in marks.select("t").distinct().collect())  # at most 200 numbers
-    rows = _bucket(steps, "t", "_z", bounds).groupBy("_z").agg(
-        F.sum("_m").alias("_m"), F.max("_b").alias("_b"), F.max("_pb").alias("_pb"))
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(i, float(t)) for i, t in enumerate(bounds)], "_z int, t double")
-    upto = Window.partitionBy(F.lit(0)).orderBy("_z").rowsBetween(Window.unboundedPreceding, 0)
-    called = (grid.join(rows, "_z", "left")
-              .withColumns({"_b": F.coalesce(F.max("_b").over(upto), F.lit(0)),
-                            "_pb": F.coalesce(F.max("_pb").over(upto), F.lit(0))}))
-    tp = F.lit(n_pos) - F.col("_pb")
-    k = F.lit(n) - F.col("_b")
-    f = F.when(k > 0, 2 * tp / (k + F.lit(n_pos))).otherwise(0.0)
+    table = cut(score_table(df, score, label))
+    marks = _quantile_values(table, [0.01 + 0.98 * i / (thresholds - 1) for i in range(thresholds)])
+    # ``thresholds`` numbers, each with the rows that score below it.
+    grid = marks.select("t").distinct()
+    bounds = sorted(r[0] for r in grid.collect())
+    steps = table.withColumn("_z", F.explode(F.filter(F.array(*[F.lit(float(t)) for t in bounds]), lambda t: F.col("score") < t))) \
+        .groupBy(F.col("_z").alias("t")).agg(F.max(F.col("below") + F.col("cnt")).alias("_b"), F.max(F.col("pos_below") + F.col("pos")).alias("_pb"))
+    totals = table.agg(F.max("n").alias("n"), F.max("n_pos").alias("n_pos"))
+    called = grid.join(steps, "t", "left").join(F.broadcast(totals))  # one row
+    tp = F.col("n_pos") - F.coalesce("_pb", F.lit(0))
+    k = F.col("n") - F.coalesce("_b", F.lit(0))
+    f = F.when(k > 0, 2 * tp / (k + F.col("n_pos"))).otherwise(0.0)
     best = called.agg(F.max(F.struct(F.round(f, 12).alias("f"), (-F.col("t")).alias("s"))).alias("m"))
-    return best.select(
-        F.col("m.f").alias("f1"),
-        F.when(F.col("m.f") > 0, -F.col("m.s")).otherwise(0.5).alias("best_threshold"))
+    return best.select(F.col("m.f").alias("f1"), F.when(F.col("m.f") > 0, -F.col("m.s")).otherwise(0.5).alias("best_threshold"))
 
 
 def top_sizes(fraction: float, rounding: str = "ceil") -> Column:
@@ -270,7 +246,7 @@ def metric_bundle(df: DataFrame, score: str, label: str, id_col: str, k: int = 5
     df = df.filter(F.col(score).isNotNull())
     keys = list(by) or ["_all"]
     df = df if by else df.withColumn("_all", F.lit(1))
-    table = score_table(df, score, label, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    table = cut(score_table(df, score, label, keys))
     ranked = cumulate(df, score, id_col, by=keys, desc=True)
     hit = (F.col(label) == 1).cast("int")
     fractions = (0.01, 0.05, 0.10, 0.25)

@@ -5,57 +5,65 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascout.functions import thermal
 from terrascout.functions.portable import fraction, normals, uniform
 
-GOLDEN = 0.6180339887498949
-PLASTIC = 0.7548776662466927
+# Steps of a four-dimensional additive sequence of low discrepancy: powers of 1/g,
+# where g is the real root of g^5 = g + 1.
+ROOT = 1.1673039782614187
+STEPS = tuple(ROOT ** -(j + 1) for j in range(4))
 
 
-def draws(sites: DataFrame, n: int, seed: int, *, id_col: str, area: str, temperature: str) -> DataFrame:
-    """One row per site and draw with the sampled inputs and the power (MC1).
-
-    Radii of the normals are stratified over the draws and angles follow
-    low-discrepancy sequences shifted per site, so results do not depend on
-    partitioning.
-    """
-    k = F.col("draw").cast("double")
-    shift1, shift2 = uniform(F.col(id_col), seed), uniform(F.col(id_col), seed + 1)
-    step = _coprime(n)
-    other = ((F.col("draw").cast("bigint") * step + 13) % n).cast("double")
-    z1, z2 = normals((k + 0.5) / float(n), fraction(k * GOLDEN + shift1))
-    z3, _ = normals((other + 0.5) / float(n), fraction(k * PLASTIC + shift2))
-    t = thermal.clamp(F.col(temperature) + 20.0 * z1, 50, 320)
+def _draw(k: Column, shifts: Sequence[Column], area: Column, temperature: Column) -> Column:
+    """Inputs and power of draw ``k``: the k-th point of the sequence, shifted by the site's own numbers."""
+    u = [fraction(k.cast("double") * F.lit(step) + shift) for step, shift in zip(STEPS, shifts)]
+    z1, z2 = normals(1.0 - u[0], u[1])
+    z3, _ = normals(1.0 - u[2], u[3])
+    t = thermal.clamp(temperature + 20.0 * z1, 50, 320)
     h = thermal.clamp(F.exp(F.lit(math.log(250.0)) + 0.55 * z2), 60, 1000)
-    centre = F.when(F.col("t") < 150, 0.08).when(F.col("t") < 220, 0.12).otherwise(0.17)
-    spread = sites.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = spread.withColumns({"t": t, "h": h, "_z3": z3})
-    drawn = drawn.withColumn("rf", F.exp(F.log(centre) + 0.30 * F.col("_z3"))).drop("_z3")
-    drawn = drawn.withColumn("eta", thermal.efficiency(F.col("t")))
-    return drawn.withColumn("mwe", thermal.volumetric_mwe(F.col(area), F.col("t"), F.col("h"), F.col("rf"), F.col("eta")))
+    centre = F.when(t < 150, 0.08).when(t < 220, 0.12).otherwise(0.17)
+    rf = F.exp(F.log(centre) + 0.30 * z3)
+    eta = thermal.efficiency(t)
+    return F.struct(t.alias("t"), h.alias("h"), rf.alias("rf"), eta.alias("eta"),
+                    thermal.volumetric_mwe(area, t, h, rf, eta).alias("mwe"))
 
 
-def _coprime(n: int) -> int:
-    step = max(1, int(n * 0.381966))
-    while math.gcd(step, n) != 1:
-        step += 1
-    return step
+def draws(sites: DataFrame, n: int, seed: int, *, id_col: str, area: str, temperature: str) -> DataFrame:
+    """Sites with ``draws``, an array of n sampled inputs and powers (MC1).
+
+    Every draw is a function of (site, seed, number), so results do not depend on
+    partitioning, and nothing is shuffled.
+    """
+    shifted = sites.withColumns({f"_s{j}": uniform(F.col(id_col), seed + j) for j in range(4)})
+    shifts = [F.col(f"_s{j}") for j in range(4)]
+    return shifted.withColumn("draws", F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)), lambda k: _draw(k, shifts, F.col(area), F.col(temperature)))) \
+        .drop(*[f"_s{j}" for j in range(4)])
 
 
 def monte_carlo(sites: DataFrame, n: int = 2000, seed: int = 42, *, id_col: str = "discovery_id",
                 area: str = "area_km2", temperature: str = "t_res", keys: Sequence[str] = ()) -> DataFrame:
-    """P10/P50/P90, mean and mean inputs per site (MC1).  A group is ``n`` draws."""
-    drawn = draws(sites.select(id_col, *keys, area, temperature), n, seed, id_col=id_col, area=area,
-                  temperature=temperature)
-    out = drawn.groupBy(id_col, *keys).agg(
-        F.percentile("mwe", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q"),
-        F.avg("mwe").alias("mwe_mean"), F.max(temperature).alias("t_res_central"), F.avg("t").alias("t_res_mean_draws"),
-        F.avg("h").alias("thickness_mean_m"), F.avg("rf").alias("rf_mean"), F.avg("eta").alias("eta_mean"))
-    named = [F.col("_q")[i].alias(f"mwe_{q}") for i, q in enumerate(("p10", "p50", "p90"))]
-    return out.select(id_col, *keys, *named, *[c for c in out.columns if c not in (id_col, *keys, "_q")])
+    """P10/P50/P90, mean and mean inputs per site (MC1), inside the site's own row."""
+    # Sites are few and their draws many: deal them out evenly first.
+    spread = sites.select(id_col, *keys, area, temperature).repartition(id_col, *keys)
+    drawn = draws(spread, n, seed, id_col=id_col, area=area, temperature=temperature)
+    drawn = drawn.withColumn("_m", F.array_sort(F.transform("draws", lambda d: d["mwe"])))
+
+    def mean(field: str) -> Column:
+        return F.aggregate("draws", F.lit(0.0), lambda a, d: a + d[field]) / F.lit(float(n))
+
+    def quantile(p: float) -> Column:
+        at = p * (n - 1)
+        low = F.get("_m", F.lit(math.floor(at)))
+        return low + (F.get("_m", F.lit(math.ceil(at))) - low) * F.lit(at - math.floor(at))
+
+    return drawn.select(
+        id_col, *keys, *[quantile(p).alias(f"mwe_{q}") for q, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))],
+        mean("mwe").alias("mwe_mean"), F.col(temperature).alias("t_res_central"), mean("t").alias("t_res_mean_draws"),
+        mean("h").alias("thickness_mean_m"), mean("rf").alias("rf_mean"), mean("eta").alias("eta_mean"))
 
 
 def shift_name(delta: int) -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -226,7 +225,7 @@ def summarise_runs(df: DataFrame, metrics: Sequence[str], by: str = "model", sam
 
 def cohort_table(df: DataFrame, score: str = "score", pct: str = "pct", by: str = "cohort") -> DataFrame:
     """Per cohort: n, mean/median score and percentile, share > 50 and > 90."""
-    df = df.select(by, score, pct).persist(StorageLevel.MEMORY_AND_DISK)
+    df = tiles.cut(df.select(by, score, pct))
     head = df.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_p"), F.avg(pct).alias("mean_percentile"),
         F.avg((F.col(pct) > 50).cast("double")).alias("frac_above_50pct"),
@@ -288,7 +287,7 @@ def paired_folds(a: DataFrame, b: DataFrame, metric: str = "auroc") -> DataFrame
 
 def proximity_test(places: DataFrame, lines: DataFrame, known: DataFrame, cells: DataFrame, *,
                    place_id: str, line_id: str, cell_id: str, lat0: float, known_lat0: float | None = None,
-                   n_background: int = 1000, min_km: float = 50.0, seed: int = 42,
+                   n_background: int, min_km: float = 50.0, seed: int = 42,
                    bands: Sequence[float] = (5, 10, 25, 50)) -> DataFrame:
     """Distances to lines: candidate places against far background cells."""
     far = tiles.exclude_within(cells, known, min_km, q_id=cell_id,
@@ -301,7 +300,7 @@ def proximity_test(places: DataFrame, lines: DataFrame, known: DataFrame, cells:
                 .select(F.lit(name).alias("side"), "dist_km"))
 
     both = near(places, place_id, "place").unionByName(near(background, cell_id, "background"))
-    both = both.persist(StorageLevel.MEMORY_AND_DISK)
+    both = tiles.cut(both)
     test = mann_whitney(both, "dist_km", "side", "place").withColumn("_j", F.lit(1))
     shares = both.agg(*[(100.0 * F.avg(F.when(F.col("side") == s, (F.col("dist_km") <= b).cast("double"))))
                         .alias(f"within_{b:g}_km_{s}") for b in bands for s in ("place", "background")])

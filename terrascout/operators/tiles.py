@@ -110,25 +110,28 @@ def _plane(df: DataFrame, lat0: float | None, x: str, y: str, cols: Iterable[str
             .filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
 
 
-def _salted(many: DataFrame, few: DataFrame, total: int, hot_rows: int, by: str):
-    """Spread the tiles of ``many`` that hold too many rows over several keys.
+def salted(many: DataFrame, few: DataFrame, keys: Sequence[str], many_id: str, few_id: str,
+           hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``keys`` with ``_salt`` columns that split hot keys.
 
-    A tile counts as hot above ``max(hot_rows, total/1000)`` rows, so at most a
-    thousand tiles can be hot and their list is small enough to broadcast.
+    A key with more than ``hot_rows`` rows on either side becomes a grid of parts of
+    about that many rows: each row takes one part of its own side and meets all parts
+    of the other.  The limit is the same at every size.
     """
-    keys = ["_bx", "_by"]
-    limit = max(hot_rows, total // 1000)
-    if total <= limit:
-        return many.withColumn("_salt", F.lit(0)), few.withColumn("_salt", F.lit(0))
-    hot = (many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-           .select(*keys, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_parts")))
-    hot = F.broadcast(cut(hot))
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    many = (many.join(hot, keys, "left")
-            .withColumn("_salt", F.pmod(F.xxhash64(F.col(by)), parts).cast("int")).drop("_parts"))
-    few = (few.join(hot, keys, "left")
-           .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts"))
-    return many, few
+    n = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    m = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    hot = cut(n.join(m, list(keys)).filter((F.col("_n") > hot_rows) | (F.col("_m") > hot_rows))
+              .select(*keys, *[F.ceil(F.col(c) / F.lit(hot_rows)).cast("int").alias(f"{c}p") for c in ("_n", "_m")]))
+    if hot.isEmpty():
+        none = {"_salt": F.lit(0), "_salt2": F.lit(0)}
+        return many.withColumns(none), few.withColumns(none)
+
+    def side(df: DataFrame, id_col: str, own: str, own_parts: str, other: str, other_parts: str) -> DataFrame:
+        parts, rest = (F.coalesce(F.col(c), F.lit(1)) for c in (own_parts, other_parts))
+        return (df.join(hot, list(keys), "left").withColumn(own, F.pmod(F.xxhash64(F.col(id_col)), parts).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), rest - 1))).drop("_np", "_mp"))
+
+    return side(many, many_id, "_salt", "_np", "_salt2", "_mp"), side(few, few_id, "_salt2", "_mp", "_salt", "_np")
 
 
 def within(queries: DataFrame, targets: DataFrame, radius: float, *, q_id: str, t_id: str,
@@ -141,13 +144,12 @@ def within(queries: DataFrame, targets: DataFrame, radius: float, *, q_id: str,
     """
     q = _plane(queries, lat0, "_qx", "_qy", [q_id, *q_cols])
     t = _plane(targets, lat0, "_tx", "_ty", [t_id, *t_cols])
-    total = t.count()
     q = _spread(q, "_qx", "_qy", radius, 1)
     t = _own(t, "_tx", "_ty", radius)
-    t, q = _salted(t, q, total, hot_rows, t_id)
+    t, q = salted(t, q, ["_bx", "_by"], t_id, q_id, hot_rows)
     limit = F.lit(float(radius))
     ok = F.col("dist_km") < limit if strict else F.col("dist_km") <= limit
-    return (q.join(t, ["_bx", "_by", "_salt"])
+    return (q.join(t, ["_bx", "_by", "_salt", "_salt2"])
             .filter(_raw2() <= F.lit((radius + SLACK) ** 2))
             .withColumn("dist_km", _distance()).filter(ok)
             .select(q_id, t_id, "dist_km", *q_cols, *t_cols))

@@ -13,6 +13,7 @@ from terrascout.plans.joins import (CENTRES_SQL, FOLD_SCORES, LINES_SQL, LOO_SQL
 from terrascout.plans.scalars import CHALC_SQL, NAK_SQL, SITE_KM, SLIP_SQL, covered_cells
 from terrascout.plans.sources import PROVINCE_SQL, volcano_values
 from terrascout.sources import shapes, tables
+from terrascout.session import cut
 
 
 @query("A1_radius_features", sql("cells springs chem stations", f"""
@@ -154,7 +155,7 @@ select cohort, n_available, count(*) as n_sample, {r6('avg(p_a)')} as mean_p, {r
                                 "ord as (select cell_id, 100.0::double * (row_number() over (order by p_a, cell_id) - 1) / (count(*) over () - 1) as o from fx_scores)"))
 def a8h(fx):
     """A hundred cells per cohort against ordinal percentiles."""
-    cohorts = labels.cohorts(rank.pct_ordinal(covered_cells(fx), "p_a", "cell_id")).persist()
+    cohorts = cut(labels.cohorts(rank.pct_ordinal(covered_cells(fx), "p_a", "cell_id")))
     out = stats.hard_negative_table(labels.cohort_sample(cohorts, 100), cohorts, "p_a", "pct")
     return rounded(out, *[c for c in out.columns if c.startswith(("mean", "frac"))])
 

@@ -195,7 +195,7 @@ def _audit_sql(role: str) -> str:
         "cross join (select distinct fold_id from tests) t where not exists (select 1 from tests u where u.fold_id = t.fold_id and u.cell_id = n.cell_id)")
     return sql("scores sites", """
 select s.site_id, coalesce(n, 0) as n_folds, coalesce(f, '') as fold_indices from fx_sites s left join (
- select site_id, count(*) as n, array_to_string(list_slice(list_sort(list(fold_id)), 1, 10), ',') as f from touched group by 1) using (site_id)""",
+ select site_id, count(*) as n, array_to_string(list_sort(list(fold_id)), ',') as f from touched group by 1) using (site_id)""",
                _TESTS, _NEAR, f"touched as (select distinct n.site_id, t.fold_id from near n {member})")
 
 
@@ -234,12 +234,6 @@ def j17(fx):
     return _permits(fx, after_date="1996-01-01")
 
 
-@query("J17_permit_check_capped", _permit_sql("coalesce(top, 0)", "true"))
-def j17c(fx):
-    """The compatible form that looks at five nearest permits only."""
-    return _permits(fx, cap=5)
-
-
 @query("F18_format_label", sql("permits", """
 select permit_id, coalesce(nullif(status, 'P'), 'permit?') || ' ' || permit_id || ' (' || priority || ') ' || status || ' @ ' || printf('%.1f', lat) || 'km' as label from fx_permits"""))
 def f18(fx):

@@ -11,6 +11,7 @@ from terrascout.operators import labels, models, rank
 from terrascout.plans.fixtures import TABLES, query, r6, rounded, sql
 from terrascout.session import scratch_path
 from terrascout.streaming import jobs
+from terrascout.session import cut
 
 COLS = ["f_score", "f_other", "f_std", "f_lat", "f_lon"]
 
@@ -83,7 +84,7 @@ def ml8(fx):
 @query("ML9_sweep")
 def ml9(fx):
     """Negative ratios, and one feature group left out, one metrics row each."""
-    cells = labels.random_split(learning_cells(fx), id_col="cell_id", by=["label"]).withColumn("province", F.floor("f_lat").cast("string")).persist()
+    cells = cut(labels.random_split(learning_cells(fx), id_col="cell_id", by=["label"]).withColumn("province", F.floor("f_lat").cast("string")))
     train, test = cells.filter("split = 'train'"), cells.filter("split = 'test'")
     n_pos = train.filter("label = 1").count()
 

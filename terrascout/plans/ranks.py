@@ -79,7 +79,7 @@ select {r6('f')} as f1, {r6('case when f > 0 then t else 0.5 end')} as best_thre
   select t, count(*) filter (p_a >= t) as k, sum(label) filter (p_a >= t) as tp, sum(label) as np from (
    select unnest(quantile_cont(p_a, [{', '.join(repr(0.01 + 0.98 * i / 199) for i in range(200))}])) as t from fx_scores) cross join fx_scores group by 1)) where rn = 1"""))
 def w7q(fx):
-    return rounded(rank.best_f1(fx.scores, "p_a", "label", mode="quantiles"), "f1", "best_threshold")
+    return rounded(rank.best_f1_at(fx.scores, "p_a", "label"), "f1", "best_threshold")
 
 
 @query("T5_metric_bundle", sql("scores", f"""

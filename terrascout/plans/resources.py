@@ -11,7 +11,6 @@ from terrascout.plans.fixtures import query, r6, rounded, sql
 from terrascout.plans.scalars import _mwe_sql
 
 DRAWS = 2000
-_STEP = resource._coprime(DRAWS)
 RESOURCE_SQL = "rs as (select site_id as discovery_id, lat, lon, 16.0::double * (3 + site_id % 20) as area_km2, 120 + bal / 100 as t_res from fx_sites)"
 
 
@@ -24,11 +23,11 @@ def mc_ctes(source: str, t: str, keys: str = "") -> tuple[str, ...]:
     """CTEs ending in ``mc`` with the quantiles per site."""
     ids = f"discovery_id{keys}"
     return (
-        f"""dr0 as (select {ids}, area_km2, {t} as tc, (k + 0.5::double) / {DRAWS}.0::double as u1, k * 0.6180339887498949::double + {uniform_sql('discovery_id', 42)} as s1,
- ((k * {_STEP} + 13) % {DRAWS} + 0.5::double) / {DRAWS}.0::double as u3, k * 0.7548776662466927::double + {uniform_sql('discovery_id', 43)} as s3 from {source} cross join range({DRAWS}) r(k))""",
-        f"""dr1 as (select {ids}, area_km2, tc, least(greatest(tc + 20 * sqrt(-2 * ln(u1)) * cos(2 * pi() * (s1 - floor(s1))), 50), 320) as t,
- least(greatest(exp(ln(250.0::double) + 0.55 * sqrt(-2 * ln(u1)) * sin(2 * pi() * (s1 - floor(s1)))), 60), 1000) as h,
- sqrt(-2 * ln(u3)) * cos(2 * pi() * (s3 - floor(s3))) as z3 from dr0)""",
+        f"""dr0 as (select {ids}, area_km2, {t} as tc, {', '.join(f"k * {step!r}::double + {uniform_sql('discovery_id', 42 + j)} as s{j + 1}"
+                                                                   for j, step in enumerate(resource.STEPS))} from {source} cross join range({DRAWS}) r(k))""",
+        f"""dr1 as (select {ids}, area_km2, tc, least(greatest(tc + 20 * sqrt(-2 * ln(1 - (s1 - floor(s1)))) * cos(2 * pi() * (s2 - floor(s2))), 50), 320) as t,
+ least(greatest(exp(ln(250.0::double) + 0.55 * sqrt(-2 * ln(1 - (s1 - floor(s1)))) * sin(2 * pi() * (s2 - floor(s2)))), 60), 1000) as h,
+ sqrt(-2 * ln(1 - (s3 - floor(s3)))) * cos(2 * pi() * (s4 - floor(s4))) as z3 from dr0)""",
         """dr2 as (select *, exp(ln(case when t < 150 then 0.08 when t < 220 then 0.12 else 0.17 end) + 0.30 * z3) as rf,
  least(greatest(0.45 * (greatest(t - 90, 0) / (t + 273.15)), 0), 0.18) as eta from dr1)""",
         f"""mc as (select {ids}, quantile_cont(m, 0.1) as p10, quantile_cont(m, 0.5) as p50, quantile_cont(m, 0.9) as p90, avg(m) as mean, max(tc) as tc, avg(t) as t, avg(h) as h,

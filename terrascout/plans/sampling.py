@@ -68,13 +68,16 @@ def d3(fx):
 
 @query("D4_group_folds", sql("scores", f"""
 select fold_id, cell_id, 1 as label from pos union all
-select f.fold_id, n.cell_id, 0 from (select distinct fold_id from pos) f cross join (select least(count(*) // 5, 500) as take, count(*) as m from neg) c
- join neg n on (n.pos - cast(floor({uniform_sql('f.fold_id', 42)} * m) as bigint) + m) % m < take""",
+select d.fold_id, n.cell_id, 0 from (
+ select fold_id, spot, take, row_number() over (partition by fold_id order by min(i)) as rk from (
+  select f.fold_id, i, take, cast(floor({uniform_sql("f.fold_id || '/' || i", 42)} * m) as bigint) as spot
+  from (select distinct fold_id from pos) f cross join (select least(count(*) // 5, 500) as take, count(*) as m from neg) c cross join range(2020) r(i)
+  where i < 4 * take + 20) group by 1, 2, 3) d join neg n on n.pos = d.spot where rk <= take""",
                              "pos as (select cell_id % 10 as fold_id, cell_id from fx_scores where label = 1)",
                              f"neg as (select cell_id, row_number() over (order by {U42}, cell_id) - 1 as pos from fx_scores where label = 0)"))
 def d4(fx):
     labelled = fx.scores.select("cell_id", "label", (F.col("cell_id") % 10).alias("cluster"))
-    return labels.group_folds(labelled)
+    return labels.group_folds(labelled, max_neg=500)
 
 
 @query("D5_province_transfer", sql("scores", f"""
@@ -151,7 +154,7 @@ def t2(fx):
     from terrascout.plans.joins import fault_centres
 
     out = stats.proximity_test(fx.sites, tiles.cut(fault_centres(fx).select("fault_id", "lat", "lon")), fx.sites, fx.cells,
-                               place_id="site_id", line_id="fault_id", cell_id="cell_id", lat0=LAT0)
+                               place_id="site_id", line_id="fault_id", cell_id="cell_id", lat0=LAT0, n_background=1000)
     return rounded(out, *[c for c in out.columns if not c.startswith("n_")])
 
 
