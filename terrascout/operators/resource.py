@@ -17,18 +17,34 @@ ROOT = 1.1673039782614187
 STEPS = tuple(ROOT ** -(j + 1) for j in range(4))
 
 
-def _draw(k: Column, shifts: Sequence[Column], area: Column, temperature: Column) -> Column:
-    """Inputs and power of draw ``k``: the k-th point of the sequence, shifted by the site's own numbers."""
-    u = [fraction(k.cast("double") * F.lit(step) + shift) for step, shift in zip(STEPS, shifts)]
-    z1, z2 = normals(1.0 - u[0], u[1])
-    z3, _ = normals(1.0 - u[2], u[3])
-    t = thermal.clamp(temperature + 20.0 * z1, 50, 320)
-    h = thermal.clamp(F.exp(F.lit(math.log(250.0)) + 0.55 * z2), 60, 1000)
-    centre = F.when(t < 150, 0.08).when(t < 220, 0.12).otherwise(0.17)
-    rf = F.exp(F.log(centre) + 0.30 * z3)
-    eta = thermal.efficiency(t)
-    return F.struct(t.alias("t"), h.alias("h"), rf.alias("rf"), eta.alias("eta"),
-                    thermal.volumetric_mwe(area, t, h, rf, eta).alias("mwe"))
+def _draws(n: int, shifts: Sequence[Column], area: Column, temperature: Column) -> Column:
+    """Inputs and powers of n draws: the sequence's points, shifted by the site's own numbers.
+
+    Each step is an array of its own, so that no draw computes a value twice.
+    """
+    def point(k: Column) -> Column:
+        return F.struct(*[fraction(k.cast("double") * F.lit(step) + shift).alias(f"u{j}")
+                          for j, (step, shift) in enumerate(zip(STEPS, shifts))])
+
+    def inputs(u: Column) -> Column:
+        z1, z2 = normals(1.0 - u["u0"], u["u1"])
+        z3, _ = normals(1.0 - u["u2"], u["u3"])
+        return F.struct(thermal.clamp(temperature + 20.0 * z1, 50, 320).alias("t"),
+                        thermal.clamp(F.exp(F.lit(math.log(250.0)) + 0.55 * z2), 60, 1000).alias("h"), z3.alias("z"))
+
+    def recovery(d: Column) -> Column:
+        centre = F.when(d["t"] < 150, 0.08).when(d["t"] < 220, 0.12).otherwise(0.17)
+        return F.struct(d["t"].alias("t"), d["h"].alias("h"), F.exp(F.log(centre) + 0.30 * d["z"]).alias("rf"),
+                        thermal.efficiency(d["t"]).alias("eta"))
+
+    def power(d: Column) -> Column:
+        return F.struct(*[d[c].alias(c) for c in ("t", "h", "rf", "eta")],
+                        thermal.volumetric_mwe(area, d["t"], d["h"], d["rf"], d["eta"]).alias("mwe"))
+
+    out = F.sequence(F.lit(0), F.lit(n - 1))
+    for one in (point, inputs, recovery, power):
+        out = F.transform(out, one)
+    return out
 
 
 def draws(sites: DataFrame, n: int, seed: int, *, id_col: str, area: str, temperature: str) -> DataFrame:
@@ -39,9 +55,7 @@ def draws(sites: DataFrame, n: int, seed: int, *, id_col: str, area: str, temper
     """
     shifted = sites.withColumns({f"_s{j}": uniform(F.col(id_col), seed + j) for j in range(4)})
     shifts = [F.col(f"_s{j}") for j in range(4)]
-    return shifted.withColumn("draws", F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda k: _draw(k, shifts, F.col(area), F.col(temperature)))) \
-        .drop(*[f"_s{j}" for j in range(4)])
+    return shifted.withColumn("draws", _draws(n, shifts, F.col(area), F.col(temperature))).drop(*[f"_s{j}" for j in range(4)])
 
 
 def monte_carlo(sites: DataFrame, n: int = 2000, seed: int = 42, *, id_col: str = "discovery_id",

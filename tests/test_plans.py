@@ -42,12 +42,14 @@ def test_rank_windows_are_partitioned(spark):
     assert rank.cumulate(df, "s", "id", piece_rows=100).count() == 2000
 
 
-def test_pieces_stay_small_when_one_score_is_hot(spark):
-    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 3000).alias("s"))
-    keyed = df.withColumn("_k", F.col("s"))
-    cuts, heavy = rank._cut_points(keyed, "_k", 30)
-    assert 0.5 in heavy and heavy[0.5] >= 8
-    assert len(cuts) <= 32
+def test_hot_keys_become_grids(spark):
+    many = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    few = spark.range(150).select(F.when(F.col("id") < 120, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("b"))
+    left, right = tiles.salted(many, few, ["k"], "a", "b", 100)
+    assert left.groupBy("k", "_salt", "_salt2").count().agg(F.max("count")).first()[0] < 160
+    got = left.join(right, ["k", "_salt", "_salt2"]).select("k", "a", "b")
+    want = many.join(few, "k").select("k", "a", "b")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
 def test_hot_spot_does_not_emit_its_pairs(spark):

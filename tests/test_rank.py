@@ -32,12 +32,34 @@ def test_cumulate_in_many_pieces(scored, by, desc):
 
 def test_cumulate_cuts_a_heavy_score_by_id(scored):
     _, df = scored
-    plan = rank.cumulate(df, "s", "id", piece_rows=150)
-    # 20 pieces of 150 rows: no window partition may hold the thousand equal scores.
-    sizes = plan.withColumn("at", F.col("rn")).filter("s = 0.5").count()
-    assert sizes >= 1000
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "_ib" in text
+    # 20 pieces of about 150 rows: none may hold the thousand equal scores with ids in a row.
+    pieces = rank._pieces(df.withColumn("_k", F.col("s")), ["_k", "id"], 150)
+    sizes = [r["count"] for r in pieces.groupBy("_b").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 450
+
+
+@pytest.mark.parametrize("desc", [False, True])
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_cumulate_is_the_same_in_any_number_of_pieces(spark, ids, desc):
+    base = 1 << 60  # neighbouring ids that doubles can't tell apart
+    rows = [(base + i, None if i % 7 == 0 else float("nan") if i % 11 == 0 else float(i % 5), i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, s double, v long").withColumn("id", F.col("id").cast(ids))
+    runs = [sorted((r.rn, r.id, r.n, r.cum_v) for r in rank.cumulate(df, "s", "id", {"v": F.col("v")}, desc=desc, piece_rows=p).collect())
+            for p in (1_000, 100, 1)]
+    assert len(runs[0]) == 400 and runs[0] == runs[1] == runs[2]
+    assert [r[0] for r in runs[0]] == list(range(1, 401))
+
+
+@pytest.mark.parametrize("piece_rows", [10_000, 60, 1])
+def test_strict_percentiles_in_pieces(spark, piece_rows):
+    values = [None if i % 9 == 0 else float("nan") if i == 5 else 0.5 if i % 2 else i / 200 for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, s double")
+    got = {r.id: r.pct for r in rank.pct_strict(df, "s", piece_rows=piece_rows).collect()}
+    known = [v for v in values if v is not None]
+    order = lambda v: (v != v, v if v == v else 0.0)  # noqa: E731  NaN is the largest
+    for i, v in enumerate(values):
+        want = None if v is None else 100 * sum(order(w) < order(v) for w in known) / len(known)
+        assert got[i] == want or np.isclose(got[i], want)
 
 
 def test_quantiles(scored):
@@ -67,7 +89,7 @@ def test_metrics_against_direct_formulas(scored):
     order = np.lexsort((pdf.id.values, -s))
     assert np.isclose(row.precision_at_k, l[order[:50]].mean())
     assert np.isclose(row.capture_top_5pct, l[order[:150]].sum() / l.sum())
-    quick = rank.best_f1(df, "s", "l", mode="quantiles").first()
+    quick = rank.best_f1_at(df, "s", "l").first()
     assert np.isclose(quick.f1, f1.max())
 
 
