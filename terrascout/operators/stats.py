@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -118,6 +119,16 @@ def sign_flip_p(df: DataFrame, a: str, b: str, id_col: str, by: Sequence[str] =
     return joined.groupBy(*by).agg(((hit + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
+def poisson_steps(n: int) -> list[float]:
+    """Chances of at most 0, 1, ... n - 1 under Poisson(1)."""
+    steps, p, total = [], math.exp(-1.0), 0.0
+    for count in range(n):
+        total += p
+        steps.append(total)
+        p /= count + 1
+    return steps
+
+
 def bootstrap_auroc(df: DataFrame, score: str, label: str, id_col: str, rounds: int = 200,
                     alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Mean and interval of AUROC over resamples with replacement.
@@ -125,16 +136,11 @@ def bootstrap_auroc(df: DataFrame, score: str, label: str, id_col: str, rounds:
     Each row weighs Poisson(1) per resample; one-class resamples are skipped.
     Weights merge per (resample, score) before any shuffle.
     """
-    u = F.pmod(F.xxhash64(F.col(id_col), F.col("_r"), F.lit(seed)), F.lit(2 ** 40)) / F.lit(float(2 ** 40))
-    steps, p, total = [], 0.36787944117144233, 0.0
-    for count in range(12):
-        total += p
-        steps.append(total)
-        p /= count + 1
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
+    u = uniform(F.concat(F.col(id_col).cast("string"), F.lit("/"), F.col("_r").cast("string")), seed)
+    weight = sum(((F.col("_u") >= s).cast("int") for s in poisson_steps(12)), F.lit(0))
     drawn = (df.select(id_col, score, label)
              .withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-             .withColumn("_w", weight).filter("_w > 0"))
+             .withColumn("_u", u).withColumn("_w", weight).filter("_w > 0"))
     runs = rank.auroc(drawn, score, label, by=["_r"], weight="_w").filter(F.col("auroc").isNotNull())
     # One number per resample.
     return runs.agg(F.count(F.lit(1)).alias("rounds"), F.avg("auroc").alias("mean"),

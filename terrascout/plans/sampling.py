@@ -101,10 +101,19 @@ def d7(fx):
     return labels.oversample(labels.class_weights(fx.scores, 4.0), 4).select("cell_id", "copy", "weight")
 
 
-@query("D8_bootstrap_ci")
+_U_RESAMPLE = uniform_sql("cell_id || '/' || r", 42)
+
+
+@query("D8_bootstrap_ci", sql("scores", f"""
+select count(*) as rounds, {r6('avg(a)')} as mean, {r6('quantile_cont(a, 0.025)')} as ci_low, {r6('quantile_cont(a, 0.975)')} as ci_high from (
+ select r, sum(cp * (below + cn / 2.0)) / (sum(cp) * sum(cn)) as a from (
+  select r, s, cp, cn, coalesce(sum(cn) over (partition by r order by s rows between unbounded preceding and 1 preceding), 0) as below from (
+   select r, s, sum(w * label)::double as cp, sum(w * (1 - label))::double as cn from dr group by 1, 2)) group by 1 having sum(cp) > 0 and sum(cn) > 0)""",
+                              f"du as (select p_b as s, label, r, {_U_RESAMPLE} as u from fx_scores cross join range(1, 201) r(r))",
+                              f"dr as (select s, label, r, {' + '.join(f'cast(u >= {x!r}::double as integer)' for x in stats.poisson_steps(12))} as w from du)"))
 def d8(fx):
-    """AUROC with an interval over 50 resamples of all scores."""
-    return stats.bootstrap_auroc(fx.scores, "p_b", "label", "cell_id", rounds=50)
+    """AUROC with an interval over 200 resamples of all scores."""
+    return rounded(stats.bootstrap_auroc(fx.scores, "p_b", "label", "cell_id"), "mean", "ci_low", "ci_high")
 
 
 @query("D9_far_low_negatives")
@@ -172,7 +181,7 @@ def t3(fx):
 @query("T3_sign_flip", sql("scores", f"""
 select province, {r6("(count(*) filter (t >= t0 - 1e-9) + 1) / (count(*) + 1)::double")} as p_value from (
  select province, r, abs(sum(d * case when {uniform_sql('cell_id', 'r + 42')} < 0.5 then 1.0 else -1.0 end)) as t, abs(sum(d)) as t0
- from (select cell_id, {PROVINCE_SQL} as province, p_a / 4 - p_std as d from fx_scores) cross join range(1, 100) r(r) group by 1, 2) group by 1"""))
+ from (select cell_id, {PROVINCE_SQL} as province, p_a / 4 - p_std as d from fx_scores) cross join range(1, 1000) r(r) group by 1, 2) group by 1"""))
 def t3f(fx):
     rows = _paired_rows(fx).withColumn("quarter", F.col("p_a") / 4)
-    return rounded(stats.sign_flip_p(rows, "quarter", "p_std", "cell_id", by=["province"], rounds=99), "p_value")
+    return rounded(stats.sign_flip_p(rows, "quarter", "p_std", "cell_id", by=["province"]), "p_value")
