@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrascout.functions.portable import fixed
 from terrascout.operators.rank import cumulate
+from terrascout.session import cut
 
 CHUNK_ROWS = 10_000
 
@@ -27,16 +28,21 @@ def table_hash(df: DataFrame, cols: Sequence[str], id_col: str, chunk_rows: int
     """SHA-256 over the rows in id order: (n_rows, sha256).
 
     Rows are hashed in chunks of ``chunk_rows`` consecutive rows; the result is
-    the hash of the chunk hashes in order, so no task holds the whole text.
+    the hash of the chunk hashes in order, in as many levels as it takes.
     """
     lines = cumulate(df.withColumn("_line", row_text(df, cols)), id_col, id_col)
-    chunks = (lines.groupBy(F.floor((F.col("rn") - 1) / F.lit(chunk_rows)).alias("_chunk"))
-              .agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "_line"))),
-                                                   lambda s: s["_line"]), "\n"), 256).alias("_h"),
-                   F.count(F.lit(1)).alias("_n")))
-    # One short row per chunk.
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_h"))), lambda s: s["_h"]), "\n")
-    return chunks.agg(F.sum("_n").alias("n_rows"), F.sha2(whole, 256).alias("sha256"))
+
+    def joined(order: str, text: str) -> Column:
+        pairs = F.array_sort(F.collect_list(F.struct(order, text)))
+        return F.sha2(F.array_join(F.transform(pairs, lambda s: s[text]), "\n"), 256)
+
+    level = cut(lines.groupBy(F.floor((F.col("rn") - 1) / F.lit(chunk_rows)).alias("_chunk"))
+                .agg(joined("rn", "_line").alias("_h"), F.count(F.lit(1)).alias("_n")))
+    # A tree: no row ever holds more than chunk_rows lines or hashes.
+    while level.count() > chunk_rows:
+        level = cut(level.groupBy(F.floor(F.col("_chunk") / F.lit(chunk_rows)).alias("_up"))
+                    .agg(joined("_chunk", "_h").alias("_h"), F.sum("_n").alias("_n")).withColumnRenamed("_up", "_chunk"))
+    return level.agg(F.sum("_n").alias("n_rows"), joined("_chunk", "_h").alias("sha256"))
 
 
 MANIFEST_COLUMNS = ["discovery_id", "lat", "lon", "area_km2", "t_res_central", "mwe_p10", "mwe_p50", "mwe_p90",

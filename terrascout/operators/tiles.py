@@ -118,12 +118,14 @@ def salted(many: DataFrame, few: DataFrame, keys: Sequence[str], many_id: str, f
     about that many rows: each row takes one part of its own side and meets all parts
     of the other.  The limit is the same at every size.
     """
+    none = {"_salt": F.lit(0), "_salt2": F.lit(0)}
+    if many.isStreaming or few.isStreaming:  # micro-batches are small, and can't be counted ahead
+        return many.withColumns(none), few.withColumns(none)
     n = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     m = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     hot = cut(n.join(m, list(keys)).filter((F.col("_n") > hot_rows) | (F.col("_m") > hot_rows))
               .select(*keys, *[F.ceil(F.col(c) / F.lit(hot_rows)).cast("int").alias(f"{c}p") for c in ("_n", "_m")]))
     if hot.isEmpty():
-        none = {"_salt": F.lit(0), "_salt2": F.lit(0)}
         return many.withColumns(none), few.withColumns(none)
 
     def side(df: DataFrame, id_col: str, own: str, own_parts: str, other: str, other_parts: str) -> DataFrame:

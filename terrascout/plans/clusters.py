@@ -43,10 +43,10 @@ def dbscan_ctes(points: str, eps: float, least: int) -> tuple[str, ...]:
 
 
 @query("G3_dbscan", sql("scores", "select id as cell_id, cluster, is_core from labelled",
-                        "pts as (select cell_id as id, x, y from fx_scores where p_std < 0.15)", *dbscan_ctes("pts", 20.0, 3)))
+                        "pts as (select cell_id as id, x, y from fx_scores)", *dbscan_ctes("pts", 20.0, 3)))
 def g3(fx):
-    """Density clusters of the cells with a small spread."""
-    return cluster.dbscan(fx.scores.filter("p_std < 0.15"), 20.0, 3, id_col="cell_id", lat0=LAT0)
+    """Density clusters of all cells."""
+    return cluster.dbscan(fx.scores, 20.0, 3, id_col="cell_id", lat0=LAT0)
 
 
 @query("G4_neighbour_table", sql("cells", f"select cell_id as src, dst, cast(rk as integer) as rank, {r6('d')} as dist_km from nn",

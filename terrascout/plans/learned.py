@@ -103,7 +103,7 @@ def t4(fx):
     cells = learning_cells(fx)
     model = models.fit_logreg(cells, COLS)
     groups = {"scores": ["f_score", "f_other"], "spread": ["f_std"], "place": ["f_lat", "f_lon"]}
-    return models.permutation_importance(model, cells, groups, id_col="cell_id", repeats=2)
+    return models.permutation_importance(model, cells, groups, id_col="cell_id")
 
 
 @query("ST1_score_in_batches")

@@ -16,9 +16,8 @@ from terrascout.sources import tables
 select cell_id, lat > 36 and lat < 45 and lon > -120 and lon < -110 as strictly from fx_cells
 where lat between 36 and 45 and lon between -120 and -110"""))
 def p1(fx):
-    inside = geo.bbox(fx.cells, 36, 45, -120, -110)
-    strict = geo.bbox(inside, 36, 45, -120, -110, inclusive=False).select("cell_id", F.lit(True).alias("strictly"))
-    return inside.join(strict, "cell_id", "left").select("cell_id", F.coalesce("strictly", F.lit(False)).alias("strictly"))
+    strict = (F.col("lat") > 36) & (F.col("lat") < 45) & (F.col("lon") > -120) & (F.col("lon") < -110)
+    return geo.bbox(fx.cells, 36, 45, -120, -110).select("cell_id", strict.alias("strictly"))
 
 
 @query("P2_sentinel_filter", sql("stations", f"select station_id, {r6('hf')} as hf from fx_stations where hf > 10 and hf < 300"))
@@ -94,9 +93,9 @@ GRADE_SQL = """case when t >= 200 then 'flash-plant grade (>=200 deg C)' when t
  when t >= 130 then 'binary low-T (130-180 deg C)' when t >= 90 then 'district heating (90-130 deg C)' else 'direct-use (<90 deg C)' end"""
 
 
-@query("P9_temperature_class", sql("springs", f"select spring_id, {GRADE_SQL} as grade from (select spring_id, spring_t * 3 as t from fx_springs where spring_t is not null)"))
+@query("P9_temperature_class", sql("springs", f"select spring_id, case when t is not null then {GRADE_SQL} end as grade from (select spring_id, spring_t * 3 as t from fx_springs)"))
 def p9(fx):
-    return fx.springs.filter("spring_t is not null").select("spring_id", geo.temperature_class(F.col("spring_t") * 3).alias("grade"))
+    return fx.springs.select("spring_id", geo.temperature_class(F.col("spring_t") * 3).alias("grade"))
 
 
 @query("P10_dist_to_flags", sql("cells sites", f"""
@@ -116,11 +115,10 @@ def p11(fx):
 
 
 @query("P12_earthshot_flag", sql("springs", """
-select spring_id, spring_t * 3 >= 180 as eligible from fx_springs where spring_t is not null"""))
+select spring_id, spring_t * 3 >= 180 as eligible from fx_springs"""))
 def p12(fx):
     cost = F.lit(thermal.lcoe_value("base"))
-    hot = fx.springs.filter("spring_t is not null")
-    return hot.select("spring_id", thermal.meets_target(F.col("spring_t") * 3, cost).alias("eligible"))
+    return fx.springs.select("spring_id", thermal.meets_target(F.col("spring_t") * 3, cost).alias("eligible"))
 
 
 @query("P13_tabular_features", sql("chem", f"""

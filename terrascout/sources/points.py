@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,20 +53,22 @@ def read_points(spark: SparkSession, path: str, spec: dict[str, Sequence[str]] |
 
 
 def read_many(spark: SparkSession, paths: Sequence[str], spec: dict[str, Sequence[str]],
-              text: Sequence[str] = (), dms: bool = False) -> DataFrame:
+              text: Sequence[str] = (), dms: bool = False, skipped: list[str] | None = None) -> DataFrame:
     """Several header families, each mapped by itself, concatenated.
 
-    A family without coordinates is skipped, as is a path that cannot be read.
+    A family without coordinates is skipped, as is a path that is not there or no table;
+    their paths are added to ``skipped``.  Any other error of the storage is raised.
     """
     frames = []
     for path in paths:
         try:
             frame = read_points(spark, path, spec, text, dms)
-        except Exception as error:  # unreadable file: skip it, say so
-            print(f"[skip] {path}: {type(error).__name__}")
-            continue
+        except AnalysisException:
+            frame = None
         if frame is not None:
             frames.append(frame)
+        elif skipped is not None:
+            skipped.append(path)
     if not frames:
         raise ValueError("no readable point file with coordinates")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -19,17 +19,19 @@ def score_stream(rows: DataFrame, model: CellModel, out: str = "score") -> DataF
 
 
 def outcomes(stream: DataFrame, manifest: DataFrame, frozen: str, *, site_id: str = "site_id", lat0: float,
-             delay: str = "1 day") -> DataFrame:
+             delay: str | None = None) -> DataFrame:
     """Drilling results after the frozen time matched with the manifest's sites (ST2).
 
     A success within 25 km verifies a site, a dry hole within 5 km falsifies it.
     ``stream`` has ``outcome_id, ts, outcome, lat, lon``; a repeated outcome_id
-    counts once while its watermark lasts.  On a table the de-duplication is
+    counts once while its watermark of ``delay`` lasts, and later rows are lost.  On a table the de-duplication is
     exact.  The join is a stream-static equi-join on tiles.
     """
     rows = stream.filter(F.col("ts") > F.lit(frozen).cast("timestamp"))
     rows = rows.filter(F.col("outcome").isin("success", "dry"))
     if stream.isStreaming:
+        if delay is None:
+            raise ValueError("a stream needs the delay after which late rows are lost")
         rows = rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["outcome_id"])
     else:
         rows = rows.dropDuplicates(["outcome_id"])
