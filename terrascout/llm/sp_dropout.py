@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 from terrascout.llm.common import map_batches
 
 SPACE = "▁"          # stands for a space inside pieces
-CACHE_WORDS = 300_000     # segmentations a Python worker remembers before it starts anew
+CACHE_WORDS = 1_400_000     # segmentations a Python worker remembers before it starts anew
 # A unit is a run of spaces with what follows up to the next space, and a line break
 # is one of its own: merging can't make a piece that goes over such a border, as the
 # codec checks against the model.
 UNIT = re.compile(r" *[^ \n]+| +|\n")
 
 
+_WORD, _STEP, _MIX = 0x3FFFFFFF, 0x1E3779B1, 0x25EBCA6B  # 30 bits: one digit of Python's integers
+
+
 class Codec:
     """Segments and decodes with the pieces and scores of one model file."""
 
@@ -38,8 +41,11 @@ class Codec:
         size = model.vocab_size()
         pieces = [model.id_to_piece(i) for i in range(size)]
         plain = [not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) for i in range(size)]
-        self.scores = {p: model.get_score(i) for i, p in enumerate(pieces) if plain[i]}
         self.ids = {p: i for i, p in enumerate(pieces) if plain[i]}
+        # Of each piece that merging can make: place on the agenda, and its share of the dropout key.
+        self.makes = {p: (-model.get_score(i), xxhash.xxh32_intdigest(p) & _WORD) for p, i in self.ids.items()}
+        # Neighbours that some piece holds; merging never goes over any other border.
+        self.joins = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.byte_ids = {int(pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         if len(self.byte_ids) < 256:
             raise ValueError("lossless decoding needs a model with byte fallback")
@@ -48,65 +54,99 @@ class Codec:
         self.raw = [p.replace(SPACE, " ").encode() if plain[i] else b"" for i, p in enumerate(pieces)]
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
-        self.known: dict[tuple[str, int], bytes] = {}
-
-    def merge(self, symbols: list[str], key: bytes, threshold: int) -> list[str]:
-        """Pieces left by the agenda; ``threshold`` of 2^32 is the share of candidates skipped."""
-        n = len(symbols)
-        part, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[float, int, str, str]] = []
-
-        def propose(i: int, j: int) -> None:
-            if i < 0 or j >= n:
-                return
-            joined = part[i] + part[j]
-            score = self.scores.get(joined)
-            if score is None:
-                return
-            if threshold and xxhash.xxh32_intdigest(key + joined.encode() + i.to_bytes(8, "little")) < threshold:
-                return  # this candidate is dropped
-            heapq.heappush(agenda, (-score, i, part[i], part[j]))
-
+        self.coded = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        self.byte_coded = [self.byte_ids[b].to_bytes(4, "little") for b in range(256)]
+        self.known: dict[tuple[int, int, int], dict[str, bytes]] = {}
+        self.held = 0
+
+    def merge(self, part: list[str], key: int, threshold: int) -> list[str]:
+        """Pieces left by the agenda; ``threshold`` of 2^30 is the share of candidates skipped.
+
+        Entries are (negative score, place, left, right); an entry whose sides were merged
+        meanwhile is passed over.  A candidate's number depends on key, piece and place.
+        """
+        n, makes = len(part), self.makes.get
+        if n == 1:
+            return part
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = []
+        a = part[0]
         for i in range(n - 1):
-            propose(i, i + 1)
+            b = part[i + 1]
+            found = makes(a + b)
+            if found and (not threshold or ((x := (found[1] ^ key) + i * _STEP & _WORD) ^ x >> 15) * _MIX >> 9 & _WORD >= threshold):
+                agenda.append((found[0], i, a, b))
+            a = b
+        heapq.heapify(agenda)
         while agenda:
             _, i, a, b = heapq.heappop(agenda)
             j = after[i]
             if part[i] != a or j >= n or part[j] != b:
                 continue
-            part[i], part[j] = a + b, ""
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            propose(before[i], i)
-            propose(i, after[i])
+            a = part[i] = a + b
+            part[j] = ""
+            j = after[i] = after[j]
+            if j < n:
+                before[j] = i
+                b = part[j]
+                found = makes(a + b)
+                if found and (not threshold or ((x := (found[1] ^ key) + i * _STEP & _WORD) ^ x >> 15) * _MIX >> 9 & _WORD >= threshold):
+                    heapq.heappush(agenda, (found[0], i, a, b))
+            j = before[i]
+            if j >= 0:
+                b = part[j]
+                found = makes(b + a)
+                if found and (not threshold or ((x := (found[1] ^ key) + j * _STEP & _WORD) ^ x >> 15) * _MIX >> 9 & _WORD >= threshold):
+                    heapq.heappush(agenda, (found[0], j, b, a))
         return [p for p in part if p]
 
-    def unit(self, unit: str, seed: int, variant: int, threshold: int) -> bytes:
-        """Ids of one unit as little-endian 32-bit numbers."""
-        key = (unit, variant)
-        found = self.known.get(key)
+    def segment(self, part: str, seed: int, variant: int, threshold: int, known: dict[str, bytes]) -> bytes:
+        found = known.get(part)
         if found is None:
             # A literal U+2581 goes to bytes, as its piece would decode to a space.
-            symbols = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in unit]
-            ids: list[int] = []
-            hash_key = seed.to_bytes(8, "little", signed=True) + variant.to_bytes(8, "little")
-            for piece in self.merge(symbols, hash_key + unit[:256].encode(), threshold):
-                i = self.ids.get(piece)
-                ids += [i] if i is not None else [self.byte_ids[b] for b in piece.lstrip("\0").encode()] \
-                    if piece != "\0" else [self.byte_ids[0]]
-            found = np.array(ids, "<u4").tobytes()
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            if len(unit) < 100:
-                self.known[key] = found
+            if part == SPACE:
+                pieces = [SPACE]
+            else:
+                key = xxhash.xxh32_intdigest(part, seed=(seed * 1_000_003 + variant) & _WORD) & _WORD
+                pieces = self.merge(list(part.replace(" ", SPACE)), key, threshold)
+            coded = self.coded.get
+            found = b"".join([(part != SPACE and coded(p)) or b"".join(map(self.byte_coded.__getitem__, p.encode())) for p in pieces])
+            self.remember(known, part, found)
         return found
 
+    def unit(self, unit: str, seed: int, variant: int, threshold: int, known: dict[str, bytes]) -> bytes:
+        """Ids of one unit as little-endian 32-bit numbers, part by part between borders that no piece goes over."""
+        if unit.lstrip(" ").isalpha():
+            return self.segment(unit, seed, variant, threshold, known)
+        out, start, symbols, joins = [], 0, unit.replace(" ", SPACE), self.joins
+        for k in range(1, len(unit)):
+            if symbols[k - 1:k + 1] not in joins or unit[k] == SPACE or unit[k - 1] == SPACE:
+                out.append(self.segment(unit[start:k], seed, variant, threshold, known))
+                start = k
+        if not start:
+            return self.segment(unit, seed, variant, threshold, known)
+        out.append(self.segment(unit[start:], seed, variant, threshold, known))
+        whole = b"".join(out)
+        self.remember(known, unit, whole)
+        return whole
+
+    def remember(self, known: dict[str, bytes], unit: str, ids: bytes) -> None:
+        if self.held >= CACHE_WORDS:
+            for cache in self.known.values():
+                cache.clear()
+            self.held = 0
+        if len(unit) < 100:
+            known[unit] = ids
+            self.held += 1
+
     def encode(self, text: str, seed: int = 0, dropout: float = 0.0, variant: int = 0) -> np.ndarray:
-        threshold = round(dropout * (1 << 32))
+        if not text:
+            return np.zeros(0, "<u4")
+        threshold = round(dropout * (_WORD + 1))
+        known = self.known.setdefault((seed, threshold, variant), {})
         # As the model does, a space goes before the text; decoding takes it off.
-        return np.frombuffer(b"".join([self.unit(u, seed, variant, threshold) for u in UNIT.findall(" " + text)]), "<u4") \
-            if text else np.zeros(0, "<u4")
+        return np.frombuffer(b"".join([known.get(u) or self.unit(u, seed, variant, threshold, known)
+                                       for u in UNIT.findall(" " + text)]), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:].decode("utf-8")
