@@ -9,6 +9,9 @@ it; the hits give each window's first place.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import product
+
 import ahocorasick
 import numpy as np
 import pandas as pd
@@ -24,15 +27,23 @@ _R = 0xB5297A4D3F84D5A5  # odd base of the words' polynomial hash
 _INVERSE = pow(_R, -1, 1 << 64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-LETTERS = 1_000_000    # words that single code points can stand for
+DIGITS = "".join(map(chr, range(48, 112)))  # a word is a number in these: an automaton's nodes have few children
+KEPT = 1 << 22         # longest table of powers that a worker keeps
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+@lru_cache(maxsize=4)
+def _table(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n - 1); usual lengths are kept."""
+    size = 1 << max(12, (n - 1).bit_length())
+    return _table(base, size)[:n] if size <= KEPT else _table.__wrapped__(base, n)
+
+
 def word_places(batch: repeats.Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and stop of each word in bytes, and the end of each text in words; words end with their text."""
     data = np.frombuffer(batch.data, np.uint8)
@@ -57,7 +68,7 @@ def word_hashes(data: bytes, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 class Words(repeats.Units):
-    def cut(self, batch: repeats.Batch):
+    def units(self, batch: repeats.Batch):
         begin, stop, ends = word_places(batch)
         return word_hashes(batch.data, begin, stop), ends, (batch.data, begin, stop)
 
@@ -70,15 +81,12 @@ def locate(window: int) -> repeats.Solver:
     """First place of each window of a shard, from an automaton of the recurring ones."""
     def solve(pieces: list[bytes], doc: np.ndarray, pos: np.ndarray):
         split = [p.split(b" ") for p in pieces]
-        codes: dict[bytes, str] = {}
-        for p in split:
-            for w in p:
-                if w not in codes:
-                    i = len(codes)
-                    # Code points without the surrogates; a second one where words are many.
-                    codes[w] = "".join(chr(c + 1 if c < 0xD7FF else c + 0x801) for c in (i % LETTERS, i // LETTERS))
-        wide = 2 if len(codes) > LETTERS else 1
-        texts = ["".join(codes[w][:wide] for w in p) for p in split]
+        words = set().union(*split)
+        wide = 1
+        while len(DIGITS) ** wide < len(words):
+            wide += 1
+        codes = dict(zip(words, map("".join, product(DIGITS, repeat=wide))))
+        texts = ["".join(map(codes.__getitem__, p)) for p in split]
         size = window * wide
         n = np.array([len(p) - window + 1 for p in split], np.int64)
         ends = np.cumsum(n)
@@ -103,11 +111,11 @@ def locate(window: int) -> repeats.Solver:
         line: list[int] = []
         phrase: list[int] = []
         for base, text in zip((ends - n).tolist(), texts):
-            for end, number in automaton.iter(text):
-                at, odd = divmod(end + 1 - size, wide)
-                if not odd:
-                    line.append(base + at)
-                    phrase.append(number)
+            found = list(automaton.iter(text))
+            # A hit must end with a word.
+            found = [((end + 1) // wide - 1, number) for end, number in found if (end + 1) % wide == 0]
+            line += [base + end - window + 1 for end, _ in found]
+            phrase += [number for _, number in found]
         at, number = np.array(line), np.array(phrase)
         order = np.lexsort((first_pos[at], first_doc[at], number))
         at, number = at[order], number[order]
