@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import os
 from collections.abc import Callable, Iterator
@@ -10,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrascout.session import cut
+
 BATCH_BYTES = 8 << 20  # text that one Arrow batch hands to a Python worker, unless one row is larger
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,3 +48,24 @@ def sha256(data: bytes) -> str:
 def text_key(text: str = "text"):
     """A key that only equal texts share; NULL counts as empty."""
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a step to the shared folder, and let go of the shuffle files behind it.
+
+    Spark deletes those of a finished job when the driver's garbage collector finds the
+    job's frames unused, by default every half hour; a chain of steps would fill the disks.
+    """
+    made = cut(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return made
+
+
+def return_memory() -> None:
+    """Give what a worker has freed back to the system, as workers of other stages stay beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass

@@ -31,11 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascout.llm import anchors
-from terrascout.llm.common import bounded_batches
-from terrascout.session import cut
+from terrascout.llm.common import bounded_batches, return_memory, stage
 
-BATCH = 2 << 20        # bytes of text in a batch, unless one text is longer
-BUCKET = 16 << 20      # bytes of text whose anchors one bucket compares
+BATCH = 1 << 20        # bytes of text in a batch, unless one text is longer
+BUCKET = 8 << 20       # bytes of text whose anchors one bucket compares
 SHARD = 2 << 20        # bytes of text behind one shard
 HOT = 1000             # documents from which an anchor's windows are dealt one by one
 NO_ID = (1 << 63) - 1  # stands for a NULL id: later than every other
@@ -93,7 +92,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
         if texts:
             yield row()
 
-    return cut(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _PACKED))
+    return stage(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _PACKED))
 
 
 def total_bytes(batches: DataFrame) -> int:
@@ -131,6 +130,8 @@ def shared_hashes(batches: DataFrame, hashes: Callable[[Batch], tuple[np.ndarray
                     "bucket": np.array([p[0] for p in parts], np.int32), "batch": np.full(len(parts), row["batch"], np.int64),
                     "hashes": [pack_sorted(p[1]) for p in parts],
                     "times": [np.minimum(p[2], 65535).astype(np.uint16).tobytes() for p in parts]})
+                del found, times, parts
+                return_memory()
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack_sorted(h) for h in frame["hashes"]]
@@ -147,10 +148,12 @@ def shared_hashes(batches: DataFrame, hashes: Callable[[Batch], tuple[np.ndarray
             at += len(part)
             if (n > 1).any():
                 out.append((batch, pack_sorted(part[n > 1]), pack_sorted(part[n > hot])))
+        del found, times, order, total, sums
+        return_memory()
         return pd.DataFrame(out, columns=["batch", "shared", "hot"])
 
     sent = batches.mapInPandas(send, "bucket int, batch long, hashes binary, times binary")
-    return cut(sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(compare, "batch long, shared binary, hot binary"))
+    return stage(sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(compare, "batch long, shared binary, hot binary"))
 
 
 def _gather(frame: pd.DataFrame, column: str) -> np.ndarray:
@@ -172,7 +175,9 @@ def one_batch(batches: DataFrame, answers: DataFrame, work: Callable[[pd.Series,
     empty = {f.split()[0]: [] for f in schema.split(", ")}
 
     def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        return work(rows.iloc[0], found) if len(rows) else pd.DataFrame(empty)
+        made = work(rows.iloc[0], found) if len(rows) else pd.DataFrame(empty)
+        return_memory()
+        return made
 
     return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(run, schema)
 
@@ -185,7 +190,7 @@ class Units:
     def __init__(self, window: int, k: int):
         self.window, self.k = window, k
 
-    def cut(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, object]:
+    def units(self, batch: Batch) -> tuple[np.ndarray, np.ndarray, object]:
         """(a hash of each unit, end of each text in units, what ``piece`` needs)."""
         return np.frombuffer(batch.data, np.uint8), batch.ends, batch.data
 
@@ -194,7 +199,7 @@ class Units:
         return held[start:stop]
 
     def anchors(self, batch: Batch):
-        units, ends, held = self.cut(batch)
+        units, ends, held = self.units(batch)
         start, stop, anchor = anchors.runs(anchors.kgrams(units, self.k), ends, self.k, self.window)
         return start, stop, anchor, ends, held
 
@@ -262,7 +267,7 @@ def first_places(batches: DataFrame, units: Units, solve: Solver, *, bucket: int
                              zip_.compress(b"".join(listed[j] for j in s))))
         return pd.DataFrame(rows, columns=["shard", "batch", "piece", "place", "lens", "data"])
 
-    made = cut(one_batch(batches, shared, pieces, "shard int, batch long, piece binary, place binary, lens binary, data binary"))
+    made = stage(one_batch(batches, shared, pieces, "shard int, batch long, piece binary, place binary, lens binary, data binary"))
 
     def solved(frame: pd.DataFrame) -> pd.DataFrame:
         listed: list[bytes] = []
@@ -276,6 +281,8 @@ def first_places(batches: DataFrame, units: Units, solve: Solver, *, bucket: int
             poss.append(p)
             sizes.append(len(d))
         n, doc, pos = solve(listed, np.concatenate(docs), np.concatenate(poss))
+        del listed
+        return_memory()
         ends = np.cumsum(n)
         offset = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
         owner = np.repeat(np.arange(len(n)), n)
