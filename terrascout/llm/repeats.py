@@ -213,7 +213,7 @@ Solver = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.nd
 
 def first_places(batches: DataFrame, units: Units, solve: Solver, *, bucket: int = BUCKET, shard: int = SHARD,
                  hot: int = HOT) -> DataFrame:
-    """(batch, piece, lo, hi, doc, pos) and, with piece -1, the places of a batch's pieces.
+    """(batch, answer, n): blobs of (piece, lo, hi, doc, pos), and with n below 0 the places of a batch's pieces.
 
     For windows lo <= w < hi of a piece, the first equal window starts in document ``doc``
     at unit ``pos + w``.  ``solve`` gets the pieces of a shard with the document and unit of
@@ -254,17 +254,19 @@ def first_places(batches: DataFrame, units: Units, solve: Solver, *, bucket: int
                 firsts.append(i)
                 target.append((xxhash.xxh64_intdigest(p) if alone[i] else int(anchor[i])) % shards)
             number[i] = n
-        rows = [(-1, row["batch"], number.tobytes(), start.tobytes(), b"", b"")] if len(start) else []
+        zipped = zstandard.ZstdCompressor(level=3).compress
+        rows = [(-1, row["batch"], zipped(number.tobytes()), zipped(np.diff(start, prepend=0).astype(np.int64).tobytes()), b"", b"")] \
+            if len(start) else []
         at = np.array(target, np.int64)
         by_shard = np.argsort(at, kind="stable")
-        listed, zip_ = list(known), zstandard.ZstdCompressor(level=1)
+        listed = list(known)
         for s in np.split(by_shard, np.flatnonzero(np.diff(at[by_shard])) + 1):
             if len(s):
                 f = np.array(firsts)[s]
                 lens = np.array([len(listed[j]) for j in s], np.int64)
-                rows.append((int(at[s[0]]), row["batch"], s.astype(np.int32).tobytes(),
-                             np.stack([doc[f], pos[f]]).astype(np.int64).tobytes(), lens.tobytes(),
-                             zip_.compress(b"".join(listed[j] for j in s))))
+                rows.append((int(at[s[0]]), row["batch"], zipped(s.astype(np.int32).tobytes()),
+                             zipped(np.stack([doc[f], pos[f]]).astype(np.int64).tobytes()), zipped(lens.astype(np.int32).tobytes()),
+                             zipped(b"".join(listed[j] for j in s))))
         return pd.DataFrame(rows, columns=["shard", "batch", "piece", "place", "lens", "data"])
 
     made = stage(one_batch(batches, shared, pieces, "shard int, batch long, piece binary, place binary, lens binary, data binary"))
@@ -272,11 +274,12 @@ def first_places(batches: DataFrame, units: Units, solve: Solver, *, bucket: int
     def solved(frame: pd.DataFrame) -> pd.DataFrame:
         listed: list[bytes] = []
         docs, poss, sizes = [], [], []
+        unzip = zstandard.ZstdDecompressor().decompress
         for place, lens, data in zip(frame["place"], frame["lens"], frame["data"]):
-            ends = np.cumsum(np.frombuffer(lens, np.int64))
-            whole = zstandard.ZstdDecompressor().decompress(data, max_output_size=int(ends[-1]))
+            ends = np.cumsum(np.frombuffer(unzip(lens), np.int32), dtype=np.int64)
+            whole = unzip(data)
             listed += [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            d, p = np.frombuffer(place, np.int64).reshape(2, -1)
+            d, p = np.frombuffer(unzip(place), np.int64).reshape(2, -1)
             docs.append(d)
             poss.append(p)
             sizes.append(len(d))
@@ -294,27 +297,28 @@ def first_places(batches: DataFrame, units: Units, solve: Solver, *, bucket: int
         begin = np.cumsum(sizes) - sizes
         out = []
         for k, (piece, batch, a) in enumerate(zip(frame["piece"], frame["batch"], np.split(np.arange(len(new)), cuts))):
-            own = np.frombuffer(piece, np.int32)[owner[new[a]] - begin[k]]
+            own = np.frombuffer(unzip(piece), np.int32)[owner[new[a]] - begin[k]]
             table = np.stack([own, offset[new[a]], offset[last[a]] + 1, doc[new[a]], base[new[a]]]).astype(np.int64)
             out.append((batch, zstandard.ZstdCompressor(level=1).compress(table.tobytes()), table.shape[1]))
         return pd.DataFrame(out, columns=["batch", "answer", "n"])
 
     dealt = made.filter("shard >= 0").repartition(shards, "shard")
     answers = dealt.groupBy("shard").applyInPandas(solved, "batch long, answer binary, n long")
-    places = made.filter("shard < 0").select("batch", F.concat("piece", "place").alias("answer"), F.lit(-1).cast("long").alias("n"))
+    # Two rows for the places: the number of the piece at each, and where it starts.
+    places = made.filter("shard < 0").select("batch", F.inline(F.array(
+        F.struct(F.col("piece").alias("answer"), F.lit(-1).cast("long").alias("n")),
+        F.struct(F.col("place").alias("answer"), F.lit(-2).cast("long").alias("n")))))
     return answers.unionByName(places)
 
 
 def earlier(batch: Batch, ends: np.ndarray, answers: pd.DataFrame, window: int) -> np.ndarray:
     """True for each unit of a batch that a window with an earlier equal one covers."""
     covered = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int64)
-    mine = answers[answers["n"] < 0]
-    if len(mine):
-        raw = mine["answer"].iloc[0]
-        count = len(raw) // 12
-        number, start = np.frombuffer(raw[:4 * count], np.int32), np.frombuffer(raw[4 * count:], np.int64)
-        unzip = zstandard.ZstdDecompressor()
-        tables = [np.frombuffer(unzip.decompress(a, max_output_size=40 * int(n)), np.int64).reshape(5, -1)
+    mine = {int(n): a for a, n in zip(answers["answer"], answers["n"]) if n < 0}
+    if mine:
+        unzip = zstandard.ZstdDecompressor().decompress
+        number, start = np.frombuffer(unzip(mine[-1]), np.int32), np.cumsum(np.frombuffer(unzip(mine[-2]), np.int64))
+        tables = [np.frombuffer(unzip(a), np.int64).reshape(5, -1)
                   for a, n in zip(answers["answer"], answers["n"]) if n > 0]
         piece, lo, hi, doc, base = np.concatenate(tables, axis=1)
         order = np.argsort(piece, kind="stable")
