@@ -13,49 +13,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascout.operators import rank, tiles
-from terrascout.session import cut
+from terrascout.operators.joins import frequent, frequent_keys, look_up, share_of
+from terrascout.session import cut, steps
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
                          src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) with component = smallest id reachable (G2 on any graph).
 
-    Every round each vertex hooks to its smallest neighbour, chains are
-    shortened twice, and the graph is contracted to the vertices that remain.
+    Every round each vertex hooks to the neighbour that comes first in the order of a hash,
+    which keeps chains short on any graph; chains are shortened twice, and the
+    graph is contracted to the vertices that remain.  Neighbours of a hub are combined
+    before the shuffle and looked up in parts (``joins.look_up``), never in one group.
     """
-    e = cut(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
-            .filter(F.col("a") != F.col("b")).distinct())
-
-    def follow(step: DataFrame, via: DataFrame) -> DataFrame:
-        nxt = via.select(F.col("v").alias("p"), F.col("p").alias("_g"))
-        return step.join(nxt, "p", "left").select("v", F.coalesce("_g", "p").alias("p"))
-
-    moves = []
-    while not e.isEmpty():
-        both = e.union(e.select("b", "a"))
-        hook = (both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
-                .select("v", F.least("v", "m").alias("p")))
-        jump = follow(hook, hook)
-        jump = cut(follow(jump, jump))
-        moves.append(jump)
-        to_a = jump.select(F.col("v").alias("a"), F.col("p").alias("_pa"))
-        to_b = jump.select(F.col("v").alias("b"), F.col("p").alias("_pb"))
-        moved = e.join(to_a, "a").join(to_b, "b").select(F.col("_pa").alias("a"), F.col("_pb").alias("b"))
-        # A vertex whose own target moved on stays linked to it.
-        chain = follow(jump, jump).join(jump.withColumnRenamed("p", "_q"), "v").select(
-            F.col("_q").alias("a"), F.col("p").alias("b"))
-        e = cut(moved.union(chain).filter(F.col("a") != F.col("b"))
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    assign = nodes.select(F.col(id_col).alias("id"), F.col(id_col).alias("component")).distinct()
-    for jump in moves:
-        moved_to = jump.select(F.col("v").alias("component"), F.col("p").alias("_p"))
-        assign = (assign.join(moved_to, "component", "left")
-                  .select("id", F.coalesce("_p", "component").alias("component")))
-    # Vertices were merged towards smaller ids, but the root need not be the smallest.
-    assign = cut(assign)
-    low = assign.groupBy("component").agg(F.min("id").alias("_low"))
-    return assign.join(low, "component").select(
-        F.col("id").alias(id_col), F.col("_low").alias("component"))
+    def order(column: str):
+        return F.struct(F.xxhash64(column).alias("h"), F.col(column).alias("v"))
+
+    def named(hook: DataFrame, v: str, p: str) -> DataFrame:
+        return hook.select(F.col("v").alias(v), F.col("p").alias(p))
+
+    def follow(step: DataFrame, via: DataFrame, hot: DataFrame | None) -> DataFrame:
+        return look_up(step, "p", named(via, "p", "_g"), hot).select("v", F.coalesce("_g", "p").alias("p"))
+
+    def ordered(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    moves: list[DataFrame] = []
+    with steps(nodes.sparkSession) as own:
+        e = cut(edges.select(*ordered(src, dst)).filter(F.col("a") != F.col("b")).distinct())
+        while n := e.count():
+            both = e.union(e.select("b", "a"))
+            first = both.groupBy(F.col("a").alias("v")).agg(F.min(order("b")).alias("m"), F.count(F.lit(1)).alias("_n"))
+            hook = cut(first.select("v", F.least("m", order("v"))["v"].alias("p"), "_n"))
+            # No vertex is looked up more often than it has neighbours.
+            hubs = frequent(hook, "v", share_of(n, e))
+            hot = {c: hubs and hubs.withColumnRenamed("v", c) for c in "abp"}
+            jump = follow(hook.select("v", "p"), hook, hot["p"])
+            jump = cut(follow(jump, jump, hot["p"]))
+            moves.append(jump)
+            # Each vertex and its target were neighbours, so both stay linked wherever they move.
+            half = look_up(e, "a", named(jump, "a", "_pa"), hot["a"])
+            moved = look_up(half, "b", named(jump, "b", "_pb"), hot["b"])
+            e = cut(moved.select(*ordered("_pa", "_pb")).filter(F.col("a") != F.col("b")).distinct())
+        if not moves:
+            return own.keep(nodes.select(F.col(id_col), F.col(id_col).alias("component")).distinct())
+        # Composed from the last and smallest contraction back to the first.
+        label = moves[-1]
+        for jump in reversed(moves[:-1]):
+            label = follow(jump, label, frequent_keys(jump, "p"))
+        assign = cut(nodes.select(F.col(id_col).alias("v")).distinct().join(label, "v", "left")
+                     .select("v", F.coalesce("p", "v").alias("p")))
+        low = assign.groupBy("p").agg(F.min("v").alias("_low"))
+        found = look_up(assign, "p", low, frequent_keys(assign, "p"))
+        return own.keep(found.select(F.col("v").alias(id_col), F.col("_low").alias("component")))
 
 
 def _tile_graph(points: DataFrame, eps: float, cap: int):

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,16 +63,75 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+# Lets Spark delete the shuffle files of a write as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Steps:
+    """Owner of the tables that ``cut`` writes while it is the innermost open one."""
+
+    def __init__(self, outer: Steps | None):
+        self._outer, self.paths = outer, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write a result that outlives this owner; it belongs to the one around it, if there is one."""
+        token = _OWNER.set(self._outer)
+        try:
+            return cut(df)
+        finally:
+            _OWNER.reset(token)
+
+
+_OWNER: ContextVar[Steps | None] = ContextVar("owner of written steps", default=None)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Steps]:
+    """Delete every table that was written by ``cut`` inside the block, whether it ends well or not.
+
+    A result that is still needed goes through ``keep``; frames that read the others must
+    not be used any more.  Without an owner, tables stay until the folder expires.
+    """
+    owner = Steps(_OWNER.get())
+    token = _OWNER.set(owner)
+    try:
+        yield owner
+    finally:
+        _OWNER.reset(token)
+        for path in owner.paths:
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table below the shared folder, in whatever store it is."""
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    except AttributeError:  # a remote session has no way to delete; the folder's expiry does it
+        return
+    store.delete(hadoop, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a stage to the shared folder and read it back.
 
     The lineage ends at the files, which outlive any executor, and the planner
     sees their true size.  (A checkpointed plan keeps its estimated size, which
-    multiplies from join to join in an iterative job.)
+    multiplies from join to join in an iterative job.)  The shuffle files behind
+    the stage go at once; the table itself goes with its owner (``steps``).
     """
-    path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    owner = _OWNER.get()
+    if owner:
+        owner.paths.append(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def mean_of(df: DataFrame, column: str) -> float:

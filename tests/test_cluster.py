@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from helpers import as_degrees, cloud, distances, table
-from terrascout.operators import cluster
+from terrascout.operators import cluster, joins
+from terrascout.session import cut, steps
 
 
 def sequential_dbscan(xy, eps, least):
@@ -61,6 +64,42 @@ def test_components_of_a_chain_a_star_and_loners(spark):
     assert got[5] == 5 and got[6] == 6
 
 
+def test_components_around_hubs(spark):
+    """Stars whose hubs have far more than an even share of the edges, joined by a chain."""
+    star = spark.range(1, 6000).selectExpr("id as src", "cast(0 as bigint) as dst").union(
+        spark.range(7000, 12000).selectExpr("cast(20000 as bigint) as src", "id as dst"))
+    edges = star.union(spark.createDataFrame([(5, 30000), (30000, 30001), (30001, 7005)], "src long, dst long"))
+    nodes = spark.range(0, 6000).union(spark.range(7000, 12000)).union(spark.createDataFrame([(20000,), (30000,), (30001,), (40000,)], "id long"))
+    got = {r.id: r.component for r in cluster.connected_components(nodes, edges).collect()}
+    assert len(got) == 11004 and got.pop(40000) == 40000 and set(got.values()) == {0}
+
+
+def test_look_up_deals_frequent_keys(spark):
+    many = cut(spark.range(40_000).selectExpr("if(id % 3 = 0, 7, if(id % 101 = 0, null, id)) as k", "id as x"))
+    few = spark.range(0, 40_000, 2).selectExpr("id as k", "id * 10 as y").union(spark.createDataFrame([(7, 70)], "k long, y long"))
+    hot = joins.frequent_keys(many, "k")
+    assert [r.k for r in hot.collect()] == [7]
+    got = joins.look_up(many, "k", few, hot)
+    want = many.join(few, "k", "left")
+    assert got.count() == 40_000 and got.exceptAll(want.select(got.columns)).isEmpty()
+    assert joins.frequent_keys(many.filter("k <> 7"), "k") is None
+    assert joins.look_up(many, "k", few, hot, "inner").filter("k = 7").count() == 13_334
+
+
+def test_steps_delete_what_they_wrote(spark):
+    with steps(spark) as outer:
+        with steps(spark) as inner:
+            a = cut(spark.range(5))
+            kept = inner.keep(a.selectExpr("id + 1 as id"))
+        assert not any(os.path.exists(p) for p in inner.paths) and len(inner.paths) == 1
+        assert kept.count() == 5 and len(outer.paths) == 1
+    assert not os.path.exists(outer.paths[0])
+    with pytest.raises(ZeroDivisionError), steps(spark) as owner:
+        cut(spark.range(3))
+        raise ZeroDivisionError
+    assert not os.path.exists(owner.paths[0])
+
+
 def test_morans_i(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=50)
