@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import hashlib
 import os
 from collections.abc import Callable, Iterator
@@ -51,15 +50,8 @@ def text_key(text: str = "text"):
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write a step to the shared folder, and let go of the shuffle files behind it.
-
-    Spark deletes those of a finished job when the driver's garbage collector finds the
-    job's frames unused, by default every half hour; a chain of steps would fill the disks.
-    """
-    made = cut(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return made
+    """Write a step to the shared folder; it goes with its owner (``session.steps``)."""
+    return cut(df)
 
 
 def return_memory() -> None:

@@ -9,6 +9,7 @@ rows above it and breaks ties by id.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,27 +24,40 @@ BINS = 1024        # bins of one round of refinement
 EXACT = 1 << 53    # below this, sums of products are whole in double precision
 
 
-def quantize(vectors: DataFrame, scale: float, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): floor(scale * x) of each component as long; rows without a whole, finite vector go."""
-    x = F.transform(F.col(vec_col), lambda a: F.floor(F.lit(float(scale)) * a.cast("double")))
+def quantize(vectors: DataFrame, scale: float, id_col: str, vec_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, v): floor(scale * x) of each component as long; rows without a whole, finite vector go.
+
+    A component that leaves the range of whole numbers raises an error.
+    """
+    def whole(a):
+        x = F.lit(float(scale)) * a.cast("double")
+        return F.when(F.abs(x) < F.lit(float(1 << 63)), F.floor(x)).otherwise(
+            F.raise_error(F.lit("a component of a vector is beyond 64 bits")).cast("long"))
+
     fine = F.forall(F.col(vec_col), lambda a: a.isNotNull() & ~F.isnan(a.cast("double"))
                     & (F.abs(a.cast("double")) < F.lit(math.inf)))
-    return vectors.filter(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))) \
-        .select(F.col(id_col).cast("long").alias("id"), x.alias("v"))
+    x = F.when(F.coalesce(fine, F.lit(False)), F.transform(F.col(vec_col), whole))
+    return vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), x.alias("v"), *keep) \
+        .filter("v is not null")
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.int64) for v in rows]) if len(rows) else np.zeros((0, 0), np.int64)
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Whole inner products: by BLAS where doubles are exact, in integers elsewhere (long range)."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+def exact_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whole inner products: by BLAS where doubles are exact, in integers elsewhere; beyond 64 bits an error."""
+    def largest(x: np.ndarray) -> int:
+        return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+    bound = largest(q) * largest(c) * max(1, q.shape[1])
     if bound < 1 << 24:
         return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if bound < EXACT:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if bound < 1 << 63:
+        return q @ c.T
+    raise OverflowError("inner products of these vectors may be beyond 64 bits")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, *, scale: float = 64.0, id_col: str = "vec_id",
@@ -54,7 +68,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, *, scale: float = 64.0, id_
     smaller id; a query with fewer candidates lists all.  Vectors that are NULL, hold NULL or
     non-finite components, or have no id take no part; vectors of another length than the
     query's are no candidates of it.  Repeated rows are candidates each, and a repeated query
-    answers once.  Nothing but ids and vectors is read.
+    answers once.  Components or scores that may be beyond 64 bits raise an error.  Nothing but
+    ids and vectors is read.
 
     Every task holds ``QUERY_BLOCK`` queries and streams a share of the candidates past them.
     """
@@ -90,7 +105,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, *, scale: float = 64.0, id_
             table = _matrix(other["v"])
             for i in range(0, len(m), 512):
                 for j in range(0, len(ids), BLOCK):
-                    s = _scores(m[i:i + 512], table[j:j + BLOCK])
+                    s = exact_products(m[i:i + 512], table[j:j + BLOCK])
                     yield own.iloc[i:i + 512], ids[j:j + BLOCK], s, qid[i:i + 512, None] != ids[None, j:j + BLOCK]
 
     def ranges(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
