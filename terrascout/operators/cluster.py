@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,25 +179,112 @@ def dbscan(points: DataFrame, eps: float, min_points: int, *, id_col: str, lat0:
                     F.coalesce("is_core", F.lit(False)).alias("is_core")))
 
 
-def dedupe_sites(sites: DataFrame, radius: float, *, order_col: str, lat0: float) -> DataFrame:
+THIN_ROWS = 20_000  # sites of a tile that one task thins in order
+_KEPT, _DROPPED, _OPEN = 1, 2, 0
+
+
+def _thin_tile(ids: np.ndarray, xy: np.ndarray, sheltered: np.ndarray, radius: float) -> np.ndarray:
+    """What the sequential loop does with the sites of one tile, as far as the tile can tell.
+
+    A site with a kept earlier one nearby is dropped.  One without is kept if no undecided
+    earlier site is nearby and nothing outside the tile can be (``sheltered``).
+    """
+    status = np.zeros(len(ids), np.int32)
+    near = radius + 5e-10  # distances count to 1e-9 km
+    square = np.floor(xy / near).astype(np.int64)
+    held: dict[tuple[int, int], list[list[int]]] = {}  # square -> kept, undecided
+
+    def any_near(i: int, kind: int) -> bool:
+        a, b = int(square[i, 0]), int(square[i, 1])
+        for key in ((a + s, b + t) for s in (0, -1, 1) for t in (0, -1, 1)):
+            if key in held and held[key][kind]:
+                gap = xy[held[key][kind]] - xy[i]
+                if (np.sqrt((gap ** 2).sum(1)) < near).any():
+                    return True
+        return False
+
+    for i in np.argsort(ids, kind="stable").tolist():
+        if any_near(i, 0):
+            status[i] = _DROPPED
+            continue
+        keep = sheltered[i] and not any_near(i, 1)
+        status[i] = _KEPT if keep else _OPEN
+        held.setdefault((int(square[i, 0]), int(square[i, 1])), [[], []])[0 if keep else 1].append(i)
+    return status
+
+
+def _tile_pass(sites: DataFrame, radius: float, start: dict[str, float], tile_rows: int) -> DataFrame:
+    """(id, x, y, status) after one pass over tiles from ``start`` on, as large as hold ``tile_rows`` sites.
+
+    Tiles are squares of a quadtree over cells of eight radii.  Sites in cells with more
+    sites than that stay open.
+    """
+    side = 8.0 * radius
+    placed = sites.withColumns({f"_c{c}": F.floor((F.col(c) - F.lit(start[c])) / F.lit(side)) for c in "xy"})
+    cells = cut(placed.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")).withColumn("_level", F.when(F.col("_n") <= tile_rows, F.lit(0))))
+    level, more = 0, True
+    while more:
+        level += 1
+        up = {f"_{c}": F.shiftright(c, level) for c in ("_cx", "_cy")}
+        whole = cells.withColumns(up).groupBy(*up).agg(F.sum("_n").alias("_m")).filter(F.col("_m") <= tile_rows)
+        cells = cut(cells.withColumns(up).join(whole, list(up), "left")
+                    .withColumn("_level", F.when(F.col("_m").isNotNull(), level).otherwise(F.col("_level"))).drop("_m"))
+        squares, grown = cells.agg(F.count_distinct(*up), F.count_if(F.col("_level") == level)).first()
+        more = squares > 1 and grown > 0
+        cells = cells.drop(*up)
+    tiled = placed.join(cells.drop("_n"), ["_cx", "_cy"], "left")
+    size = F.expr("cast(shiftleft(1L, _level) as double)") * F.lit(side)
+    corner = {c: F.expr(f"cast(shiftright(_c{c}, _level) as double)") * size + F.lit(start[c]) for c in "xy"}
+    margin = F.least(*[F.least(F.col(c) - corner[c], corner[c] + size - F.col(c)) for c in "xy"])
+    solid = tiled.filter("_level is not null").select(
+        "id", "x", "y", F.expr("concat_ws(' ', _level, shiftright(_cx, _level), shiftright(_cy, _level))").alias("tile"),
+        (margin > F.lit(radius + tiles.SLACK)).alias("sheltered"))
+
+    def thin(frame: pd.DataFrame) -> pd.DataFrame:
+        status = _thin_tile(frame["id"].to_numpy(), frame[["x", "y"]].to_numpy(), frame["sheltered"].to_numpy(), radius)
+        return frame[["id", "x", "y"]].assign(status=status)
+
+    kind = dict(sites.dtypes)["id"]
+    done = solid.groupBy("tile").applyInPandas(thin, f"id {kind}, x double, y double, status int")
+    return done.unionByName(tiled.filter("_level is null").select("id", "x", "y", F.lit(_OPEN).alias("status")))
+
+
+def _open_pass(sites: DataFrame, radius: float) -> DataFrame:
+    """(id, x, y, status): sites with no earlier open one nearby are kept, what lies around them is dropped."""
+    as_target = sites.withColumn("_o", F.col("id")).withColumnRenamed("id", "_t")
+    first = tiles.radius_aggregate(sites, as_target, radius, {"low": ("min", "_o")}, q_id="id")
+    winners = cut(sites.join(first.filter(F.col("low") == F.col("id")).select("id"), "id"))
+    hit = tiles.radius_aggregate(sites, winners.withColumnRenamed("id", "_t"), radius, {"hits": ("count", None)}, q_id="id")
+    status = F.when(F.col("_w").isNotNull(), _KEPT).when(F.col("hits").isNotNull(), _DROPPED).otherwise(_OPEN)
+    return sites.join(winners.select("id", F.lit(1).alias("_w")), "id", "left").join(hit, "id", "left") \
+        .select("id", "x", "y", status.alias("status"))
+
+
+def dedupe_sites(sites: DataFrame, radius: float, *, order_col: str, lat0: float, tile_rows: int = THIN_ROWS) -> DataFrame:
     """Greedy thinning in input order (G1): a kept site drops later sites within ``radius``.
 
-    Each round keeps the open sites that have no earlier open site nearby and
-    drops what lies around them, which equals the sequential loop.
+    Tiles of at most ``tile_rows`` sites are thinned in order, each by one task; sites that
+    depend on what lies beyond their tile stay open, and the next pass moves the tiles by
+    half a cell.  Where a spot is too crowded for a tile, a pass over all
+    open sites keeps those without earlier neighbours.  A chain of sites that each block
+    the next takes as many passes as it crosses tiles.
     """
-    open_sites = cut(tiles.planar(sites, lat0).select(F.col(order_col).alias("id"), "x", "y"))
-    kept = None
-    while not open_sites.isEmpty():
-        as_target = open_sites.withColumn("_o", F.col("id")).withColumnRenamed("id", "_t")
-        first = tiles.radius_aggregate(open_sites, as_target, radius, {"low": ("min", "_o")}, q_id="id")
-        winners = cut(open_sites.join(first.filter(F.col("low") == F.col("id")).select("id"), "id"))
-        kept = winners if kept is None else kept.unionByName(winners)
-        hit = tiles.radius_aggregate(open_sites, winners.withColumnRenamed("id", "_t"), radius,
-                                     {"hits": ("count", None)}, q_id="id")
-        open_sites = cut(open_sites.join(hit.select("id"), "id", "left_anti"))
-    if kept is None:
-        return sites
-    return sites.join(kept.select(F.col("id").alias(order_col)), order_col, "left_semi")
+    if radius <= 0:
+        raise ValueError("the radius must be above 0")
+    with steps(sites.sparkSession) as own:
+        left = cut(tiles.planar(sites, lat0).select(F.col(order_col).alias("id"), "x", "y"))
+        x, y, count = left.agg(F.min("x"), F.min("y"), F.count(F.lit(1))).first()
+        kept, turn = left.limit(0), 0
+        while count:
+            # Every site lies well inside its tile in one of four passes.
+            start = {"x": x - radius * (2 + 4 * (turn % 2)), "y": y - radius * (2 + 4 * (turn // 2 % 2))}
+            done = cut(_tile_pass(left, radius, start, tile_rows))
+            if done.filter(F.col("status") != _OPEN).isEmpty():
+                done = cut(_open_pass(left, radius))
+            kept = kept.unionByName(done.filter(F.col("status") == _KEPT).drop("status"))
+            left = cut(done.filter(F.col("status") == _OPEN).drop("status"))
+            count, turn = left.count(), turn + 1
+        return own.keep(sites.join(kept.select(F.col("id").alias(order_col)), order_col, "left_semi"))
 
 
 def morans_i(values: DataFrame, edges: DataFrame, *, id_col: str, value: str,

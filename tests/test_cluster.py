@@ -54,6 +54,32 @@ def test_dedupe_equals_sequential(spark):
     assert sorted(r.pid for r in got.collect()) == np.flatnonzero(keep).tolist()
 
 
+@pytest.mark.parametrize("tile_rows", [4, 20_000])
+def test_dedupe_in_small_tiles_equals_sequential(spark, tile_rows):
+    rng = np.random.default_rng(8)
+    xy = np.vstack([cloud(250, 22, True), np.column_stack([-np.arange(40) * 4.0, np.full(40, 900.0)]), rng.uniform(0, 40, (60, 2))])
+    xy = xy[rng.permutation(len(xy))]
+    d = distances(xy, xy)
+    keep = np.ones(len(xy), bool)
+    for i in range(len(xy)):
+        if keep[i]:
+            close = np.flatnonzero(d[i] <= 5.0)
+            keep[close[close > i]] = False
+    got = cluster.dedupe_sites(as_degrees(table(spark, xy, "pid"), "pid"), 5.0, order_col="pid", lat0=0.0, tile_rows=tile_rows)
+    assert sorted(r.pid for r in got.collect()) == np.flatnonzero(keep).tolist()
+
+
+def test_dedupe_of_a_long_chain_takes_few_passes(spark, monkeypatch):
+    passes = []
+    one = cluster._tile_pass
+    monkeypatch.setattr(cluster, "_tile_pass", lambda *a: passes.append(1) or one(*a))
+    line = spark.range(20_000).selectExpr("id as pid", "0.0D as lat", "id * 4.0D / 111.32 as lon")
+    got = cluster.dedupe_sites(line, 5.0, order_col="pid", lat0=0.0, tile_rows=8_000)
+    assert got.filter("pid % 2 = 0").count() == got.count() == 10_000
+    assert len(passes) <= 10
+    assert cluster.dedupe_sites(line.limit(0), 5.0, order_col="pid", lat0=0.0).count() == 0
+
+
 def test_components_of_a_chain_a_star_and_loners(spark):
     chain = [(i, i + 1) for i in range(40, 70)]
     star = [(99, j) for j in range(80, 99)]
