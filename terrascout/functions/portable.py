@@ -6,6 +6,8 @@ leading 52 bits of a mixed hash of (id, seed) instead; ids may be numbers or tex
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +41,45 @@ def fraction(col: Column) -> Column:
 def fixed(col: str, digits: int) -> Column:
     """Fixed notation from the exact binary value, as C's printf rounds it."""
     return F.expr(f"format_number(`{col}`, '0.{'0' * digits}')")
+
+
+def _sides(n: int) -> tuple[int, int, int]:
+    """(a, b, steps): a * b is at least ``n`` and hardly more, and after how many steps no number is left at n or
+    above, but for one case in 10^30."""
+    a = max(2, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    over = (a * b - n) / (a * b)
+    return a, b, 1 if not over else math.ceil(30 / -math.log10(over))
+
+
+def permuted(rank: Column, n: int, seed: int) -> Column:
+    """Where a keyed bijection of 0..n-1 sends a whole number: four rounds of an unbalanced Feistel network over
+    a * b numbers, walked on while the result is not below ``n``.
+
+    The steps that are not needed change nothing; a number that none of them brought below n raises an error.
+    """
+    a, b, steps = _sides(n)
+
+    def network(m: Column) -> Column:
+        left, right = m % F.lit(a), F.floor(m / F.lit(a)).cast("bigint")
+        for j in range(4):
+            size = a if j % 2 == 0 else b
+            left, right = right, (left + F.floor(uniform(right, 4 * seed + j) * F.lit(size)).cast("bigint")) % F.lit(size)
+        # After an even number of rounds the sides have their sizes again.
+        return right * F.lit(a) + left
+
+    first = network(rank.cast("bigint"))
+    if steps == 1:
+        return first
+    walked = F.aggregate(F.sequence(F.lit(2), F.lit(steps)), first,
+                         lambda m, _: F.when(m >= F.lit(n), network(m)).otherwise(m))
+    return F.when(walked < F.lit(n), walked).otherwise(F.raise_error(F.lit("permutation walked too far")).cast("bigint"))
+
+
+def permuted_sql(m: str, a: str, b: str, seed: int) -> str:
+    """One walk of the same bijection over a * b numbers as SQL text; repeat it while the result is not below n."""
+    left, right = f"({m} % {a})", f"({m} // {a})"
+    for j in range(4):
+        size = a if j % 2 == 0 else b
+        left, right = right, f"(({left} + cast(floor({uniform_sql(right, 4 * seed + j)} * {size}) as bigint)) % {size})"
+    return f"({right} * {a} + {left})"

@@ -125,10 +125,9 @@ def st2(fx):
     from terrascout.plans.fixtures import TABLES
 
     rows = reader.selectExpr(*[f"{e} as {c}" for c, e in TABLES["outcomes"][1].items()]).withColumn("ts", F.col("ts").cast("timestamp"))
-    found = jobs.outcomes(rows, fx.sites, FROZEN, lat0=LAT0, delay="60 days")
     out = scratch_path(fx.spark, "st2")
-    jobs.run_to_table(found, out, scratch_path(fx.spark, "st2-state"))
-    return rounded(fx.spark.read.schema(found.schema).parquet(out).drop("ts"), "dist_km")
+    jobs.monitor(rows, fx.sites, FROZEN, out, scratch_path(fx.spark, "st2-state"), lat0=LAT0)
+    return rounded(jobs.monitored(fx.spark, out).drop("ts"), "dist_km")
 
 
 @query("ST2_outcome_batch", sql("outcomes sites", _OUTCOMES))

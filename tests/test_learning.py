@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from terrascout.functions.portable import permuted, permuted_sql
 from terrascout.operators import labels, manifest, models, rank, stats
 from terrascout.streaming import jobs
 
@@ -102,17 +103,60 @@ def test_stream_scores_like_the_table(spark, cells, tmp_path):
     assert len(got) == 600 and np.allclose(got.score, want.score)
 
 
-def test_outcomes_stream_drops_repeats_and_early_results(spark, tmp_path):
+@pytest.mark.parametrize("turn", [1, -1])
+def test_outcomes_stream_counts_late_and_repeated_results_once(spark, tmp_path, turn):
     sites = spark.createDataFrame([(1, 40.0, -117.0), (2, 45.0, -110.0)], "site_id long, lat double, lon double")
     rows = [(1, "2024-02-01 00:00:00", "success", 40.1, -117.0), (1, "2024-02-01 00:00:00", "success", 40.1, -117.0),
             (2, "2024-02-02 00:00:00", "dry", 45.1, -110.0), (3, "2024-02-02 00:00:00", "dry", 45.01, -110.0),
-            (4, "2023-01-01 00:00:00", "success", 40.0, -117.0), (5, "2024-02-03 00:00:00", "other", 40.0, -117.0)]
+            (4, "2023-01-01 00:00:00", "success", 40.0, -117.0), (5, "2024-02-03 00:00:00", "other", 40.0, -117.0),
+            # An earlier result comes long after a later one of the same id; it counts.
+            (6, "2025-01-01 00:00:00", "success", 45.0, -110.0), (6, "2024-03-01 00:00:00", "dry", 40.0, -117.0),
+            (7, "2024-03-01 00:00:00", "success", 0.0, 0.0), (7, "2024-04-01 00:00:00", "success", 40.0, -117.0)]
     df = spark.createDataFrame(rows, "outcome_id long, ts string, outcome string, lat double, lon double").withColumn("ts", F.to_timestamp("ts"))
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    found = jobs.outcomes(stream, sites, "2024-01-01 00:00:00", lat0=40.0)
-    jobs.run_to_table(found, str(tmp_path / "out"), str(tmp_path / "state"))
-    got = sorted((r.outcome_id, r.site_id, r.status) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect())
-    assert got == [(1, 1, "verified"), (3, 2, "falsified")]
-    batch = sorted((r.outcome_id, r.site_id, r.status) for r in jobs.outcomes(df, sites, "2024-01-01 00:00:00", lat0=40.0).collect())
-    assert batch == got
+    for n, row in enumerate(rows[::turn] + rows[:3]):  # repeats come in later batches as well
+        part = df.filter((F.col("outcome_id") == row[0]) & (F.col("ts") == F.lit(row[1]).cast("timestamp")))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for _ in range(2):  # a second run finds nothing new
+        jobs.monitor(stream, sites, "2024-01-01 00:00:00", out, str(tmp_path / "state"), lat0=40.0)
+    got = sorted(tuple(r) for r in jobs.monitored(spark, out).collect())
+    batch = sorted(tuple(r) for r in jobs.outcomes(df, sites, "2024-01-01 00:00:00", lat0=40.0).collect())
+    assert got == batch
+    assert [(r[0], r[1], r[3]) for r in got] == [(1, 1, "verified"), (3, 2, "falsified"), (6, 1, "falsified")]
+
+
+def test_leave_one_out_equals_refitting(spark):
+    rng = np.random.default_rng(12)
+    pos = pd.DataFrame(rng.normal(1.0, 1.0, (9, 3)), columns=COLS).assign(site=[f"s{i % 8}" for i in range(9)])
+    neg = pd.DataFrame(rng.normal(0.0, 2.0, (400, 3)), columns=COLS).assign(site=[f"s{i}" for i in range(400)])
+    neg.loc[3, "a"] = None
+    positives, negatives = spark.createDataFrame(pos), spark.createDataFrame(neg)
+    got = {r.site: r for r in models.leave_one_site_out(positives, negatives, COLS, id_col="site").collect()}
+    assert sorted(got) == sorted(set(pos.site))
+    for held in ("s0", "s5"):  # s0 has two rows
+        rest = positives.filter(F.col("site") != held).withColumn("label", F.lit(1)).unionByName(negatives.withColumn("label", F.lit(0)))
+        model = models.fit_logreg(rest, COLS)
+        top = model.score(positives.filter(F.col("site") == held)).agg(F.max("score")).first()[0]
+        assert np.isclose(got[held].held_out_score, top, atol=1e-5)
+        share = model.score(negatives).agg(F.avg((F.col("score") < top).cast("double"))).first()[0]
+        assert np.isclose(got[held].percentile_vs_neg, 100 * share, atol=0.3)
+        published = models.LinearModel(COLS, got[held].weights, got[held].intercept).score(negatives).agg(F.max("score")).first()[0]
+        assert np.isclose(1 / (1 + np.exp(-published)), model.score(negatives).agg(F.max("score")).first()[0], atol=1e-5)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 11, 400])
+def test_permuted_is_a_bijection_that_sql_repeats(spark, n):
+    import duckdb
+
+    got = {}
+    for seed in (3, 4):
+        got[seed] = {r.id: r.m for r in spark.range(n).select("id", permuted(F.col("id"), n, seed).alias("m")).collect()}
+        assert sorted(got[seed].values()) == list(range(n))
+        a = max(2, int((n - 1) ** 0.5) + 1)
+        b = -(-n // a)
+        first, again = permuted_sql("i", str(a), str(b), seed), permuted_sql("m", str(a), str(b), seed)
+        rows = duckdb.sql(f"""with recursive w as (select i, {first} as m from range({n}) r(i)
+            union all select i, {again} from w where m >= {n}) select i, m from w where m < {n}""").fetchall()
+        assert dict(rows) == got[seed]
+    assert n < 11 or got[3] != got[4]
