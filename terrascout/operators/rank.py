@@ -13,9 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascout.session import cut
+from terrascout.session import cut, steps
 
 PIECE_ROWS = 500_000  # rows one window task should sort
+SELECT_ROWS = 100_000  # rows left around a wanted rank that one task may sort
+SELECT_GROUPS = 10_000  # groups whose intervals are broadcast
+SELECT_ROUNDS = 8     # refinements of a histogram
+BINS = 1024           # bins of one refinement
 MAX_PIECES = 20_000   # bound on ranges; every offset table has at most a few times as many rows per group
 
 
@@ -268,14 +272,75 @@ def metric_bundle(df: DataFrame, score: str, label: str, id_col: str, k: int = 5
 # -------------------------------------------------------------------- quantiles
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-              names: Sequence[str] | None = None) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group without gathering a group."""
+              names: Sequence[str] | None = None, *, select_rows: int = SELECT_ROWS) -> DataFrame:
+    """Exact, linearly interpolated quantiles per group, selected by refined histograms.
+
+    No rows are sorted or shuffled while more than ``select_rows`` are left around a wanted rank:
+    each round counts ``BINS`` bins of its interval and goes on with the one that holds it,
+    between that bin's least and largest value.  -inf comes first, then numbers, inf, NaN;
+    NULLs don't count.  With more than ``SELECT_GROUPS`` groups all values are ranked instead.
+    """
     names = names or [f"q{round(100 * p)}" for p in probs]
-    keys = list(by) or ["_all"]
-    df = df if by else df.withColumn("_all", F.lit(1))
-    table = (df.filter(F.col(value).isNotNull())
-             .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_m")))
-    ranked = cumulate(table, "_v", "_v", {"m": F.col("_m")}, by=keys)
+    keys = [f"_g{i}" for i in range(len(by))]
+    spark, v, inf = df.sparkSession, F.col("_v"), F.lit(math.inf)
+    real = ~F.isnan("_v") & (F.abs("_v") < inf)
+    with steps(spark) as own:
+        rows = cut(df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).cast("double").alias("_v")).filter(v.isNotNull()))
+        counts = cut(rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(v == -inf).alias("below"), F.count_if(real).alias("m"), F.count_if(v == inf).alias("above"),
+            F.min(F.when(real, v)).alias("lo"), F.max(F.when(real, v)).alias("hi")).filter("n > 0"))
+        if counts.count() > SELECT_GROUPS:
+            return own.keep(_ranked_quantiles(rows, keys, probs, by, names))
+        wanted = []
+        for i, p in enumerate(probs):
+            at = (F.col("n") - 1) * F.lit(float(p))
+            wanted += [F.struct(F.lit(2 * i + s).alias("t"), f(at).cast("long").alias("r")) for s, f in enumerate((F.floor, F.ceil))]
+        first = counts.withColumn("w", F.explode(F.array(*wanted)))
+        need = F.col("w.r") - F.col("below")
+        beyond = F.when(need < 0, -inf).when(need >= F.col("m") + F.col("above"), F.lit(math.nan)).when(need >= F.col("m"), inf)
+        state = cut(first.select(*keys, F.col("w.t").alias("t"), need.alias("need"), F.when(beyond.isNull(), F.col("m")).otherwise(F.lit(0)).alias("m"),
+                                 F.coalesce(beyond, "lo").alias("lo"), F.coalesce(beyond, "hi").alias("hi")))
+
+        def around(targets: DataFrame) -> DataFrame:
+            """Rows in the interval of each target; there are at most SELECT_GROUPS times the probabilities, twice."""
+            few = targets.withColumnsRenamed({k: f"{k}_" for k in keys})
+            same = [rows[k].eqNullSafe(few[f"{k}_"]) for k in keys]
+            return rows.join(F.broadcast(few), [*same, rows["_v"].between(few["lo"], few["hi"])]).drop(*[f"{k}_" for k in keys])
+
+        for _ in range(SELECT_ROUNDS):
+            wide = (F.col("lo") < F.col("hi")) & (F.col("m") > select_rows)
+            if state.filter(wide).isEmpty():
+                break
+            # Shares of the halves, as the whole range may be beyond the largest number.
+            share = F.try_divide(v / BINS - F.col("lo") / BINS, F.col("hi") / BINS - F.col("lo") / BINS)
+            bin_ = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1))
+            bins = around(state.filter(wide)).groupBy(*keys, "t", "need", bin_.alias("b")).agg(
+                F.count(F.lit(1)).alias("m"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+            upto = F.sum("m").over(Window.partitionBy(*keys, "t").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+            chosen = bins.withColumn("upto", upto).filter((F.col("upto") > F.col("need")) & (F.col("upto") - F.col("m") <= F.col("need")))
+            narrow = chosen.select(*keys, "t", (F.col("need") - F.col("upto") + F.col("m")).alias("need"), "m", "lo", "hi")
+            state = cut(state.filter(~wide).unionByName(narrow))
+        settled = state.filter(~(F.col("lo") < F.col("hi"))).select(*keys, "t", F.col("lo").alias("x"))
+        left = around(state.filter(F.col("lo") < F.col("hi"))).groupBy(*keys, "t", "need", "_v").agg(F.count(F.lit(1)).alias("c"))
+        if (state.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("m")))).first()[0] or 0) <= select_rows:
+            placed = left.withColumn("cum_c", F.sum("c").over(Window.partitionBy(*keys, "t").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+        else:
+            placed = cumulate(left, "_v", "_v", {"c": F.col("c")}, by=[*keys, "t"])
+        picked = placed.filter((F.col("cum_c") > F.col("need")) & (F.col("cum_c") - F.col("c") <= F.col("need"))).select(*keys, "t", F.col("_v").alias("x"))
+        ends = settled.unionByName(picked).groupBy(*keys).agg(*[F.max(F.when(F.col("t") == i, F.col("x"))).alias(f"_e{i}") for i in range(2 * len(probs))])
+        few = ends.withColumnsRenamed({k: f"{k}_" for k in keys})
+        both = counts.join(few, [counts[k].eqNullSafe(few[f"{k}_"]) for k in keys]) if keys else counts.crossJoin(few)  # one row each
+        cols = []
+        for i, (p, nm) in enumerate(zip(probs, names)):
+            at = (F.col("n") - 1) * F.lit(float(p))
+            low, high = F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}")
+            cols.append(F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(nm))
+        return own.keep(both.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *cols))
+
+
+def _ranked_quantiles(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The same from a running count over all distinct values."""
+    ranked = cumulate(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m")), "_v", "_v", {"m": F.col("_m")}, by=keys)
     aggs = []
     for i, p in enumerate(probs):
         at = (F.col("tot_m") - 1) * F.lit(float(p))
@@ -287,7 +352,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     out = ranked.groupBy(*keys).agg(*aggs)
     cols = [(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_w{i}")).alias(nm)
             for i, nm in enumerate(names)]
-    return out.select(*by, *cols)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *cols)
 
 
 def _quantile_values(table: DataFrame, probs: Sequence[float]) -> DataFrame:

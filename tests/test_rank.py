@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -119,3 +121,35 @@ def test_top_sizes_do_not_round_past_the_exact_value(spark):
     df = spark.createDataFrame([(30,), (10,), (3,)], "n long")
     sizes = [tuple(r) for r in df.select(rank.top_sizes(0.1), rank.top_sizes(0.1, "floor")).collect()]
     assert sizes == [(3, 3), (1, 1), (1, 1)]
+
+
+@pytest.mark.parametrize("select_rows", [1, 40, 100_000])
+def test_quantiles_by_histograms_are_exact(spark, select_rows, monkeypatch):
+    rng = np.random.default_rng(17)
+    wild = np.concatenate([rng.normal(size=300), 10.0 ** rng.uniform(-300, 300, 200) * rng.choice([-1, 1], 200), np.full(250, 0.25), [1.7e308, -1.7e308, 5e-324, 0.0]])
+    rows = [("a", float(x)) for x in wild] + [(None, float(x)) for x in rng.integers(0, 5, 90)] + [("one", 3.5)] + [("b", None)] * 3
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    names = [f"p{i}" for i in range(len(probs))]
+    got = {r.g: list(r)[1:] for r in rank.quantiles(df, "v", probs, by=["g"], names=names, select_rows=select_rows).collect()}
+    assert set(got) == {"a", None, "one"}
+    for g in got:
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        for p, x in zip(probs, got[g]):
+            at = (len(own) - 1) * p
+            low, high = own[math.floor(at)], own[math.ceil(at)]
+            assert x == low + (high - low) * (at - math.floor(at))
+    alone = rank.quantiles(df.filter("g = 'a'"), "v", [0.5], names=["m"], select_rows=select_rows).first()
+    assert alone.m == got["a"][3]
+    monkeypatch.setattr(rank, "SELECT_GROUPS", 1)
+    ranked = {r.g: list(r)[1:] for r in rank.quantiles(df, "v", probs, by=["g"], names=names).collect()}
+    assert ranked == got
+
+
+def test_quantiles_of_odd_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(x,) for x in [nan, inf, -inf, 2.0, 1.0, None, 3.0]], "v double")
+    got = rank.quantiles(df, "v", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], names=list("abcdef")).first()
+    assert list(got)[1:5] == [1.0, 2.0, 3.0, inf] and math.isnan(got.f)
+    assert rank.quantiles(df.limit(0), "v", [0.5]).count() == 0
+    assert rank.quantiles(df.filter("v is null"), "v", [0.5]).count() == 0
