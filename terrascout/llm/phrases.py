@@ -9,12 +9,12 @@ it; the hits give each window's first place.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import product
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,25 +23,12 @@ from terrascout.llm.anchors import mix
 
 WINDOW = 20
 ANCHOR = 8             # words of an anchor
-_R = 0xB5297A4D3F84D5A5  # odd base of the words' polynomial hash
-_INVERSE = pow(_R, -1, 1 << 64)
+_R = 0xB5297A4D3F84D5A5  # odd
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 64         # bytes from which a word is hashed by itself
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 DIGITS = "".join(map(chr, range(48, 112)))  # a word is a number in these: an automaton's nodes have few children
-KEPT = 1 << 22         # longest table of powers that a worker keeps
-
-
-@lru_cache(maxsize=4)
-def _table(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base^0 ... base^(n - 1); usual lengths are kept."""
-    size = 1 << max(12, (n - 1).bit_length())
-    return _table(base, size)[:n] if size <= KEPT else _table.__wrapped__(base, n)
 
 
 def word_places(batch: repeats.Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,11 +47,21 @@ def word_places(batch: repeats.Batch) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def word_hashes(data: bytes, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes."""
-    x = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(x * _powers(_R, len(x)), dtype=np.uint64)])
-    back = _powers(_INVERSE, len(x) + 1)
-    return mix((sums[stop] - sums[begin]) * back[begin])
+    """A 64-bit hash of each stretch of bytes: eight bytes at a time, scrambled after each; long ones by xxh64."""
+    x = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)])
+    size = stop - begin
+    out = mix(size.astype(np.uint64) * np.uint64(_R))
+    live, place = np.arange(len(begin)), 0
+    with np.errstate(over="ignore"):
+        while len(live := live[size[live] > place]) and place < LONG_WORD:
+            left = size[live] - place
+            chunk = x[(begin[live] + place)[:, None] + np.arange(8)].view("<u8").ravel()
+            chunk &= _LOW_BYTES[np.minimum(left, 8)]
+            out[live] = mix((out[live] ^ chunk) * np.uint64(_R))
+            place += 8
+    for i in live.tolist():
+        out[i] = xxhash.xxh64_intdigest(data[begin[i]:stop[i]], seed=len(data[begin[i]:stop[i]]))
+    return out
 
 
 class Words(repeats.Units):
