@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascout.llm.common import map_batches
+from terrascout.llm.common import map_batches, return_memory
 from terrascout.session import cut
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -333,6 +333,20 @@ class Tagger:
         return scores.tolist(), spans
 
 
+def _portions(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in order, about ``chars`` at a time or one: the messages of a token take many times its own room."""
+    some: list[str] = []
+    held = 0
+    for text in texts:
+        some.append(text or "")
+        held += len(some[-1])
+        if held >= chars:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text",
           keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, score, spans, and the columns of ``keep``) for every row; spans are character offsets of toxic passages with their highest marginal.
@@ -348,7 +362,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not holder:
             holder.append(Tagger(model))
-        scores, spans = holder[0].score([t or "" for t in batch.column(1).to_pylist()])
+        scores, spans = [], []
+        for texts in _portions(batch.column(1).to_pylist()):
+            for out, made in zip((scores, spans), holder[0].score(texts)):
+                out += made
+        return_memory()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         extra = [batch.column(i) for i in [*with_text, *range(2, batch.num_columns)]]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind), *extra],
