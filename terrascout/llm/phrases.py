@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from terrascout.llm import repeats
 from terrascout.llm.anchors import mix
+from terrascout.session import steps
 
 WINDOW = 20
 ANCHOR = 8             # words of an anchor
@@ -139,7 +140,9 @@ def remove(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_co
     batch_bytes = sizes.pop("batch_bytes", repeats.BATCH)
     units = Words(window, anchor)
     batches = repeats.pack(docs, id_col, text_col, batch_bytes)
-    answers = repeats.first_places(batches, units, locate(window), **sizes)
+    # The pieces go as soon as the answers are written.
+    with steps(docs.sparkSession) as own:
+        answers = own.keep(repeats.first_places(batches, units, locate(window), **sizes))
 
     def finish(row: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
         batch = repeats.Batch.of(row)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from terrascout.llm import anchors
 from terrascout.llm.common import bounded_batches, return_memory, stage
+from terrascout.session import steps
 
 BATCH = 1 << 20        # bytes of text in a batch, unless one text is longer
 BUCKET = 8 << 20       # bytes of text whose anchors one bucket compares
@@ -222,7 +223,6 @@ def first_places(batches: DataFrame, units: Units, solve: Solver, *, bucket: int
     """
     size = total_bytes(batches)
     shards = max(1, math.ceil(size / shard))
-    shared = shared_hashes(batches, units.hashes, max(1, math.ceil(size / bucket)), hot)
     window = units.window
 
     def pieces(row: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
@@ -269,7 +269,9 @@ def first_places(batches: DataFrame, units: Units, solve: Solver, *, bucket: int
                              zipped(b"".join(listed[j] for j in s))))
         return pd.DataFrame(rows, columns=["shard", "batch", "piece", "place", "lens", "data"])
 
-    made = stage(one_batch(batches, shared, pieces, "shard int, batch long, piece binary, place binary, lens binary, data binary"))
+    with steps(batches.sparkSession) as own:
+        shared = shared_hashes(batches, units.hashes, max(1, math.ceil(size / bucket)), hot)
+        made = own.keep(one_batch(batches, shared, pieces, "shard int, batch long, piece binary, place binary, lens binary, data binary"))
 
     def solved(frame: pd.DataFrame) -> pd.DataFrame:
         listed: list[bytes] = []
