@@ -17,67 +17,47 @@ ROOT = 1.1673039782614187
 STEPS = tuple(ROOT ** -(j + 1) for j in range(4))
 
 
-def _draws(n: int, shifts: Sequence[Column], area: Column, temperature: Column) -> Column:
-    """Inputs and powers of n draws: the sequence's points, shifted by the site's own numbers.
-
-    Each step is an array of its own, so that no draw computes a value twice.
-    """
-    def point(k: Column) -> Column:
-        return F.struct(*[fraction(k.cast("double") * F.lit(step) + shift).alias(f"u{j}")
-                          for j, (step, shift) in enumerate(zip(STEPS, shifts))])
-
-    def inputs(u: Column) -> Column:
-        z1, z2 = normals(1.0 - u["u0"], u["u1"])
-        z3, _ = normals(1.0 - u["u2"], u["u3"])
-        return F.struct(thermal.clamp(temperature + 20.0 * z1, 50, 320).alias("t"),
-                        thermal.clamp(F.exp(F.lit(math.log(250.0)) + 0.55 * z2), 60, 1000).alias("h"), z3.alias("z"))
-
-    def recovery(d: Column) -> Column:
-        centre = F.when(d["t"] < 150, 0.08).when(d["t"] < 220, 0.12).otherwise(0.17)
-        return F.struct(d["t"].alias("t"), d["h"].alias("h"), F.exp(F.log(centre) + 0.30 * d["z"]).alias("rf"),
-                        thermal.efficiency(d["t"]).alias("eta"))
-
-    def power(d: Column) -> Column:
-        return F.struct(*[d[c].alias(c) for c in ("t", "h", "rf", "eta")],
-                        thermal.volumetric_mwe(area, d["t"], d["h"], d["rf"], d["eta"]).alias("mwe"))
-
-    out = F.sequence(F.lit(0), F.lit(n - 1))
-    for one in (point, inputs, recovery, power):
-        out = F.transform(out, one)
-    return out
-
-
 def draws(sites: DataFrame, n: int, seed: int, *, id_col: str, area: str, temperature: str) -> DataFrame:
-    """Sites with ``draws``, an array of n sampled inputs and powers (MC1).
+    """Sites times n sampled inputs and powers, one row a draw: ``k, t, h, rf, eta, mwe`` (MC1).
 
-    Every draw is a function of (site, seed, number), so results do not depend on
-    partitioning, and nothing is shuffled.
+    A draw is a point of the sequence, shifted by the site's own numbers, so results
+    do not depend on partitioning, and nothing is shuffled.  Columns are made in
+    steps, so that no draw computes a value twice.
     """
     shifted = sites.withColumns({f"_s{j}": uniform(F.col(id_col), seed + j) for j in range(4)})
-    shifts = [F.col(f"_s{j}") for j in range(4)]
-    return shifted.withColumn("draws", _draws(n, shifts, F.col(area), F.col(temperature))).drop(*[f"_s{j}" for j in range(4)])
+    rows = shifted.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    u = [fraction(F.col("k").cast("double") * F.lit(step) + F.col(f"_s{j}")) for j, step in enumerate(STEPS)]
+    rows = rows.withColumns({f"_u{j}": x for j, x in enumerate(u)})
+    z1, z2 = normals(1.0 - F.col("_u0"), F.col("_u1"))
+    z3, _ = normals(1.0 - F.col("_u2"), F.col("_u3"))
+    rows = rows.withColumns({"t": thermal.clamp(F.col(temperature) + 20.0 * z1, 50, 320),
+                             "h": thermal.clamp(F.exp(F.lit(math.log(250.0)) + 0.55 * z2), 60, 1000), "_z": z3})
+    centre = F.when(F.col("t") < 150, 0.08).when(F.col("t") < 220, 0.12).otherwise(0.17)
+    rows = rows.withColumns({"rf": F.exp(F.log(centre) + 0.30 * F.col("_z")), "eta": thermal.efficiency(F.col("t"))})
+    mwe = thermal.volumetric_mwe(F.col(area), *[F.col(c) for c in ("t", "h", "rf", "eta")])
+    return rows.withColumn("mwe", mwe).drop("_z", *[f"_{x}{j}" for x in "su" for j in range(4)])
 
 
 def monte_carlo(sites: DataFrame, n: int = 2000, seed: int = 42, *, id_col: str = "discovery_id",
                 area: str = "area_km2", temperature: str = "t_res", keys: Sequence[str] = ()) -> DataFrame:
-    """P10/P50/P90, mean and mean inputs per site (MC1), inside the site's own row."""
-    # Sites are few and their draws many: deal them out evenly first.
-    spread = sites.select(id_col, *keys, area, temperature).repartition(id_col, *keys)
-    drawn = draws(spread, n, seed, id_col=id_col, area=area, temperature=temperature)
-    drawn = drawn.withColumn("_m", F.array_sort(F.transform("draws", lambda d: d["mwe"])))
-
-    def mean(field: str) -> Column:
-        return F.aggregate("draws", F.lit(0.0), lambda a, d: a + d[field]) / F.lit(float(n))
-
-    def quantile(p: float) -> Column:
-        at = p * (n - 1)
-        low = F.get("_m", F.lit(math.floor(at)))
-        return low + (F.get("_m", F.lit(math.ceil(at))) - low) * F.lit(at - math.floor(at))
-
-    return drawn.select(
-        id_col, *keys, *[quantile(p).alias(f"mwe_{q}") for q, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))],
-        mean("mwe").alias("mwe_mean"), F.col(temperature).alias("t_res_central"), mean("t").alias("t_res_mean_draws"),
-        mean("h").alias("thickness_mean_m"), mean("rf").alias("rf_mean"), mean("eta").alias("eta_mean"))
+    """P10/P50/P90, mean and mean inputs per site (MC1); site ids (with keys) are unique.
+
+    Sites are few and their draws many: sites are dealt out by their ids first, over a set number
+    of partitions (adaptive execution would put so few rows in one task).  Draws appear after
+    that shuffle and are aggregated on the same keys, so they never move.
+    """
+    spark = sites.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = sites.select(F.col(id_col), *keys, F.col(area).alias("_area"), F.col(temperature).alias("_t0")) \
+        .repartition(parts, id_col, *keys)
+    drawn = draws(spread, n, seed, id_col=id_col, area="_area", temperature="_t0")
+    found = drawn.groupBy(id_col, *keys, "_area", "_t0").agg(
+        F.percentile("mwe", F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("_q"),
+        *[F.avg(c).alias(name) for c, name in (("mwe", "mwe_mean"), ("t", "t_res_mean_draws"), ("h", "thickness_mean_m"),
+                                               ("rf", "rf_mean"), ("eta", "eta_mean"))])
+    return found.select(
+        id_col, *keys, *[F.col("_q")[i].alias(f"mwe_{q}") for i, q in enumerate(("p10", "p50", "p90"))],
+        "mwe_mean", F.col("_t0").alias("t_res_central"), "t_res_mean_draws", "thickness_mean_m", "rf_mean", "eta_mean")
 
 
 def shift_name(delta: int) -> str:
