@@ -136,9 +136,10 @@ def _folded(at: str, n: str) -> str:
     return f"(case when {m} >= {n} then 2 * ({n} - 1) - {m} else {m} end)"
 
 
-_MIRROR = f"""dims as (select max(prow) + 1 as nr, max(pcol) + 1 as nc from fx_pixels),
-win as (select a.prow as r0, a.pcol as c0, p.value as v from fx_pixels a cross join dims cross join range(-4, 4) i(i) cross join range(-4, 4) j(j)
- join fx_pixels p on p.prow = {_folded('a.prow + i', 'nr')} and p.pcol = {_folded('a.pcol + j', 'nc')})"""
+_MIRROR = f"""dims as materialized (select max(prow) + 1 as nr, max(pcol) + 1 as nc from fx_pixels),
+rr as materialized (select r0, {_folded('r0 + i', 'nr')} as pr from dims cross join (select distinct prow as r0 from fx_pixels) cross join range(-16, 16) i(i)),
+cc as materialized (select c0, {_folded('c0 + j', 'nc')} as pc from dims cross join (select distinct pcol as c0 from fx_pixels) cross join range(-16, 16) j(j)),
+win as (select r0, c0, p.value as v from fx_pixels p join rr on p.prow = pr join cc on p.pcol = pc join fx_pixels a on a.prow = r0 and a.pcol = c0)"""
 
 
 def pixel_cells(fx):
@@ -146,16 +147,22 @@ def pixel_cells(fx):
     return fx.pixels.withColumnsRenamed({"prow": "row", "pcol": "col"}), bounds.ny, bounds.nx
 
 
+def _nine(got):
+    return got.withColumn("mean", F.round("mean", 9))
+
+
 # Part numbers start at 1, so the corner pixel (0, 0) is missing and the last row holds one pixel only.
-_STATS = f"{r6('avg(v)')} as mean, {r6('stddev_pop(v)', 5)} as std, {r6('min(v)')} as min, {r6('max(v)')} as max"
+# Means of 1024 values of one decimal often lie half way between two numbers of six digits: nine digits first,
+# so that the last bits of a sum don't decide.
+_STATS = f"{r6('cast(round(cast(avg(v) as decimal(18, 9)), 6) as double)')} as mean, {r6('stddev_pop(v)', 5)} as std, {r6('min(v)')} as min, {r6('max(v)')} as max"
 
 
 @query("W11_patch_window", sql("pixels", f"select r0 as \"row\", c0 as col, {_STATS} from win group by 1, 2", _MIRROR))
 def w11(fx):
-    """8 x 8 mirrored patches around every pixel."""
+    """32 x 32 mirrored patches around every pixel."""
     cells, n_rows, n_cols = pixel_cells(fx)
-    got = raster.patch_stats(cells, "value", n_rows, n_cols, 8).select("row", "col", "mean", "std", "min", "max")
-    return rounded(rounded(got, "mean", "min", "max"), "std", digits=5)
+    got = raster.patch_stats(cells, "value", n_rows, n_cols).select("row", "col", "mean", "std", "min", "max")
+    return rounded(rounded(_nine(got), "mean", "min", "max"), "std", digits=5)
 
 
 @query("R1_patch_stats", sql("pixels", f"""
@@ -164,31 +171,31 @@ from win group by 1, 2""", _MIRROR))
 def r1(fx):
     """Median and deciles beside the frame statistics."""
     cells, n_rows, n_cols = pixel_cells(fx)
-    got = raster.patch_stats(cells, "value", n_rows, n_cols, 8).select("row", "col", "mean", "std", "min", "max")
-    q = raster.patch_quantiles(cells, "value", n_rows, n_cols, 8, (0.5, 0.9, 0.1), ("median", "p90", "p10"))
-    return rounded(rounded(got.join(q, ["row", "col"]), "mean", "min", "max", "median", "p90", "p10"), "std", digits=5)
+    got = raster.patch_stats(cells, "value", n_rows, n_cols).select("row", "col", "mean", "std", "min", "max")
+    q = raster.patch_quantiles(cells, "value", n_rows, n_cols, 32, (0.5, 0.9, 0.1), ("median", "p90", "p10"))
+    return rounded(rounded(_nine(got).join(q, ["row", "col"]), "mean", "min", "max", "median", "p90", "p10"), "std", digits=5)
 
 
-@query("R2_patch_mean", sql("pixels", f"select r0 as \"row\", c0 as col, {r6('avg(v)')} as mean from win group by 1, 2", _MIRROR))
+@query("R2_patch_mean", sql("pixels", f"select r0 as \"row\", c0 as col, {r6('cast(round(cast(avg(v) as decimal(18, 9)), 6) as double)')} as mean from win group by 1, 2", _MIRROR))
 def r2(fx):
     cells, n_rows, n_cols = pixel_cells(fx)
-    return rounded(raster.patch_stats(cells, "value", n_rows, n_cols, 8).select("row", "col", "mean"), "mean")
+    return rounded(_nine(raster.patch_stats(cells, "value", n_rows, n_cols).select("row", "col", "mean")), "mean")
 
 
 @query("R3_patch_centre", sql("pixels", f"select prow as \"row\", pcol as col, {r6('value')} as centre from fx_pixels"))
 def r3(fx):
-    cells, n_rows, n_cols = pixel_cells(fx)
-    return rounded(raster.patch_stats(cells, "value", n_rows, n_cols, 8).select("row", "col", "centre"), "centre")
+    cells, *_ = pixel_cells(fx)
+    return rounded(raster.patch_centre(cells, "value"), "centre")
 
 
 @query("R4_valid_fraction", sql("pixels", f"""
-select r0 as "row", c0 as col, count(g) / count(*)::double > 0.5 as covered, {r6('case when count(g) / count(*)::double > 0.5 then avg(g) end')} as mean
+select r0 as "row", c0 as col, count(g) / count(*)::double > 0.5 as covered, {r6('case when count(g) / count(*)::double > 0.5 then cast(round(cast(avg(g) as decimal(18, 9)), 6) as double) end')} as mean
 from (select *, case when v > 10 then v end as g from win) group by 1, 2""", _MIRROR))
 def r4(fx):
     """Patches more than half valid when low pixels count as missing."""
     cells, n_rows, n_cols = pixel_cells(fx)
     holey = cells.withColumn("value", F.when(F.col("value") > 10, F.col("value")))
-    return rounded(raster.valid_patch(holey, "value", n_rows, n_cols, 8).select("row", "col", "covered", "mean"), "mean")
+    return rounded(_nine(raster.valid_patch(holey, "value", n_rows, n_cols).select("row", "col", "covered", "mean")), "mean")
 
 
 @query("W12_holm", sql("scores", f"""

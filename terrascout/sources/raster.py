@@ -81,20 +81,60 @@ def sample(points: DataFrame, px: DataFrame, bounds: Bounds, out: str = "value",
     return joined.withColumn(out, value).drop("_pr", "_pc", "_v")
 
 
-def summed_area(px: DataFrame, bounds: Bounds) -> DataFrame:
+_LOW_BITS = 26  # of 52: either half summed over 10^11 pixels fits in a long
+
+
+@dataclass(frozen=True)
+class Scale:
+    """Values as whole steps of a power of two above the smallest one; a step is 2^-52 of their range or less."""
+
+    low: float
+    exponent: int
+
+    @staticmethod
+    def of(px: DataFrame) -> Scale:
+        """From one aggregation; NaN and infinite pixels count as missing."""
+        low, high = px.filter(_finite("value")).agg(F.min("value"), F.max("value")).first()
+        if low is None or high == low:
+            return Scale(low or 0.0, 0)
+        # Half of each first: the range of doubles of both signs may be beyond all doubles.
+        _, e = math.frexp(high / 2 - low / 2)
+        return Scale(low, min(51 - e, 1000))
+
+    def steps(self, value: Column) -> Column:
+        # Two factors, as one power of two may be beyond all doubles; halves for the same reason as above.
+        half, rest = self.exponent // 2, self.exponent - self.exponent // 2
+        return F.floor((value / 2 - F.lit(self.low / 2)) * F.lit(2.0 ** half) * F.lit(2.0 ** rest) * 2).cast("bigint")
+
+    def mean(self, high: Column, low: Column, count: Column) -> Column:
+        """Mean of ``count`` values whose steps' high and low halves sum to these."""
+        half, rest = self.exponent // 2, self.exponent - self.exponent // 2
+        steps = (high.cast("double") * F.lit(float(1 << _LOW_BITS)) + low.cast("double")) / F.nullif(count, F.lit(0))
+        return (F.lit(self.low / 2) + steps / 2 / F.lit(2.0 ** half) / F.lit(2.0 ** rest)) * 2
+
+
+def _finite(name: str) -> Column:
+    return F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(F.col(name)) < F.lit(float("inf")))
+
+
+def summed_area(px: DataFrame, bounds: Bounds, scale: Scale) -> DataFrame:
     """Sums and counts of all pixels up to and including (prow, pcol).
 
-    Window frames run along one raster line at a time.
+    ``hi`` and ``lo`` add up the two halves of whole steps, so differences of sums over the
+    whole raster keep every digit.  Window frames run along one raster line at a time.
     """
     mesh = px.sparkSession.range(bounds.nx * bounds.ny).select(
         F.floor(F.col("id") / F.lit(bounds.nx)).cast("int").alias("prow"),
         (F.col("id") % bounds.nx).cast("int").alias("pcol"))
-    full = mesh.join(px, ["prow", "pcol"], "left")
+    steps = px.select("prow", "pcol", F.when(_finite("value"), scale.steps(F.col("value"))).alias("_q"))
+    full = mesh.join(steps, ["prow", "pcol"], "left")
     along = Window.partitionBy("prow").orderBy("pcol").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("pcol").orderBy("prow").rowsBetween(Window.unboundedPreceding, 0)
-    line = full.select("prow", "pcol", F.sum(F.coalesce("value", F.lit(0.0))).over(along).alias("_s"),
-                       F.count("value").over(along).alias("_c"))
-    return line.select("prow", "pcol", F.sum("_s").over(down).alias("s"), F.sum("_c").over(down).alias("c"))
+    high, low = F.shiftright("_q", _LOW_BITS), F.col("_q").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))
+    halves = full.select("prow", "pcol", F.coalesce(high, F.lit(0)).cast("bigint").alias("_hi"),
+                         F.coalesce(low, F.lit(0)).cast("bigint").alias("_lo"), F.col("_q").isNotNull().cast("bigint").alias("_n"))
+    line = halves.select("prow", "pcol", *[F.sum(c).over(along).alias(c) for c in ("_hi", "_lo", "_n")])
+    return line.select("prow", "pcol", *[F.sum(c).over(down).alias(c[1:]) for c in ("_hi", "_lo", "_n")])
 
 
 def focal_mean(points: DataFrame, px: DataFrame, bounds: Bounds, half_km: float, *, id_col: str,
@@ -102,8 +142,9 @@ def focal_mean(points: DataFrame, px: DataFrame, bounds: Bounds, half_km: float,
     """Mean of the pixels in a +-half_km index window, cut at the edges.
 
     Four look-ups in the summed-area table replace the window's pixels, so the
-    cost does not depend on the window size.
+    cost does not depend on the window size.  Missing and non-finite pixels don't count.
     """
+    scale = Scale.of(px)
     per_km = half_km / 111.32
     squeeze = F.greatest(F.lit(0.2), F.cos(F.radians(F.col("lat"))))
     dx = F.floor(F.lit(half_km) * (1 / (111.32 * squeeze)) / (bounds.east - bounds.west) * bounds.nx).cast("int")
@@ -120,10 +161,9 @@ def focal_mean(points: DataFrame, px: DataFrame, bounds: Bounds, half_km: float,
                            (F.col("r1") - 1, F.col("c0") - 1, -1), (F.col("r0") - 1, F.col("c0") - 1, 1))])
     lookups = box.select(id_col, F.explode(corner).alias("_k")).select(
         id_col, F.col("_k.prow").alias("prow"), F.col("_k.pcol").alias("pcol"), F.col("_k.sign").alias("sign"))
-    sums = (lookups.join(summed_area(px, bounds), ["prow", "pcol"])
-            .groupBy(id_col).agg(F.sum(F.col("sign") * F.col("s")).alias("_s"),
-                                 F.sum(F.col("sign") * F.col("c")).alias("_c")))
-    mean = sums.select(id_col, (F.col("_s") / F.nullif(F.col("_c"), F.lit(0))).alias(out))
+    sums = (lookups.join(summed_area(px, bounds, scale), ["prow", "pcol"])
+            .groupBy(id_col).agg(*[F.sum(F.col("sign") * F.col(c)).alias(f"_{c}") for c in ("hi", "lo", "n")]))
+    mean = sums.select(id_col, scale.mean(F.col("_hi"), F.col("_lo"), F.col("_n")).alias(out))
     return points.join(mean, id_col, "left")
 
 
@@ -150,16 +190,19 @@ def patch_stats(cells: DataFrame, value: str, n_rows: int, n_cols: int, size: in
     """mean, std (population), min, max and valid share of the size x size patch
     around every cell (W11, R1, R2, R4): rows r-size/2 .. r+size/2-1, mirrored.
 
-    Two separable frames: along the row, then along the column.
+    Two separable frames: along the row, then along the column.  Values count from the mean of
+    all cells, so that a common offset takes no digits from the spread.
     """
     half = size // 2
-    wide = mirrored(cells.select("row", "col", F.col(value).cast("double").alias("_v")),
+    source = F.col(value).cast("double")
+    centre = cells.agg(F.avg(F.when(~F.isnan(source) & (F.abs(source) < F.lit(float("inf"))), source))).first()[0] or 0.0
+    wide = mirrored(cells.select("row", "col", (source - F.lit(centre)).alias("_v"), source.alias("_self")),
                     n_rows, n_cols, half, half - 1)
     across = Window.partitionBy("_r").orderBy("_c").rowsBetween(-half, half - 1)
     line = wide.select(
-        "_r", "_c", F.col("_v").alias("_self"), F.sum("_v").over(across).alias("_s"),
+        "_r", "_c", "_self", F.sum("_v").over(across).alias("_s"),
         F.sum(F.col("_v") * F.col("_v")).over(across).alias("_q"),
-        F.min("_v").over(across).alias("_lo"), F.max("_v").over(across).alias("_hi"),
+        F.min("_self").over(across).alias("_lo"), F.max("_self").over(across).alias("_hi"),
         F.count("_v").over(across).alias("_n"), F.count(F.lit(1)).over(across).alias("_m"))
     line = line.filter(F.col("_c").between(0, n_cols - 1))
     down = Window.partitionBy("_c").orderBy("_r").rowsBetween(-half, half - 1)
@@ -171,31 +214,49 @@ def patch_stats(cells: DataFrame, value: str, n_rows: int, n_cols: int, size: in
     spread = F.greatest(F.lit(0.0), F.col("_q") / F.nullif(F.col("_n"), F.lit(0)) - mean * mean)
     return full.filter(F.col("_r").between(0, n_rows - 1)).select(
         F.col("_r").alias("row"), F.col("_c").alias("col"), F.col("_self").alias("centre"),
-        mean.alias("mean"), F.sqrt(spread).alias("std"), F.col("_lo").alias("min"), F.col("_hi").alias("max"),
+        (F.lit(centre) + mean).alias("mean"), F.sqrt(spread).alias("std"), F.col("_lo").alias("min"), F.col("_hi").alias("max"),
         (F.col("_n") / F.col("_m")).alias("valid"))
 
 
+def patch_centre(cells: DataFrame, value: str) -> DataFrame:
+    """The patch's own cell (R3): no window is needed."""
+    return cells.select("row", "col", F.col(value).cast("double").alias("centre"))
+
+
 def patch_quantiles(cells: DataFrame, value: str, n_rows: int, n_cols: int, size: int = 32,
                     probs: Sequence[float] = (0.5,), names: Sequence[str] = ("median",),
                     wanted: DataFrame | None = None) -> DataFrame:
     """Quantiles of the patch for the ``wanted`` cells (row, col), all by default.
 
-    A group is one patch of size*size values.
+    A frame along the row gathers ``size`` values as one array, a frame along the column
+    ``size`` such arrays, which are sorted together: one row a cell is shuffled, not one a
+    value.  Missing values don't count; without any the quantile is NULL.
     """
     half = size // 2
-    wide = mirrored(cells.select("row", "col", F.col(value).cast("double").alias("_v")),
-                    n_rows, n_cols, half, half - 1)
-    targets = (wanted if wanted is not None else cells).select("row", "col")
-    span = F.sequence(F.lit(-half), F.lit(half - 1))
-    slots = (targets.withColumn("_i", F.explode(span)).withColumn("_j", F.explode(span))
-             .select("row", "col", (F.col("row") + F.col("_i")).alias("_r"),
-                     (F.col("col") + F.col("_j")).alias("_c")))
-    return (slots.join(wide.select("_r", "_c", "_v"), ["_r", "_c"])
-            .groupBy("row", "col")
-            .agg(*[F.percentile("_v", F.lit(float(p))).alias(n) for p, n in zip(probs, names)]))
+    base = cells.select("row", "col", F.col(value).cast("double").alias("_v"))
+    if wanted is None:
+        base = base.withColumn("_want", F.lit(True))
+    else:
+        asked = wanted.select("row", "col").distinct().withColumn("_want", F.lit(True))
+        base = base.join(asked, ["row", "col"], "left")
+    wide = mirrored(base, n_rows, n_cols, half, half - 1)
+    across = Window.partitionBy("_r").orderBy("_c").rowsBetween(-half, half - 1)
+    line = wide.select("_r", "_c", "_want", F.collect_list("_v").over(across).alias("_line")) \
+        .filter(F.col("_c").between(0, n_cols - 1))
+    down = Window.partitionBy("_c").orderBy("_r").rowsBetween(-half, half - 1)
+    full = line.select("_r", "_c", "_want", F.collect_list("_line").over(down).alias("_lines")) \
+        .filter(F.col("_r").between(0, n_rows - 1) & F.col("_want"))
+    patch = full.select(F.col("_r").alias("row"), F.col("_c").alias("col"), F.sort_array(F.flatten("_lines")).alias("_p"))
+
+    def quantile(p: float) -> Column:
+        at = F.lit(float(p)) * (F.size("_p") - 1)
+        low, high = F.get("_p", F.floor(at).cast("int")), F.get("_p", F.ceil(at).cast("int"))
+        return F.when(F.size("_p") > 0, low + (high - low) * (at - F.floor(at)))
+
+    return patch.select("row", "col", *[quantile(p).alias(n) for p, n in zip(probs, names)])
 
 
-def valid_patch(cells: DataFrame, value: str, n_rows: int, n_cols: int, size: int,
+def valid_patch(cells: DataFrame, value: str, n_rows: int, n_cols: int, size: int = 32,
                 share: float = 0.5) -> DataFrame:
     """Whether more than ``share`` of the patch is present, and its mean if so."""
     stats = patch_stats(cells, value, n_rows, n_cols, size)

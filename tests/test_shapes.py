@@ -1,5 +1,8 @@
+import math
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from terrascout.sources import raster, shapes
 
@@ -93,3 +96,58 @@ def test_clip_rebases(spark):
     assert (b.nx, b.ny, b.west, b.north) == (3, 4, 5.0, 6.0)
     assert cut.filter("prow = 0 and pcol = 0").first().value == 4 * 20 + 5
     assert cut.count() == 12
+
+
+def test_focal_mean_keeps_digits_beside_a_large_offset(spark):
+    """Sums over a raster far from zero, with a hole, an infinite pixel and NaN, against numpy on the window alone."""
+    rng = np.random.default_rng(3)
+    img = 1e9 + rng.random((60, 80))
+    img[3, 4], img[30, 40] = 1e15, -1e15
+    holes = img.copy()
+    holes[10, 10], holes[11, 11], holes[50, 5] = np.nan, np.inf, np.nan
+    b = raster.Bounds(-125.0, 31.0, -103.0, 49.0, 80, 60)
+    px = pixel_table(spark, holes).withColumnsRenamed({"row": "prow", "col": "pcol"})
+    pts = spark.range(200).selectExpr("id", "31.2D + 17.6D * (id * 37 % 200) / 200 as lat", "-124.9D + 21.7D * (id * 71 % 200) / 200 as lon")
+    got = raster.focal_mean(pts, px, b, 120.0, id_col="id").toPandas().sort_values("id")
+    for p in got.itertuples():
+        r, c = int((49.0 - p.lat) / 18.0 * 60), int((p.lon + 125.0) / 22.0 * 80)
+        dy = int(120 / 111.32 / 18.0 * 60)
+        dx = int(120 * (1 / (111.32 * max(0.2, np.cos(np.radians(p.lat))))) / 22.0 * 80)
+        window = holes[max(0, r - dy):r + dy + 1, max(0, c - dx):c + dx + 1]
+        want = math.fsum(window[np.isfinite(window)]) / np.isfinite(window).sum()
+        # Steps are 2^-52 of a range of 2e15: half a unit.
+        assert abs(p.regional - want) <= (0.5 if np.abs(window[np.isfinite(window)]).max() > 1e14 else 0.5 + 1e-6)
+    calm = pixel_table(spark, 1e9 + rng.random((60, 80))).withColumnsRenamed({"row": "prow", "col": "pcol"})
+    table = calm.toPandas().pivot(index="prow", columns="pcol", values="value").to_numpy()
+    got = raster.focal_mean(pts, calm, b, 120.0, id_col="id").toPandas()
+    for p in got.itertuples():
+        r, c = int((49.0 - p.lat) / 18.0 * 60), int((p.lon + 125.0) / 22.0 * 80)
+        dy = int(120 / 111.32 / 18.0 * 60)
+        dx = int(120 * (1 / (111.32 * max(0.2, np.cos(np.radians(p.lat))))) / 22.0 * 80)
+        window = table[max(0, r - dy):r + dy + 1, max(0, c - dx):c + dx + 1]
+        assert abs(p.regional - math.fsum(window.ravel()) / window.size) <= 2.4e-7  # two units in the last place
+
+
+def test_scale_of_extreme_rasters(spark):
+    """Constant, empty and widest rasters."""
+    b = raster.Bounds(-125.0, 31.0, -103.0, 49.0, 4, 3)
+    pts = spark.range(1).selectExpr("id", "40.0D as lat", "-114.1D as lon")
+    for img, want in ((np.full((3, 4), 7.25), 7.25), (np.full((3, 4), np.nan), None), (np.where(np.eye(3, 4) > 0, 1.5e308, -1.5e308), -0.75e308)):
+        px = pixel_table(spark, img).withColumnsRenamed({"row": "prow", "col": "pcol"})
+        got = raster.focal_mean(pts, px, b, 5000.0, id_col="id").first().regional
+        assert got == want if want is None else abs(got - want) <= 1e-9 * abs(want)
+
+
+def test_patches_far_from_zero_and_with_holes(spark):
+    rng = np.random.default_rng(8)
+    img = 1e9 + rng.random((9, 11))
+    img[2:4, 3:9] = np.nan
+    cells = pixel_table(spark, img).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    padded = np.pad(img, ((4, 3), (4, 3)), mode="reflect")
+    patches = np.array([padded[r:r + 8, c:c + 8] for r in range(9) for c in range(11)])
+    got = raster.patch_stats(cells, "value", 9, 11, 8).toPandas().sort_values(["row", "col"])
+    assert np.allclose(got["std"], np.nanstd(patches - 1e9, axis=(1, 2)), rtol=1e-6)
+    q = raster.patch_quantiles(cells, "value", 9, 11, 8, (0.1, 0.5), ("low", "mid")).toPandas().sort_values(["row", "col"])
+    assert np.allclose(q[["low", "mid"]].to_numpy().T - 1e9, np.nanpercentile(patches, (10, 50), axis=(1, 2)) - 1e9, atol=1e-6)
+    empty = raster.patch_quantiles(cells.withColumn("value", F.lit(None).cast("double")), "value", 9, 11, 8).toPandas()
+    assert len(empty) == 99 and empty["median"].isna().all()
