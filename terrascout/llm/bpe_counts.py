@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,19 +56,49 @@ def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return left
 
 
+@cache
+def _ranges(name: str) -> str:
+    """The characters of the basic plane that the library's own patterns count to a class, as ranges.
+
+    Its Unicode tables are not those of Python or of any other package.
+    """
+    from tokenizers import Regex, pre_tokenizers
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    runs = pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(every)
+    return "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run, _ in runs)
+
+
+@cache
+def _unassigned() -> re.Pattern:
+    """Characters of the basic plane that Python's tables don't have: the library may compose or lower-case them."""
+    return re.compile("[" + "".join(f"\\u{c:04x}" for c in range(0x10000) if unicodedata.category(chr(c)) == "Cn") + "]")
+
+
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def own_classes(pattern: str) -> re.Pattern:
+    """A pattern with \\s and \\p{..}, which stand in brackets, spelled out for texts of the basic plane."""
+    return re.compile(re.sub(r"\\s|\\p\{\w+\}", lambda m: _ranges(m[0]), pattern))
+
+
 class Counter:
     """Counts as the tokenizer file's own library does (special strings in a text are one token each)."""
 
     def __init__(self, path: str):
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
         self.ranks = {tuple(pair if isinstance(pair, list) else pair.split(" ")): i
                       for i, pair in enumerate(model["merges"])}
         self.end = model["end_of_word_suffix"] or ""
-        self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
-        special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(special)) if special else None
+        pattern = pre[0]["pattern"]["Regex"]
+        self.basic = own_classes(pattern)
+        self.split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, self.added)))
         self.symbols = byte_symbols()
         self.known: dict[str, int] = {}
 
@@ -85,13 +115,21 @@ class Counter:
         return n
 
     def plain(self, text: str) -> int:
-        # Lower case character by character: a final capital sigma is no exception.
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return sum(map(self.word, self.pattern.findall(text.lower())))
+        # Python's normal forms are fast; texts with characters that its tables lack take the library's, and texts
+        # beyond the basic plane are split by the library too.
+        if text.isascii():
+            return sum(map(self.word, self.basic.findall(text.lower())))
+        if BEYOND.search(text):
+            return sum(self.word(w) for w, _ in self.split(self.normalize(text)))
+        if _unassigned().search(text):
+            text = self.normalize(text)
+        else:
+            # Lower case character by character: a final capital sigma is no exception.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return sum(map(self.word, self.basic.findall(text)))
 
     def count(self, text: str) -> int:
-        if self.special is None or "<|" not in text:
+        if not any(t in text for t in self.added):
             return self.plain(text)
         parts = self.special.split(text)
         return len(parts) - 1 + sum(map(self.plain, parts))

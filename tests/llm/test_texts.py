@@ -30,6 +30,25 @@ def test_counts_of_odd_characters():
         assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_counts_of_every_plane_and_of_new_letters():
+    """Characters of every block, and those that the tables of Python and the library tell apart, next to others."""
+    from tokenizers import Tokenizer
+    library, own, rng = Tokenizer.from_file(VOCAB), bpe_counts.counter(VOCAB), random.Random(5)
+    new = [0xA7CB, 0xA7DC, 0x1C89, 0x208F, 0x209F, 0x558, 0x58B, 0xCDC, 0xC5C, 0x88F, 0x897, 0x10D50, 0x11DE0, 0x105C9, 0x1C, 0x1F, 0xA0, 0x2028]
+    plain = [ord(c) for c in "ab Z9'!+s"]
+    for k in range(6000):
+        pick = (lambda: rng.choice(new + plain)) if k % 2 else (
+            lambda: rng.choice([*plain, rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x10000), rng.randrange(0x10000, 0x20000)]))
+        text = "".join(chr(pick()) for _ in range(rng.randrange(12)))
+        assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
+def test_counts_of_a_very_long_text():
+    from tokenizers import Tokenizer
+    text = "Straße naïve 12345 don't \u4e2d\u6587 \U0001F600 <|endoftext|> " * 20_000 + "x" * 20_000
+    assert bpe_counts.counter(VOCAB).count(text) == len(Tokenizer.from_file(VOCAB).encode(text, add_special_tokens=False).ids)
+
+
 def test_empty_tables(no_docs):
     assert bpe_counts.token_counts(no_docs).count() == 0
     assert ogg.inspect(ogg.media(no_docs)).count() == 0
