@@ -9,8 +9,10 @@ recursion, so depth is bounded by memory only.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,9 @@ BLOCK = SPACED | frozenset("""address article aside body center dd details dialo
 hgroup hr html legend li main nav optgroup option search section summary caption""".split())
 CLOSES_P = BLOCK - frozenset("option optgroup legend caption html body".split())
 TABLE_PARTS = frozenset("tbody thead tfoot tr td th caption colgroup".split())
+INDENT = 64  # columns; what is nested deeper isn't indented further, so that text grows with its page
+ALIGNED = 16  # tables inside each other; cells of deeper ones are lines of their own
+
 SCOPE = frozenset("table td th caption html template object button".split())
 
 
@@ -45,7 +50,7 @@ class Flow:
         self.line: list[str] = []
         self.gap = 0           # blank lines due before the next line
         self.space = False     # white space is due before the next word
-        self.indent: list[str] = []
+        self.indent: list[int] = [0]  # columns, one more entry for each open list item or quote
         self.marker = ""
 
     def text(self, text: str, verbatim: bool) -> None:
@@ -76,15 +81,18 @@ class Flow:
         self.line = []
 
     def put(self, line: str) -> None:
-        hang = "".join(self.indent)
+        hang = " " * self.indent[-1]
         if self.marker:
-            hang = hang[:len(hang) - len(self.marker)] + self.marker
+            hang = hang[:max(0, len(hang) - len(self.marker))] + self.marker
             self.marker = ""
         if self.gap and self.lines:
             self.lines += [""] * self.gap
         self.gap = 0
         self.lines.append((hang + line).rstrip())
 
+    def deepen(self, columns: int) -> None:
+        self.indent.append(min(INDENT, self.indent[-1] + columns))
+
     def block(self, margin: int) -> None:
         self.flush()
         self.gap = max(self.gap, margin)
@@ -104,23 +112,41 @@ class Table:
 
     def lines(self) -> list[str]:
         """Cells padded to the width of their column and two spaces apart; a spanning cell takes the columns it spans."""
-        places = [[sum(c[1] for c in row[:i]) for i in range(len(row))] for row in self.rows]
-        columns = max((p[-1] + row[-1][1] for p, row in zip(places, self.rows) if row), default=0)
-        width = [0] * columns
+        places = [list(accumulate((c[1] for c in row[:-1]), initial=0)) for row in self.rows]
+        # Only a cell's last column is ever widened; columns in which none ends have no width and take no work.
+        ends = sorted({i + c[1] - 1 for at, row in zip(places, self.rows) for i, c in zip(at, row)})
+        width, sums = [0] * len(ends), [0] * (len(ends) + 1)
+
+        def widen(k: int, by: int) -> None:
+            width[k] += by
+            k += 1
+            while k <= len(ends):
+                sums[k] += by
+                k += k & -k
+
+        def before(column: int) -> int:
+            """Width of all columns before one, from a tree of partial sums."""
+            k, total = bisect_left(ends, column), 0
+            while k:
+                total += sums[k]
+                k -= k & -k
+            return total
+
         for span in (False, True):
             for at, row in zip(places, self.rows):
                 for i, (lines, n) in zip(at, row):
                     if (n > 1) == span:
-                        wide = max(map(len, lines), default=0) - sum(width[i:i + n]) - 2 * (n - 1)
-                        width[i + n - 1] += max(0, wide)
-        start = [sum(width[:i]) + 2 * sum(w > 0 for w in width[:i]) for i in range(columns)]
+                        wide = max(map(len, lines), default=0) - (before(i + n) - before(i)) - 2 * (n - 1)
+                        if wide > 0:
+                            widen(bisect_left(ends, i + n - 1), wide)
+        starts = list(accumulate((w + 2 * (w > 0) for w in width), initial=0))
         out = list(self.caption)
         for at, row in zip(places, self.rows):
             for k in range(max((len(c[0]) for c in row), default=0)):
                 line = ""
                 for i, (lines, _) in zip(at, row):
                     if k < len(lines) and lines[k]:
-                        line = line.ljust(start[i]) + lines[k]
+                        line = line.ljust(starts[bisect_left(ends, i)]) + lines[k]
                 out.append(line.rstrip())
         return out
 
@@ -176,6 +202,9 @@ class Page:
         if hidden:
             return
         if name in ("td", "th", "caption"):
+            if len(self.tables) > ALIGNED:
+                self.flow.block(0)
+                return
             e.flow = Flow()
             self.flows.append(self.flow)
             self.flow = e.flow
@@ -202,12 +231,12 @@ class Page:
                     marker, above.count = f"{above.count}. ", (above.count or 0) + 1
                 if above.name in ("ol", "ul", "menu", "dir"):
                     break
-            self.flow.indent.append(" " * len(marker))
+            self.flow.deepen(len(marker))
             self.flow.marker = marker
             e.indent = 1
         elif name in ("blockquote", "dd"):
             self.flow.block(1 if name == "blockquote" else 0)
-            self.flow.indent.append("  ")
+            self.flow.deepen(2)
             e.indent = 1
         elif name in BLOCK:
             self.flow.block(1 if name in SPACED else 0)
@@ -375,7 +404,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
     """(page_id, text, n_chars, n_lines) for every row.
 
     NULL or empty HTML gives an empty text with 0 lines; repeated rows are rendered one by
-    one; ids may be NULL; other columns are not read.  Memory holds one batch of pages.
+    one; ids may be NULL; other columns are not read.  Memory holds one batch of pages; a very
+    long or deeply nested page gives a text in proportion, as indents end at ``INDENT``
+    columns and tables inside more than ``ALIGNED`` others become lines.
     """
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [render(h) for h in batch.column(1).to_pylist()]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -153,3 +154,42 @@ def test_decoding_null(spark):
 def test_other_columns_are_left_out(docs):
     assert bpe_counts.token_counts(docs).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert sp_dropout.encode(docs, keep=["score"]).filter(F.col("score") == "clash").count() == docs.count()
+
+
+def plain_table(rows):
+    """Column by column, as the layout was first written: cells of one column, then spans, then starts."""
+    places = [[sum(n for _, n in row[:i]) for i in range(len(row))] for row in rows]
+    width = [0] * max(p[-1] + row[-1][1] for p, row in zip(places, rows))
+    for span in (False, True):
+        for at, row in zip(places, rows):
+            for i, (text, n) in zip(at, row):
+                if (n > 1) == span:
+                    width[i + n - 1] += max(0, len(text) - sum(width[i:i + n]) - 2 * (n - 1))
+    lines = []
+    for at, row in zip(places, rows):
+        line = ""
+        for i, (text, _) in zip(at, row):
+            if text:
+                line = line.ljust(sum(width[:i]) + 2 * sum(w > 0 for w in width[:i])) + text
+        lines.append(line)
+    return "\n".join(lines)
+
+
+def test_html_tables_with_spans_equal_a_plain_layout():
+    rng = random.Random(6)
+    for _ in range(300):
+        rows = [[(rng.choice("abc") * rng.randrange(1, 9), rng.choice([1, 1, 1, 2, 3, 7])) for _ in range(rng.randrange(1, 6))]
+                for _ in range(rng.randrange(1, 6))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={n}>{t}" for t, n in row) for row in rows) + "</table>"
+        assert html_text.render(page) == plain_table(rows), page
+
+
+def test_html_wide_spans_and_deep_nesting_stay_in_proportion():
+    start = time.perf_counter()
+    wide = html_text.render("<table><tr>" + "<td colspan=1000>x" * 2000 + "</table>")
+    assert wide.count("x") == 2000
+    for tag in ("<blockquote>x", "<ul><li>x", "<dl><dd>x", "<table><tr><td>x<td>"):
+        page = tag * (100_000 // len(tag))
+        text = html_text.render(page)
+        assert text.count("x") == 100_000 // len(tag) and len(text) < 20 * len(page), tag
+    assert time.perf_counter() - start < 60
