@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from terrascout.functions import geo
 from terrascout.functions.portable import uniform_sql
 from terrascout.operators import labels, stats, tiles
-from terrascout.plans.fixtures import DIST, LAT0, query, r6, rounded, sql
+from terrascout.plans.fixtures import DIST, LAT0, X_SQL, Y_SQL, query, r6, rounded, sql
+from terrascout.plans.joins import knn_sql
 from terrascout.plans.scalars import SITE_KM, covered_cells
 from terrascout.plans.sources import PROVINCE_SQL
 
@@ -116,11 +117,23 @@ def d8(fx):
     return rounded(stats.bootstrap_auroc(fx.scores, "p_b", "label", "cell_id"), "mean", "ci_low", "ci_high")
 
 
-@query("D9_far_low_negatives")
+# Eight places a site: with fewer than one in eight passing, the SQL would return too few rows, not others.
+@query("D9_far_low_negatives", sql("sites stations", f"""
+select point_id, {r6('lat')} as lat, {r6('lon')} as lon, {r6('v')} as heat_flow from (
+ select *, row_number() over (order by point_id) as rn from far join heat using (point_id) where v < 55) where rn <= (select count(*) from fx_sites)""",
+                                   "ids as (select unnest(range(0, (select 8 * count(*) from fx_sites))) as point_id)",
+                                   f"""pts as (select point_id, 31.0::double + {uniform_sql('point_id', 42)} * 18.0::double as lat,
+ -125.0::double + {uniform_sql('point_id', 43)} * 22.0::double as lon from ids)""",
+                                   f"placed as (select *, {X_SQL} as x, {Y_SQL} as y from pts)",
+                                   f"far as materialized (select * from placed where point_id not in (select a.point_id from placed a cross join fx_sites b where {DIST} <= 50))",
+                                   knn_sql("far", "fx_stations", "point_id", "station_id", 5, "b.hf,"),
+                                   """heat as (select point_id, coalesce(case when min(d) <= 200 then sum(hf / (d + 1)) / sum(1 / (d + 1)) end,
+ (select median(hf) from fx_stations)) as v from nn group by 1)"""))
 def d9(fx):
     """As many random places as there are sites, far from them and cool."""
     n = fx.sites.count()
-    return labels.far_low_negatives(fx.spark, fx.sites, fx.stations, n, box=(31.0, 49.0, -125.0, -103.0), lat0=LAT0, min_km=50.0, max_heat_flow=55.0)
+    found = labels.far_low_negatives(fx.spark, fx.sites, fx.stations, n, box=(31.0, 49.0, -125.0, -103.0), lat0=LAT0, min_km=50.0, max_heat_flow=55.0)
+    return rounded(found.select("point_id", "lat", "lon", "heat_flow"), "lat", "lon", "heat_flow")
 
 
 # -------------------------------------------------------------------- tests
