@@ -116,14 +116,17 @@ def s8p(fx):
     return rounded(shapes.polygons(fx.rings), "lon", "lat")
 
 
-_FOLDS = """select cast(cell_id % 10 as bigint) as fold_id, cell_id, 'test' as role from fx_scores where label = 1"""
+_FOLDS = """select cast(f as bigint) as fold_id, cell_id, case when cell_id % 10 = f then 'test' else 'train' end as role
+from fx_scores cross join range(10) r(f) where label = 1"""
 
 
 @query("S9_folds_io", sql("scores", _FOLDS))
 def s9(fx):
-    """Fold rows written as a table partitioned by role and read back."""
+    """Test and training rows of ten folds of the positives, written as a table partitioned by role and read back."""
     path = scratch_path(fx.spark, "s9")
-    folds = fx.scores.filter("label = 1").select((F.col("cell_id") % 10).alias("fold_id"), "cell_id", F.lit("test").alias("role"))
+    role = F.when(F.col("cell_id") % 10 == F.col("fold_id"), "test").otherwise("train").alias("role")
+    folds = fx.scores.filter("label = 1").withColumn("fold_id", F.explode(F.expr("sequence(0L, 9L)"))) \
+        .select("fold_id", "cell_id", role)
     tables.write_folds(folds, path)
     return tables.read_folds(fx.spark, path)
 
