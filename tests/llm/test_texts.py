@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from terrascout.llm import bpe_counts, html_text, ogg, sp_dropout
@@ -138,6 +141,74 @@ def test_dropout_is_lossless_seeded_and_varied(docs, rows):
     assert sum(map(len, a.values())) > sum(map(len, plain.values()))
 
 
+def slow_segments(own, text, seed, rate, name):
+    """Agenda without a heap: look through all pairs for the best, skipping by one number a candidate."""
+    out, word = [], 2 ** 30 - 1
+    for number, unit in enumerate(re.findall(r" *[^ \n]+| +|\n", " " + text)):
+        key = int(sp_dropout.occurrence_keys(xxhash.xxh64_intdigest(name, seed=seed), number, number + 1)[0])
+        symbols = [(i, sp_dropout.SPACE if c == " " else "\0literal" if c == sp_dropout.SPACE else c) for i, c in enumerate(unit)]
+        while True:
+            pairs = []
+            for k in range(len(symbols) - 1):
+                place, piece = symbols[k][0], symbols[k][1] + symbols[k + 1][1]
+                if piece in own.makes:
+                    mark = (xxhash.xxh32_intdigest(piece) & word) + place * 0x1E3779B1 & word
+                    if sp_dropout.draw_one(mark, key) >= round(rate * 2 ** 30):
+                        pairs.append((own.makes[piece][0], place, k))
+            if not pairs:
+                break
+            _, _, k = min(pairs)
+            symbols[k:k + 2] = [(symbols[k][0], symbols[k][1] + symbols[k + 1][1])]
+        for _, p in symbols:
+            p = sp_dropout.SPACE if p == "\0literal" else p
+            literal = p == sp_dropout.SPACE and unit.find(" ") < 0
+            out += [own.ids[p]] if p in own.ids and not literal else [own.byte_ids[b] for b in p.encode()]
+    return out
+
+
+def test_dropout_equals_a_slow_agenda(rows):
+    """Letters, odd characters, words beyond the memory's limits, and words that come again."""
+    own, rng = sp_dropout.Codec(sp_dropout.model_path("piece_bpe_32k.model")), random.Random(8)
+    texts = [t for _, t in rows if t and len(t) < 1500 and sp_dropout.SPACE not in t][:30]
+    texts += ["".join(rng.choice("aeinrst  lmou'\n-.1\u00e9") for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    texts += ["internationalization" * 8, "straightforwardness, undergraduate-representatives " * 3, "the the the the the", "abc\u4e2d\u6587def"]
+    for rate in (0.1, 0.5):
+        for k, got in enumerate(own.encode_all(texts, [str(k) for k in range(len(texts))], 3, rate)):
+            assert got.tolist() == slow_segments(own, texts[k], 3, rate, str(k)), texts[k]
+
+
+def test_dropout_depends_on_the_occurrence():
+    """One word has many segmentations in one text and over documents; the share skipped is the rate."""
+    own = sp_dropout.Codec(sp_dropout.model_path("piece_bpe_32k.model"))
+    ids = own.encode("understanding\n" * 3000, 1, 0.1)
+    ends = np.flatnonzero(ids == own.encode("\n", 1, 0.1)[-1])
+    assert len(ends) == 3000
+    assert len({tuple(x.tolist()) for x in np.split(ids, ends + 1)}) > 12
+    docs = {own.encode("understanding representation", 1, 0.1, str(k)).tobytes() for k in range(500)}
+    assert len(docs) > 12
+    marks = np.array([x + place * 0x1E3779B1 & 2 ** 30 - 1 for _, x in list(own.makes.values())[:5] for place in range(5)], np.uint64)
+    assert sp_dropout.draw(marks, np.uint64(99)).tolist() == [sp_dropout.draw_one(m, 99) for m in marks.tolist()]
+    drawn = np.stack([sp_dropout.draw(marks, key) < 2 ** 30 // 10 for key in sp_dropout.occurrence_keys(9, 0, 20_000)])
+    assert abs(drawn.mean(0) - 0.1).max() < 0.012
+    both = np.corrcoef(drawn.T.astype(float)) - np.eye(len(marks))
+    assert abs(both).max() < 0.05
+
+
+def test_dropout_is_alike_in_steps_of_any_size(monkeypatch, rows):
+    texts = [t or "" for _, t in rows][:60]
+    path, names = sp_dropout.model_path("piece_bpe_32k.model"), [str(k) for k in range(60)]
+    whole = sp_dropout.Codec(path).encode_all(texts, names, 3, 0.1)
+    for limit in ("STEP", "LETTERS"):
+        monkeypatch.setattr(sp_dropout, limit, 5)
+        assert [x.tolist() for x in sp_dropout.Codec(path).encode_all(texts, names, 3, 0.1)] == [x.tolist() for x in whole]
+
+
+def test_dropout_of_very_long_texts():
+    own = sp_dropout.Codec(sp_dropout.model_path("piece_bpe_32k.model"))
+    for text in ("some words again and again\n" * 40_000, "x" * 100_000 + " end"):
+        assert own.decode(own.encode(text, 1, 0.1)) == text
+
+
 def test_everything_dropped_gives_characters():
     own = sp_dropout.Codec(sp_dropout.model_path("piece_bpe_32k.model"))
     for text in ("ab c", "▁ ▁", "\0", "   ", "日本\n", "🎉"):
