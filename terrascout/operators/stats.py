@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascout.functions.portable import uniform
@@ -103,18 +105,58 @@ def paired_t(df: DataFrame, a: str, b: str, by: Sequence[str] = (), min_pairs: i
     return stats.filter(F.col("n") >= min_pairs).select(*by, "n", "delta_mean", t.alias("t_stat"))
 
 
+def _spread(df: DataFrame) -> int:
+    """Partitions for rows that cost one hash a round each, however few bytes they have."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _matrix(column: pa.ListArray, rounds: int) -> np.ndarray:
+    """Arrays of one length as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, rounds)
+
+
 def sign_flip_p(df: DataFrame, a: str, b: str, id_col: str, by: Sequence[str] = (), rounds: int = 999,
                 seed: int = 42) -> DataFrame:
-    """Two-sided p-value of the mean difference by random sign flips."""
-    d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        *by, id_col, (F.col(a) - F.col(b)).alias("_d"))
-    sign = F.when(F.col("_r") == 0, 1.0).when(uniform(F.col(id_col), F.col("_r") + seed) < 0.5, 1.0).otherwise(-1.0)
-    sums = (d.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-            .groupBy(*by, "_r").agg(F.abs(F.sum(F.col("_d") * sign)).alias("_t")))
+    """Two-sided p-value of the mean difference by random sign flips.
+
+    Every row carries the signs of all rounds as a vector; a task adds up vectors and hands
+    on one for each group, so rows are never multiplied by rounds.  Pairs lacking a side drop out.
+    """
+    by = list(by)
+    flips = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: uniform(F.col("_id"), r + seed) < 0.5)
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
+        *by, group.alias("_g"), (F.col(a) - F.col(b)).cast("double").alias("_d"), F.col(id_col).alias("_id")) \
+        .repartition(_spread(df), "_id").select(*by, "_g", "_d", flips.alias("_f"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        firsts: dict[str, pa.RecordBatch] = {}
+        for batch in batches:
+            names, at = np.unique(np.array(batch.column("_g").to_pylist(), object), return_inverse=True)
+            d, flip = batch.column("_d").to_numpy(zero_copy_only=False), _matrix(batch.column("_f"), rounds)
+            for k, name in enumerate(names):
+                own = np.flatnonzero(at == k)
+                # The sum without flips comes first.
+                part = np.concatenate([[d[own].sum()], d[own] @ (2.0 * flip[own] - 1.0)])
+                if name in sums:
+                    sums[name] += part
+                else:
+                    sums[name], firsts[name] = part, batch.slice(int(own[0]), 1)
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_arrays([*[firsts[name].column(c) for c in by], pa.array([total.tolist()])], names=[*by, "_t"])
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by]
+    parts = rows.mapInArrow(add_up, ", ".join([*kinds, "_t array<double>"]))
+    if by:
+        parts = parts.repartition(*by)
+    sums = parts.select(*by, F.posexplode("_t").alias("_r", "_v")).groupBy(*by, "_r").agg(F.abs(F.sum("_v")).alias("_t"))
     real = sums.filter("_r = 0").select(*by, F.col("_t").alias("_t0"))
     drawn = sums.filter("_r > 0")
-    joined = drawn.join(real, list(by)) if by else drawn.withColumn("_j", F.lit(1)).join(
-        real.withColumn("_j", F.lit(1)), "_j")
+    if by:
+        joined = drawn.join(real, [drawn[c].eqNullSafe(real[c]) for c in by]).select(*[drawn[c] for c in by], "_t", "_t0")
+    else:
+        joined = drawn.withColumn("_j", F.lit(1)).join(real.withColumn("_j", F.lit(1)), "_j")
     hit = F.count_if(F.col("_t") >= F.col("_t0") - 1e-12)
     return joined.groupBy(*by).agg(((hit + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
@@ -129,19 +171,66 @@ def poisson_steps(n: int) -> list[float]:
     return steps
 
 
+def _same(x: np.ndarray, y: np.ndarray | float) -> np.ndarray:
+    return (x == y) | (np.isnan(x) & np.isnan(y))
+
+
 def bootstrap_auroc(df: DataFrame, score: str, label: str, id_col: str, rounds: int = 200,
                     alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Mean and interval of AUROC over resamples with replacement.
 
-    Each row weighs Poisson(1) per resample; one-class resamples are skipped.
-    Weights merge per (resample, score) before any shuffle.
+    Each row weighs Poisson(1) per resample; one-class resamples are skipped.  Rows are ordered
+    once and carry their weights as a vector.  A range of scores hands on three rows: its
+    least and its greatest score, which others may share, and all between.  NULL scores
+    drop out, NaN is above all numbers, and a label that is not 1 counts as negative.
     """
-    u = uniform(F.concat(F.col(id_col).cast("string"), F.lit("/"), F.col("_r").cast("string")), seed)
-    weight = sum(((F.col("_u") >= s).cast("int") for s in poisson_steps(12)), F.lit(0))
-    drawn = (df.select(id_col, score, label)
-             .withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-             .withColumn("_u", u).withColumn("_w", weight).filter("_w > 0"))
-    runs = rank.auroc(drawn, score, label, by=["_r"], weight="_w").filter(F.col("auroc").isNotNull())
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(rounds)),
+                          lambda r: uniform(F.concat(F.col("_id"), F.lit("/"), r.cast("string")), seed))
+    weights = F.transform(numbers, lambda u: sum(((u >= x).cast("int") for x in poisson_steps(12)), F.lit(0)).cast("tinyint"))
+    rows = (df.select(F.col(score).cast("double").alias("_s"), F.col(id_col).cast("string").alias("_id"),
+                      F.coalesce(F.col(label) == 1, F.lit(False)).alias("_y"))
+            .filter("_s is not null").repartitionByRange(_spread(df), "_s", "_id").sortWithinPartitions("_s")
+            .select("_s", "_y", weights.alias("_w")))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zero = np.zeros(rounds)
+        first = last = low = None  # (score, positives, negatives) of the least and the greatest score so far
+        pos, neg, won = zero.copy(), zero.copy(), zero.copy()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, w = batch.column("_s").to_numpy(), _matrix(batch.column("_w"), rounds).astype(float)
+            y = batch.column("_y").to_numpy(zero_copy_only=False)[:, None]
+            starts = np.concatenate([[0], np.flatnonzero(~_same(s[1:], s[:-1])) + 1])
+            ties = [[s[i], p, n] for i, p, n in zip(starts, np.add.reduceat(w * y, starts), np.add.reduceat(w * ~y, starts))]
+            if last is not None:
+                if _same(np.array([last[0]]), ties[0][0])[0]:
+                    ties[0][1:] = ties[0][1] + last[1], ties[0][2] + last[2]
+                else:
+                    ties.insert(0, last)
+            for at, p, n in ties[:-1]:
+                if first is None:
+                    first = at, p, n
+                else:
+                    low = at if low is None else low
+                    won += p * (neg + n / 2)
+                    pos, neg = pos + p, neg + n
+            last = ties[-1]
+        made = [(*e, zero, True) for e in (first, last) if e is not None]
+        if low is not None:
+            made.append((low, pos, neg, won, False))
+        for at, p, n, c, edge in made:
+            yield pa.RecordBatch.from_arrays([pa.array([float(at)]), pa.array([edge]), *[pa.array([v.tolist()]) for v in (p, n, c)]],
+                                             names=["lo", "edge", "pos", "neg", "won"])
+
+    spans = rows.mapInArrow(sweep, "lo double, edge boolean, pos array<double>, neg array<double>, won array<double>")
+    per = (spans.select("lo", "edge", F.posexplode(F.arrays_zip("pos", "neg", "won")).alias("_r", "_v"))
+           .groupBy("_r", "lo").agg(F.max("edge").alias("edge"), *[F.sum(f"_v.{c}").alias(c) for c in ("pos", "neg", "won")])
+           .withColumn("won", F.when(F.col("edge"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("won"))))
+    before = Window.partitionBy("_r").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (per.withColumn("_before", F.coalesce(F.sum("neg").over(before), F.lit(0.0))).groupBy("_r")
+            .agg(F.sum(F.col("won") + F.col("pos") * F.col("_before")).alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            .filter("pos > 0 and neg > 0").select((F.col("u") / (F.col("pos") * F.col("neg"))).alias("auroc")))
     # One number per resample.
     return runs.agg(F.count(F.lit(1)).alias("rounds"), F.avg("auroc").alias("mean"),
                     F.percentile("auroc", alpha / 2).alias("ci_low"),

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -55,6 +57,45 @@ def test_bootstrap_interval_holds_the_estimate(cells):
     assert row.ci_low < point < row.ci_high and abs(row["mean"] - point) < 0.02 and row.ci_high - row.ci_low < 0.15
 
 
+def drawn(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 16.0 ** 13
+
+
+def test_bootstrap_equals_brute_force(spark):
+    """Scores that lie in several ranges, one that a third of all rows share, NaN, and rows without a score."""
+    rng, rounds = np.random.default_rng(6), 12
+    rows = [(i, 0.5 if i % 3 == 0 else float("nan") if i % 29 == 0 else float(rng.integers(40)) / 40, int(rng.random() < 0.3)) for i in range(700)]
+    df = spark.createDataFrame([*rows, (9000, None, 1)], "id long, s double, y int")
+    got = stats.bootstrap_auroc(df, "s", "y", "id", rounds=rounds).first()
+    steps, values = stats.poisson_steps(12), []
+    s = np.array([2.0 if np.isnan(r[1]) else r[1] for r in rows])
+    y = np.array([r[2] for r in rows])
+    for r in range(1, rounds + 1):
+        w = np.array([sum(drawn(f"{i}/{r}:42") >= x for x in steps) for i, _, _ in rows], float)
+        pos, neg = w * y, w * (1 - y)
+        won = sum(pos[k] * (neg[s < s[k]].sum() + neg[s == s[k]].sum() / 2) for k in range(len(rows)))
+        values.append(won / (pos.sum() * neg.sum()))
+    assert got.rounds == rounds and abs(got["mean"] - np.mean(values)) < 1e-9
+    assert abs(got.ci_low - np.quantile(values, 0.025)) < 1e-9 and abs(got.ci_high - np.quantile(values, 0.975)) < 1e-9
+    assert stats.bootstrap_auroc(df.limit(0), "s", "y", "id", rounds=3).first().rounds == 0
+    assert stats.bootstrap_auroc(df.withColumn("y", F.lit(1)), "s", "y", "id", rounds=3).first().rounds == 0
+
+
+def test_sign_flips_equal_brute_force(spark):
+    rng, rounds = np.random.default_rng(7), 60
+    rows = [(i, None if i % 4 == 0 else i % 3, float(rng.normal(0.2)), float(rng.normal())) for i in range(90)]
+    df = spark.createDataFrame([*rows, (900, 1, None, 1.0)], "id long, g int, a double, b double")
+
+    def p(some):
+        t = [abs(sum((a - b) * (1 if r and drawn(f"{i}:{r + 42}") < 0.5 else -1 if r else 1) for i, _, a, b in some)) for r in range(rounds + 1)]
+        return (sum(x >= t[0] - 1e-12 for x in t[1:]) + 1) / (rounds + 1)
+
+    got = {r.g: r.p_value for r in stats.sign_flip_p(df, "a", "b", "id", by=["g"], rounds=rounds).collect()}
+    assert got == {g: p([r for r in rows if r[1] == g]) for g in (None, 0, 1, 2)}
+    assert stats.sign_flip_p(df, "a", "b", "id", rounds=rounds).first().p_value == p(rows)
+    assert stats.sign_flip_p(df.limit(0), "a", "b", "id", by=["g"], rounds=5).count() == 0
+
+
 def test_splits_are_whole_disjoint_and_seeded(cells):
     a = labels.random_split(cells.select("cell_id"), id_col="cell_id", seed=1)
     sizes = {r.split: r["count"] for r in a.groupBy("split").count().collect()}
