@@ -93,7 +93,7 @@ def s6(fx):
     def build():
         return fx.cells.withColumn("province", geo.province(F.col("lat"), F.col("lon")))
 
-    tables.load_or_build(fx.spark, path, build, sort_by=["lat", "lon"])
+    tables.load_or_build(fx.spark, path, build, near_by=["lat", "lon"])
     return tables.load_or_build(fx.spark, path, build).select("cell_id", "province")
 
 

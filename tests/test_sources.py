@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,36 @@ def test_a_stage_is_built_once(spark, tmp_path):
     assert len(built) == 1 and first.count() == second.count() == 100
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_a_box_is_read_from_few_files(spark, tmp_path, hot):
+    """Bands and boxes of either column, with and without a third of the places in one spot."""
+    rng = np.random.default_rng(4)
+    lat, lon = rng.uniform(30, 50, 30_000), rng.uniform(-120, -80, 30_000)
+    if hot:
+        lat[:10_000], lon[:10_000] = rng.normal(47, 0.01, 10_000), rng.normal(-84, 0.01, 10_000)
+    places = spark.createDataFrame(pd.DataFrame({"id": np.arange(30_000), "lat": lat, "lon": lon}))
+    odd = spark.createDataFrame([(30_000, None, 1.0), (30_001, float("nan"), 2.0)], "id long, lat double, lon double")
+    path = str(tmp_path / "places")
+    got = tables.load_or_build(spark, path, lambda: places.unionByName(odd), near_by=["lat", "lon"], files=64)
+    assert got.count() == 30_002 and got.select("id").distinct().count() == 30_002
+    boxes = [r for r in got.withColumn("f", F.input_file_name()).filter("lat is not null and not isnan(lat)").groupBy("f")
+             .agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).toPandas().itertuples(index=False)]
+
+    def files(south, north, west, east):
+        return sum(r[1] <= north and r[2] >= south and r[3] <= east and r[4] >= west for r in boxes)
+
+    assert len(boxes) > 50
+    assert files(40.0, 40.5, -100.0, -99.0) <= 6
+    assert files(41.0, 41.2, -180, 180) <= 20 and files(0, 90, -101.0, -100.6) <= 20
+
+
+def test_places_in_order_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "lat double, lon double")
+    assert tables.load_or_build(spark, str(tmp_path / "none"), lambda: none, near_by=["lat", "lon"]).count() == 0
+    one = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0)], "lat double, lon double")
+    assert tables.load_or_build(spark, str(tmp_path / "one"), lambda: one, near_by=["lat", "lon"]).count() == 2
+
+
 def test_headers_drift(spark, tmp_path):
     path = str(tmp_path / "f.csv")
     with open(path, "w") as f:
