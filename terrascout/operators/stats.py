@@ -11,9 +11,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascout.functions.portable import uniform
+from terrascout.functions.portable import low_halves, uniform
 from terrascout.operators import rank, tiles
 
+SIGN_ROWS = 1000  # rows whose signs of all rounds are held at once
+
 
 # -------------------------------------------------------------- interpolation
 
@@ -119,26 +121,29 @@ def sign_flip_p(df: DataFrame, a: str, b: str, id_col: str, by: Sequence[str] =
                 seed: int = 42) -> DataFrame:
     """Two-sided p-value of the mean difference by random sign flips.
 
-    Every row carries the signs of all rounds as a vector; a task adds up vectors and hands
-    on one for each group, so rows are never multiplied by rounds.  Pairs lacking a side drop out.
+    A task draws the signs of all rounds for many rows at once, adds them up and hands on one
+    vector for each group, so rows are never multiplied by rounds.  Pairs lacking a side drop out.
     """
     by = list(by)
-    flips = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: uniform(F.col("_id"), r + seed) < 0.5)
+    seeds = range(seed + 1, seed + rounds + 1)
     group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        *by, group.alias("_g"), (F.col(a) - F.col(b)).cast("double").alias("_d"), F.col(id_col).alias("_id")) \
-        .repartition(_spread(df), "_id").select(*by, "_g", "_d", flips.alias("_f"))
+        *by, group.alias("_g"), (F.col(a) - F.col(b)).cast("double").alias("_d"), F.col(id_col).cast("string").alias("_id")) \
+        .repartition(_spread(df), "_id")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         firsts: dict[str, pa.RecordBatch] = {}
         for batch in batches:
             names, at = np.unique(np.array(batch.column("_g").to_pylist(), object), return_inverse=True)
-            d, flip = batch.column("_d").to_numpy(zero_copy_only=False), _matrix(batch.column("_f"), rounds)
+            d, ids = batch.column("_d").to_numpy(zero_copy_only=False), batch.column("_id").to_pylist()
             for k, name in enumerate(names):
                 own = np.flatnonzero(at == k)
                 # The sum without flips comes first.
-                part = np.concatenate([[d[own].sum()], d[own] @ (2.0 * flip[own] - 1.0)])
+                part = np.concatenate([[d[own].sum()], np.zeros(rounds)])
+                for i in range(0, len(own), SIGN_ROWS):
+                    some = own[i:i + SIGN_ROWS]
+                    part[1:] += d[some] @ (2.0 * low_halves([ids[j] for j in some], seeds) - 1.0)
                 if name in sums:
                     sums[name] += part
                 else:

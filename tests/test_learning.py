@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrascout.functions.portable import permuted, permuted_sql
+from terrascout.functions.portable import low_halves, permuted, permuted_sql, uniform
 from terrascout.operators import labels, manifest, models, rank, stats
 from terrascout.streaming import jobs
 
@@ -96,6 +96,15 @@ def test_sign_flips_equal_brute_force(spark):
     assert stats.sign_flip_p(df.limit(0), "a", "b", "id", by=["g"], rounds=5).count() == 0
 
 
+def test_low_halves_are_those_of_uniform(spark):
+    ids = ["0", "17", "é5", "", "x" * 51, "y" * 52, "z" * 200, *map(str, range(95, 105))]
+    seeds = [-3, 7, 99, 100, 1041]
+    df = spark.createDataFrame([(i,) for i in ids], "id string")
+    want = df.select("id", *[(uniform(F.col("id"), k) < 0.5).alias(f"s{k}") for k in seeds]).collect()
+    assert low_halves([r.id for r in want], seeds).tolist() == [list(r[1:]) for r in want]
+    assert not low_halves([None], seeds).any()
+
+
 def test_splits_are_whole_disjoint_and_seeded(cells):
     a = labels.random_split(cells.select("cell_id"), id_col="cell_id", seed=1)
     sizes = {r.split: r["count"] for r in a.groupBy("split").count().collect()}
