@@ -199,11 +199,13 @@ def oversample(df: DataFrame, times: int, label: str = "label") -> DataFrame:
 
 def far_low_negatives(spark: SparkSession, positives: DataFrame, stations: DataFrame, n: int, *,
                       box: tuple, lat0: float, min_km: float = 50.0, max_heat_flow: float = 55.0,
-                      seed: int = 42, id_col: str = "site_id", station_id: str = "station_id") -> DataFrame:
+                      seed: int = 42, id_col: str = "site_id", station_id: str = "station_id",
+                      places: int | None = None) -> DataFrame:
     """The first ``n`` random places far from positives with low heat flow.
 
     Places come from a hash of a running number; the batch doubles until enough
-    places pass.
+    places pass.  ``places`` ends the search after that many: where positives lie
+    so close that hardly a place is far from them, those that pass are the result.
     """
     from terrascout.operators.stats import idw
 
@@ -212,6 +214,8 @@ def far_low_negatives(spark: SparkSession, positives: DataFrame, stations: DataF
     # A place beyond all stations takes the stations' median, as a typical value.
     median = rank.quantiles(stations, "hf", [0.5]).first()
     while True:
+        if places is not None:
+            batch = min(batch, places - start)
         ids = spark.range(start, start + batch)
         lat_min, lat_max, lon_min, lon_max = box
         points = ids.select(
@@ -225,8 +229,8 @@ def far_low_negatives(spark: SparkSession, positives: DataFrame, stations: DataF
         kept = good if kept is None else kept.unionByName(good)
         kept = tiles.cut(kept)
         found = kept.count()
-        if found >= n:
+        if found >= n or (places is not None and start + batch >= places):
             return kept.orderBy("point_id").limit(n)
-        if start + batch > 1000 * max(n, 200):
+        if places is None and start + batch > 1000 * max(n, 200):
             raise ValueError(f"only {found} of {n} places pass among {start + batch}; loosen the limits")
         start, batch = start + batch, batch * 2

@@ -105,6 +105,14 @@ def test_low_halves_are_those_of_uniform(spark):
     assert not low_halves([None], seeds).any()
 
 
+def test_far_low_negatives_end_where_places_run_out(spark):
+    box = dict(box=(0.0, 2.0, 0.0, 2.0), lat0=0.0, seed=3)
+    stations = spark.createDataFrame([(0, 1.0, 1.0, 20.0)], "station_id long, lat double, lon double, hf double")
+    sites = spark.createDataFrame([(0, 0.0, 0.0)], "site_id long, lat double, lon double")
+    found = [r.point_id for r in labels.far_low_negatives(spark, sites, stations, 50, places=30, **box).collect()]
+    assert 0 < len(found) <= 30 and max(found) < 30
+
+
 def test_splits_are_whole_disjoint_and_seeded(cells):
     a = labels.random_split(cells.select("cell_id"), id_col="cell_id", seed=1)
     sizes = {r.split: r["count"] for r in a.groupBy("split").count().collect()}
