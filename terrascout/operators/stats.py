@@ -77,7 +77,8 @@ def normal_cdf(z: Column) -> Column:
 def mann_whitney(df: DataFrame, value: str, group: str, first: object, alternative: str = "less") -> DataFrame:
     """U of the ``first`` group and the one-sided normal p-value, medians.
 
-    Tie- and continuity-corrected.  Ranks come from the per-value table.
+    Tie- and continuity-corrected.  Ranks come from the per-value table.  Without rows on one
+    side nothing speaks against equality: p is 1.
     """
     table = rank.score_table(df.withColumn("_first", (F.col(group) == F.lit(first)).cast("int")),
                              value, "_first")
@@ -88,9 +89,12 @@ def mann_whitney(df: DataFrame, value: str, group: str, first: object, alternati
         F.max("n_pos").cast("double").alias("n1"), (F.max("n") - F.max("n_pos")).cast("double").alias("n2"),
         F.sum(t3 * t3 * t3 - t3).alias("ties"))
     n = F.col("n1") + F.col("n2")
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1.0) - F.col("ties") / (n * (n - 1.0))))
+    # One row has no spread of ties; a side without rows, or one value throughout, has no spread of ranks.
+    ties = F.when(n > 1, F.col("ties") / F.nullif(n * (n - 1.0), F.lit(0.0))).otherwise(F.lit(float("nan")))
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1.0) - ties))
     shift = F.col("u") - F.col("n1") * F.col("n2") / 2.0
-    z = (shift + 0.5) / sd if alternative == "less" else -(shift - 0.5) / sd
+    above = shift + 0.5 if alternative == "less" else -(shift - 0.5)
+    z = F.when(sd == 0, F.lit(float("inf"))).otherwise(above / F.nullif(sd, F.lit(0.0)))
     medians = rank.quantiles(df, value, [0.5], by=[group], names=["median"])
     med = medians.agg(F.max(F.when(F.col(group) == F.lit(first), F.col("median"))).alias("median_first"),
                       F.max(F.when(F.col(group) != F.lit(first), F.col("median"))).alias("median_other"))

@@ -105,6 +105,18 @@ def test_low_halves_are_those_of_uniform(spark):
     assert not low_halves([None], seeds).any()
 
 
+def test_mann_whitney_without_spread(spark):
+    def p(rows):
+        df = spark.createDataFrame(rows, "v double, g int")
+        return stats.mann_whitney(df, "v", "g", 1).first()
+
+    one_sided = p([(1.0, 1), (2.0, 1), (2.0, 1)])
+    assert one_sided.p == 1 and (one_sided.n_first, one_sided.n_other, one_sided.u) == (3, 0, 0)
+    assert one_sided.median_first == 2 and one_sided.median_other is None
+    assert p([(1.0, 0), (1.0, 1), (1.0, 1)]).p == 1
+    assert np.isnan(p([(1.0, 1)]).p)
+
+
 def test_far_low_negatives_end_where_places_run_out(spark):
     box = dict(box=(0.0, 2.0, 0.0, 2.0), lat0=0.0, seed=3)
     stations = spark.createDataFrame([(0, 1.0, 1.0, 20.0)], "station_id long, lat double, lon double, hf double")
