@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import cloud, distances, table
+from terrascout.functions.portable import rounding
 from terrascout.operators import tiles
 
 
@@ -95,3 +97,26 @@ def test_plans_are_equi_joins(spark):
             assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_joins_are_dealt_by_pairs(spark, monkeypatch):
+    q, t = (table(spark, cloud(n, n), k) for n, k in ((400, "qid"), (300, "tid")))
+    whole = tiles.within(q, t, 40.0, q_id="qid", t_id="tid")
+    counts = tiles.radius_aggregate(q, t, 40.0, {"n": ("count", None)}, q_id="qid")
+    monkeypatch.setattr(tiles, "TASK_PAIRS", 500)
+    dealt = tiles.within(q, t, 40.0, q_id="qid", t_id="tid")
+    fine = tiles.radius_aggregate(q, t, 40.0, {"n": ("count", None)}, q_id="qid")
+    for before, after in ((whole, dealt), (counts, fine)):
+        plan = after._jdf.queryExecution().toString()
+        assert "REPARTITION_BY_NUM" in plan
+        assert sorted(before.collect()) == sorted(after.collect())
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(1)
+    values = [*rng.uniform(-40, 40, 500), *np.round(rng.uniform(0, 40, 500), 3), *((rng.integers(0, 10 ** 6, 300) + 0.5) / 1e6),
+              0.0, -0.0, -1e-12, 1e300, -1e300, float("nan"), float("inf"), 123456789012.345678, None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    for digits in (3, 6, 9):
+        wrong = df.filter(~rounding(F.col("v"), digits).eqNullSafe(F.round("v", digits)))
+        assert wrong.count() == 0
