@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrascout.functions.portable import low_halves, permuted, permuted_sql, uniform
+from terrascout.functions.portable import low_halves, permuted, permuted_sql, uniform, uniforms
 from terrascout.operators import labels, manifest, models, rank, stats
 from terrascout.streaming import jobs
 
@@ -105,6 +105,15 @@ def test_low_halves_are_those_of_uniform(spark):
     assert not low_halves([None], seeds).any()
 
 
+def test_uniforms_are_those_of_uniform(spark):
+    ids = [0, 9, 10, 99, 100, 12345, 999_999, 1_000_000, 10 ** 12 + 7, 10 ** 17]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    for seed in (0, 4321):
+        assert uniforms(np.array(ids), seed).tolist() == [r.u for r in df.select(uniform(F.col("id"), seed).alias("u")).collect()]
+    got = spark.createDataFrame([(0,), (None,), (2,)], "i long").select(permuted(F.col("i"), 3, 5).alias("p")).collect()
+    assert got[1].p is None and {got[0].p, got[2].p} < {0, 1, 2}
+
+
 def test_mann_whitney_without_spread(spark):
     def p(rows):
         df = spark.createDataFrame(rows, "v double, g int")
