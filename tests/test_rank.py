@@ -153,3 +153,10 @@ def test_quantiles_of_odd_numbers(spark):
     assert list(got)[1:5] == [1.0, 2.0, 3.0, inf] and math.isnan(got.f)
     assert rank.quantiles(df.limit(0), "v", [0.5]).count() == 0
     assert rank.quantiles(df.filter("v is null"), "v", [0.5]).count() == 0
+
+
+def test_metric_bundle_ranks_only_what_it_needs(scored, monkeypatch):
+    seen, real = [], rank.cumulate
+    monkeypatch.setattr(rank, "cumulate", lambda df, *a, **kw: seen.append(set(df.columns)) or real(df, *a, **kw))
+    rank.metric_bundle(scored[1].withColumn("unused", F.lit("x")), "s", "l", "id")
+    assert seen and all("unused" not in columns for columns in seen)
