@@ -42,3 +42,16 @@ def test_run(spark, sf_dir):
     before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = out.select("doc_id").distinct()
     assert 0 < kept.count() < before.count() and kept.join(before, "doc_id", "left_anti").count() == 0
+
+
+def test_repeats_are_joined_without_the_texts_before(spark, sf_dir, docs):
+    few = docs.limit(6)
+    plan = pipeline.drop_repeats.__wrapped__(spark, few, sf_dir)._jdf.queryExecution().optimizedPlan()
+    joined, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        inside = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joined += [child.output().mkString(" ") for child in inside]
+        todo += inside
+    assert len(joined) == 2 and "text#" not in joined[0].replace("_text#", "") and "_text#" in joined[1]
