@@ -2,8 +2,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from terrascout.operators import midpoints, tiles
 from terrascout.sources import raster, shapes
 
 
@@ -151,3 +153,28 @@ def test_patches_far_from_zero_and_with_holes(spark):
     assert np.allclose(q[["low", "mid"]].to_numpy().T - 1e9, np.nanpercentile(patches, (10, 50), axis=(1, 2)) - 1e9, atol=1e-6)
     empty = raster.patch_quantiles(cells.withColumn("value", F.lit(None).cast("double")), "value", 9, 11, 8).toPandas()
     assert len(empty) == 99 and empty["median"].isna().all()
+
+
+@pytest.mark.parametrize("spread,part", [(60.0, 16_384), (60.0, 37), (300.0, 2), (0.01, 50)])
+def test_tip_pairs_are_counted_around_cells_without_a_list(spark, monkeypatch, spread, part):
+    rng = np.random.default_rng(6)
+    tips = [(int(i % 70), int(i // 70 % 2), int(i % 3), *rng.uniform(0, spread, 2)) for i in range(260)]
+    tips += [(90, 0, 0, 5.0, 5.0), (91, 0, 0, 5.0, 5.0), (92, 0, 0, 5.0, 15.0), (None, 0, 0, 5.0, 6.0), (93, 0, 0, math.nan, 1.0)]
+    cells = [(i, *rng.uniform(-5, spread + 5, 2)) for i in range(150)] + [(200, 5.0, 0.0), (200, 5.0, 5.0), (201, 5.0, None), (202, 5.0, 20.0)]
+
+    def degrees(rows, schema):
+        made = spark.createDataFrame([(*r[:-2], *(None if v is None else float(v) for v in r[-2:])) for r in rows], schema + ", x double, y double")
+        return made.selectExpr("*", "x / 111.32 as lon", "y / 111.32 as lat").drop("x", "y")
+
+    ends = degrees(tips, "fault_id long, part int, tip int")
+    around = degrees(cells, "cell_id long")
+    pairs = shapes.tip_pairs(ends, 10.0, 0.0).select("x", "y").collect()
+    at = {}
+    for c in tiles.planar(around, 0.0).filter("y is not null").collect():
+        d = [round(math.sqrt((c.x - p.x) ** 2 + (c.y - p.y) ** 2), 9) <= 10 for p in pairs]
+        at[c.cell_id] = at.get(c.cell_id, 0) + sum(d)
+    # Pairs must not be listed.
+    monkeypatch.setattr(tiles, "within", None)
+    monkeypatch.setattr(midpoints.count_near, "__kwdefaults__", {"part": part})
+    got = {r.cell_id: r.n_tips for r in shapes.tip_pairs(ends, 10.0, 0.0, around=around, near_km=10.0).collect()}
+    assert got == {k: v for k, v in at.items() if v}
