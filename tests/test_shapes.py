@@ -1,11 +1,14 @@
 import math
+import os
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrascout.operators import midpoints, tiles
+from terrascout.operators import features, midpoints, tiles, vicinity
+from terrascout.plans import catalog
+from terrascout.session import shared_dir
 from terrascout.sources import raster, shapes
 
 
@@ -178,3 +181,59 @@ def test_tip_pairs_are_counted_around_cells_without_a_list(spark, monkeypatch, s
     monkeypatch.setattr(midpoints.count_near, "__kwdefaults__", {"part": part})
     got = {r.cell_id: r.n_tips for r in shapes.tip_pairs(ends, 10.0, 0.0, around=around, near_km=10.0).collect()}
     assert got == {k: v for k, v in at.items() if v}
+
+
+@pytest.mark.parametrize("spread,part,places", [(200.0, 262_144, 1_048_576), (30.0, 40, 1_048_576), (30.0, 40, 9), (1e-6, 30, 20)])
+def test_line_features_without_tiles_around_cells(spark, monkeypatch, spread, part, places):
+    rng = np.random.default_rng(9)
+    xy = rng.uniform(0, spread, (600, 2))
+    xy[:150] = [min(spread, 20.0), 0.0]
+    xy[150:300] = xy[150:300].round()
+    slip = [None if i % 7 == 0 else float(i * 13 % 11) for i in range(600)]
+    slip[201], xy[599] = math.nan, [-300.0, 400.0]
+    samples = spark.createDataFrame([(float(x) / 111.32, float(y) / 111.32, v) for (x, y), v in zip(xy, slip)]
+                                    + [(math.nan, 1.0, 99.0), (None, 0.0, 99.0)], "lon double, lat double, slip double")
+    at = [(i, *map(float, rng.uniform(-40, spread + 40, 2))) for i in range(80)]
+    at += [(3, 1.0, 1.0), (90, 45.0, 0.0), (91, 700.0, 700.0), (None, 0.0, 0.0), (92, None, 0.0)]
+    cells = spark.createDataFrame([(i, None if x is None else x / 111.32, y / 111.32) for i, x, y in at], "cell_id long, lon double, lat double")
+    t = tiles.planar(samples, 0.0).filter("x = x and not isnan(x)").toPandas()
+    q = tiles.planar(cells, 0.0).toPandas()
+    d = np.round(np.sqrt((q.x.to_numpy()[:, None] - t.x.to_numpy()) ** 2 + (q.y.to_numpy()[:, None] - t.y.to_numpy()) ** 2), 9)
+    with np.errstate(invalid="ignore"):
+        inside = d <= 25.0
+    values = [slip[i] for i in range(600)]
+    want = {}
+    for i, (key, _, _) in enumerate(at):
+        near = [v for v, k in zip(values, inside[i]) if k and v is not None]
+        n, top, least = want.get(key, (0, [], 1000.0))
+        want[key] = (n + int(inside[i].sum()), top + near, min(least, d[i].min()) if d[i].min() == d[i].min() else least)
+    want[None] = (0, [], 1000.0)
+
+    def highest(top):
+        return math.inf if any(math.isnan(v) for v in top) else max(top, default=0.0)
+
+    monkeypatch.setattr(tiles, "radius_aggregate", None)  # it writes tiles of each cell's rim, ever more with denser samples
+    monkeypatch.setattr(vicinity.survey, "__kwdefaults__", {"part": part, "places_part": places})
+    got = features.line_features(cells, samples, lat0=0.0).collect()
+    assert len(got) == len(at)
+    for r in got:
+        n, top, least = want[r.cell_id]
+        assert (r.density_km, math.inf if math.isnan(r.max_slip) else r.max_slip) == (2.0 * n, highest(top))
+        assert abs(r.nearest_km - least) <= 1e-9
+
+
+def test_line_features_leave_one_table(spark, tmp_path):
+    """Every step is deleted when the next has what it needs; only the result stays."""
+    spark.range(40).selectExpr("id as c_custkey", "'X' as c_mktsegment", "1.0D as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).selectExpr("id as o_orderkey", "id * 7 % 45 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    before = set(os.listdir(shared_dir(spark)))
+    rows = catalog.QUERIES["A2_line_features"](spark, str(tmp_path)).collect()
+    assert len(rows) == 40 and min(r.nearest_km for r in rows) >= 0
+    assert len(set(os.listdir(shared_dir(spark))) - before) == 1
+
+
+def test_samples_carry_the_largest_value_of_the_whole_line(spark):
+    rows = [(1, 0, 0, 0.0, 0.0, 1.0), (1, 0, 1, 0.1, 0.0, None), (1, 1, 0, 1.0, 0.0, None), (1, 1, 1, 1.1, 0.0, 5.0), (2, 0, 0, 0.0, 0.0, None), (2, 0, 1, 0.0, 0.1, None)]
+    df = spark.createDataFrame(rows, "fault_id long, part int, seq long, lon double, lat double, slip double")
+    got = shapes.line_samples(shapes.lines(df, extra=["slip"]), 2.0, keep="slip").select("fault_id", "slip").distinct().collect()
+    assert {tuple(r) for r in got} == {(1, 5.0), (2, None)}
