@@ -77,6 +77,22 @@ def test_within_splits_hot_tiles(spark):
     assert strict.filter("dist_km > 0").count() == 0
 
 
+@pytest.mark.parametrize("radius", [7.0, 60.0])
+def test_within_sends_a_query_to_the_tiles_that_its_circle_meets(spark, monkeypatch, radius):
+    q, t = cloud(400, 14), cloud(300, 15)
+    t[:20], q[:4] = [2 * radius, 4 * radius], [[2 * radius, 3 * radius], [2 * radius, 5 * radius], [radius, 4 * radius], [3 * radius, 4 * radius]]
+    sent, salted = [], tiles.salted
+
+    def seen(many, few, *rest):
+        sent.append(few.count())
+        return salted(many, few, *rest)
+
+    monkeypatch.setattr(tiles, "salted", seen)
+    pairs = tiles.within(table(spark, q, "qid"), table(spark, t, "tid"), radius, q_id="qid", t_id="tid")
+    assert {(r.qid, r.tid) for r in pairs.collect()} == set(zip(*np.nonzero(distances(q, t) <= radius)))
+    assert sent[0] < 4.5 * len(q)
+
+
 def test_exclude_within_edges(spark):
     t = spark.createDataFrame([(0, 0.0, 0.0)], "tid long, x double, y double")
     q = spark.createDataFrame([(0, 25.0, 0.0), (1, 24.9, 0.0), (2, 25.1, 0.0)], "qid long, x double, y double")
